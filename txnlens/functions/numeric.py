@@ -36,8 +36,9 @@ def to_number(c, currency_symbol: str | None = None) -> Column:
     s = _c(c)
     if currency_symbol:
         s = F.replace(s, F.lit(currency_symbol), F.lit(""))
-    v = F.when(s.rlike(NUM_PATTERN), F.trim(s).try_cast("double"))
-    return F.when(F.abs(v) != F.lit(INF), v)
+    # the pattern is tested once per row; only the cheap cast repeats
+    v = F.trim(s).try_cast("double")
+    return F.when(s.rlike(NUM_PATTERN), F.when(F.abs(v) != F.lit(INF), v))
 
 
 def strip_currency(c, symbol: str = "$") -> Column:

@@ -1 +1 @@
-"""txnlens.streaming."""
+"""Streaming versions of the transaction reports."""
