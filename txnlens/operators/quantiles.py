@@ -1,41 +1,119 @@
-"""Quartiles, IQR fences and outlier selection.
+"""Exact quantiles, IQR fences and outlier selection.
 
-The fences are computed once per query as a scalar subquery and inlined into
-the filter on the big table, so the table is streamed through a plain
-``Filter`` (pushed into the Parquet scan where possible): no join, no shuffle
-of the rows being tested.
+Exact quantiles (``method="exact"``, the default) never gather values into one
+task. Rows are first reduced to one row per distinct value with its count
+(map-side partial aggregation, so a value held by a third of the rows becomes
+one row per task). Those value counts are range-partitioned and sorted, and
+checkpointed so each row's partition and position are fixed. Cumulative counts
+then come from per-partition offsets (one row per partition and column) plus a
+running sum inside each partition. The value at a rank is picked by a
+conditional aggregate, so memory per task is bounded by a partition of
+distinct values. Interpolation is linear, as in pandas ``quantile`` and SQL
+``percentile``/``quantile_cont``.
 
-Exact quartiles use ``percentile``, whose partial aggregation keeps one entry
-per distinct value (money in cents keeps that bounded). ``approx=True`` switches
-to ``percentile_approx`` with fixed memory for columns with unbounded
-distinct values.
+``method="percentile"`` uses Spark's ``percentile``: one pass, but the final
+merge of all distinct values happens in a single task, so only use it for
+columns with few distinct values. ``method="approx"`` uses
+``percentile_approx`` (bounded memory, rank error about n/accuracy).
+
+Fences are computed once per query as a scalar subquery and inlined into the
+filter on the big table, so the table is streamed through a plain ``Filter``
+(pushed into the Parquet scan where possible): no join, no shuffle of the rows
+being tested.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.schemas import IQR_FACTOR
+from txnlens.session import checkpoint_dir
+
+_PART_BITS = 33
+
+
+def _prob_name(i: int) -> str:
+    return f"_q{i}"
+
+
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
+                   partitions: int | None = None) -> DataFrame:
+    """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
+
+    Nulls and NaN are skipped. Exact, with linear interpolation between the two
+    values around rank (n - 1) * p.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if len(columns) == 1:
+        long = df.select(F.lit(columns[0]).alias("column"), F.col(columns[0]).cast("double").alias("v"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                          for c in columns])
+        long = df.select(F.inline(pairs))
+    freq = (long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+            .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranged = (freq.repartitionByRange(nparts, "column", "v").sortWithinPartitions("column", "v")
+              .withColumn("_rid", F.monotonically_increasing_id()))
+    ranged = ranged.checkpoint(eager=True).withColumn("_part", F.shiftright("_rid", _PART_BITS))
 
+    sizes = ranged.groupBy("column", "_part").agg(F.sum("n").alias("_pn"))
+    before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (column, partition): bounded by columns x partitions
+    offsets = sizes.select("column", "_part", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"),
+                           F.sum("_pn").over(Window.partitionBy("column")).alias("_total"))
+    upto = Window.partitionBy("_part", "column").orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (ranged.withColumn("_within", F.sum("n").over(upto))
+           .join(F.broadcast(offsets), ["column", "_part"])
+           .withColumn("_cum", F.col("_off") + F.col("_within")))
 
-def _quartiles(v: Column, approx: bool, accuracy: int) -> Column:
+    total = F.col("_total")
+    aggs = [F.max("_total").alias("n")]
+    for i, p in enumerate(probs):
+        pos = (total - 1) * F.lit(float(p))
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            hit = (F.col("_cum") - F.col("n") <= rank) & (rank < F.col("_cum"))
+            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}{i}"))
+    picked = cum.groupBy("column").agg(*aggs)
+
+    out = [F.col("column"), F.col("n")]
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        lo_key, hi_key = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        value = (F.when((lo == hi) | (lo_key == hi_key), lo_key)
+                 .otherwise((hi - pos) * lo_key + (pos - lo) * hi_key))
+        out.append(value.alias(_prob_name(i)))
+    return picked.select(*out)
+
+
+def _quartile_row(df: DataFrame, column: str, method: str, accuracy: int) -> DataFrame:
+    """One row with q1, q3 (null when the column has no value)."""
+    if method == "exact":
+        q = quantile_table(df, [column], [0.25, 0.75])
+        # at most one row; the global aggregate yields exactly one (nulls when empty)
+        return q.agg(F.max("_q0").alias("q1"), F.max("_q1").alias("q3"))
     probs = F.array(F.lit(0.25), F.lit(0.75))
-    if approx:
-        return F.percentile_approx(v, probs, accuracy)
-    return F.percentile(v, probs)
+    if method == "approx":
+        q = F.percentile_approx(column, probs, accuracy)
+    elif method == "percentile":
+        q = F.percentile(column, probs)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return df.agg(q.alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
 
 
-def quartiles(df: DataFrame, column: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+def quartiles(df: DataFrame, column: str, method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """One row: q1, q3 of ``column`` (nulls skipped, linear interpolation)."""
-    q = _quartiles(F.col(column), approx, accuracy)
-    return df.agg(q.alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    return _quartile_row(df, column, method, accuracy)
 
 
-def iqr_bounds(df: DataFrame, column: str, factor: float = IQR_FACTOR, approx: bool = False,
+def iqr_bounds(df: DataFrame, column: str, factor: float = IQR_FACTOR, method: str = "exact",
                accuracy: int = 10000) -> DataFrame:
     """One row: column, q1, q3, iqr, lb, ub with lb = q1 - factor*iqr, ub = q3 + factor*iqr."""
-    q = quartiles(df, column, approx, accuracy)
+    q = quartiles(df, column, method, accuracy)
     iqr = F.col("q3") - F.col("q1")
     return q.select(
         F.lit(column).alias("column"), "q1", "q3", iqr.alias("iqr"),
@@ -45,9 +123,9 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = IQR_FACTOR, approx: b
 
 
 def outliers(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
-             approx: bool = False, accuracy: int = 10000) -> DataFrame:
+             method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """Rows of ``df`` strictly below the lower (``side='low'``) or above the upper fence."""
-    bounds = iqr_bounds(df, column, factor, approx, accuracy)
+    bounds = iqr_bounds(df, column, factor, method, accuracy)
     if side == "low":
         return df.filter(F.col(column) < bounds.select("lb").scalar())
     if side == "high":
@@ -58,3 +136,8 @@ def outliers(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
 def shape(df: DataFrame) -> DataFrame:
     """One row: rows and columns of ``df`` (pandas ``.shape``)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"))
+
+
+def quantile_columns(probs, names) -> list[Column]:
+    """Rename ``_q0, _q1, …`` of ``quantile_table`` to ``names``."""
+    return [F.col(_prob_name(i)).alias(n) for i, n in enumerate(names)]
