@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from txnlens.operators import aggregates as agg
 from txnlens.operators import binning, correlation, profile, quantiles, risk
 from txnlens.operators.cleaning import clean_transactions, clean_users
-from txnlens.operators.features import card_features, txn_features, user_features
+from txnlens.operators.features import (
+    CARD_FEATURES, TXN_FEATURES, USER_FEATURES, card_features, txn_features, user_features,
+)
 from txnlens.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,11 @@ QUERIES: dict[str, Query] = {
     "table_shape": _both(profile.table_shape, raw_transactions, raw_users),
     "table_info": _both(profile.table_info, raw_transactions, raw_users),
     "table_head": lambda s, d: profile.table_head(raw_transactions(s, d), "id"),
+    "users_head": lambda s, d: profile.table_head(raw_users(s, d), "id"),
+    "txn_features_head": lambda s, d: profile.table_head(transactions(s, d), "id").select(
+        "id", *TXN_FEATURES),
+    "user_features_head": lambda s, d: profile.table_head(users(s, d), "id").select("id", *USER_FEATURES),
+    "card_features_head": lambda s, d: profile.table_head(cards(s, d), "id").select("id", *CARD_FEATURES),
     "null_counts": lambda s, d: profile.null_counts(clean_transactions(raw_transactions(s, d)),
                                                     "transactions").unionByName(
         profile.null_counts(clean_users(raw_users(s, d)), "users")),

@@ -258,6 +258,10 @@ UNION ALL SELECT 'users', COUNT(*), {len(user_cols)} FROM users_raw""")
                  f"COUNT({c}) AS non_null, '{t}' AS dtype FROM {src}" for i, (c, t) in enumerate(cols)]
     q["table_info"] = with_views(["txn_raw", "users_raw"], "\nUNION ALL ".join(info))
     q["table_head"] = with_views(["txn_raw"], "SELECT * FROM txn_raw ORDER BY id LIMIT 5")
+    q["users_head"] = with_views(["users_raw"], "SELECT * FROM users_raw ORDER BY id LIMIT 5")
+    q["txn_features_head"] = with_views(["t"], f"SELECT id, {', '.join(TXN_FEATURE_COLUMNS)} FROM t ORDER BY id LIMIT 5")
+    q["user_features_head"] = with_views(["u"], f"SELECT id, {', '.join(USER_FEATURE_COLUMNS)} FROM u ORDER BY id LIMIT 5")
+    q["card_features_head"] = with_views(["k"], "SELECT id, account_duration_days, is_chip_enabled FROM k ORDER BY id LIMIT 5")
     q["null_counts"] = with_views(["txn_clean", "users_clean"], "SELECT * FROM (\n"
         + _per_column_union("transactions", "txn_clean", txn_cols, "COUNT(*) - COUNT({c})", "null_count")
         + "\nUNION ALL "
