@@ -93,11 +93,12 @@ def value_counts(df: DataFrame, column: str, count_name: str = "count") -> DataF
 def value_shares(df: DataFrame, column: str, share_name: str = "proportion") -> DataFrame:
     """Share of each non-null value among the non-null values.
 
-    The total is a scalar subquery evaluated once, so the per-value counts are
-    never gathered into a single partition.
+    The total is a scalar subquery over the per-value counts themselves, so it
+    reuses their shuffle instead of scanning the input again, and the counts
+    are never gathered into a single partition.
     """
     counts = value_counts(df, column)
-    total = _keyed(df, column).agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("count")).scalar()
     return counts.select(column, (F.col("count") / total).alias(share_name)).orderBy(
         F.desc(share_name), F.asc(column))
 
