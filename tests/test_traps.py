@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.dates import whole_days
 from txnlens.functions.nulls import null_na_strings
-from txnlens.functions.numeric import money_sum, round_half_even, safe_ratio, strip_currency, to_number
+from txnlens.functions.numeric import (
+    money_avg, money_sum, round_half_even, safe_ratio, strip_currency, to_number,
+)
 from txnlens.operators import aggregates as agg
 from txnlens.operators.binning import band_label, cut_counts
 from txnlens.operators.cleaning import clean_transactions, clean_users
@@ -199,3 +201,16 @@ def test_users_money_columns(spark):
     df = spark.createDataFrame([("$100", "$2000", "$0")], "per_capita_income string, yearly_income string, total_debt string")
     r = clean_users(df).first()
     assert (r.per_capita_income, r.yearly_income, r.total_debt) == (100.0, 2000.0, 0.0)
+
+
+def test_money_units_equal_decimal_sum(spark):
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([np.round(rng.uniform(-1e4, 1e4, 4000), 2), np.round(rng.uniform(-50, 50, 4000), 6),
+                           np.round(rng.uniform(-1e9, 1e9, 500), 3), [0.005, -0.005, 0.000001, 123.4565]])
+    df = spark.createDataFrame([(float(v), i % 7) for i, v in enumerate(vals)], "amount double, g int")
+    got = {r.g: (r.s, r.a) for r in df.groupBy("g").agg(money_sum("amount").alias("s"),
+                                                          money_avg("amount").alias("a")).collect()}
+    dec = F.col("amount").cast("decimal(24,6)")
+    want = {r.g: (r.s, r.a) for r in df.groupBy("g").agg(
+        F.sum(dec).cast("double").alias("s"), (F.sum(dec).cast("double") / F.count("amount")).alias("a")).collect()}
+    assert got == want

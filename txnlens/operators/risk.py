@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.functions.numeric import MONEY_DECIMAL, flag, money_avg, money_sum, rate
+from txnlens.functions.numeric import flag, money_avg, money_sum, money_units, rate, units_to_double
 from txnlens.operators.binning import band_label
 from txnlens.operators.ranking import ntile
 from txnlens.schemas import DARK_WEB_YES, FRAUD_YES, NO_ERRORS, TIER_NAMES
@@ -105,7 +105,7 @@ def high_value_errors(txn: DataFrame) -> DataFrame:
 def _per_card(txn: DataFrame) -> DataFrame:
     return txn.groupBy("card_id").agg(
         *_error_stats(),
-        F.sum(F.col("amount").cast(MONEY_DECIMAL)).alias("_amount_sum"),
+        money_units("amount").alias("_amount_units"),
         F.count("amount").alias("_amount_n"),
     )
 
@@ -123,7 +123,7 @@ def dark_web_cards(txn: DataFrame, cards: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cards"),
         F.sum("transactions").alias("transactions"),
         F.sum("errors").alias("errors"),
-        (F.sum("_amount_sum").cast("double") / F.nullif(F.sum("_amount_n"), F.lit(0))).alias("avg_amount"),
+        (units_to_double(F.sum("_amount_units")) / F.nullif(F.sum("_amount_n"), F.lit(0))).alias("avg_amount"),
     )
     return _with_rate(out).orderBy("card_on_dark_web")
 
