@@ -72,7 +72,8 @@ def main() -> None:
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 
-    raw = adapters.txn_raw(spark, args.sf_dir)
+    # spread the 100k source rows first, so the copies are written as many files
+    raw = adapters.txn_raw(spark, args.sf_dir).repartition(4 * args.cpus)
     span = 10 ** 9  # above any benchmark event id
     copy = F.explode(F.sequence(F.lit(0), F.lit(args.copies - 1))).alias("_copy")
     scaled = raw.select("*", copy).withColumn("id", F.col("id") + F.col("_copy").cast("bigint") * F.lit(span)).drop("_copy")
