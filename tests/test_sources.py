@@ -54,7 +54,7 @@ def test_cards_with_month_year_dates(spark, tmp_dir):
 def test_label_json_round_trip(spark, tmp_dir):
     labels = adapters.fraud_labels(spark, SF_SMALL)
     mapping = {str(r.id): r.Target for r in labels.collect()}  # small fixture file
-    path = os.path.join(tmp_dir, "train_fraud_labels.json")
+    path = os.path.join(tmp_dir, "fraud_labels.json")
     with open(path, "w") as f:
         json.dump({"target": mapping}, f)
     assert _same(read_label_map(spark, path), labels) == "exact"

@@ -214,3 +214,9 @@ def test_money_units_equal_decimal_sum(spark):
     want = {r.g: (r.s, r.a) for r in df.groupBy("g").agg(
         F.sum(dec).cast("double").alias("s"), (F.sum(dec).cast("double") / F.count("amount")).alias("a")).collect()}
     assert got == want
+
+
+def test_t3_label_map_bare_literals(spark, tmp_dir):
+    path = _write(tmp_dir, "bare.json", '{"target": {"1": 0, "2": 1, "3": null, "4": true, "5": "Yes"}}\n')
+    got = {r.id: r.Target for r in read_label_map(spark, path).collect()}
+    assert got == {1: "0", 2: "1", 3: None, 4: "true", 5: "Yes"}

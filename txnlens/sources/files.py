@@ -72,8 +72,9 @@ def read_mcc(spark: SparkSession, path, **options) -> DataFrame:
     return read_typed_csv(spark, path, MCC, None, False, **options)
 
 
-# one "id": "label" pair, with optional surrounding braces/blanks and an outer key
-_PAIR = r'"([^"]+)"\s*:\s*"([^"]*)"[\s}]*$'
+# one "id": label pair at the end of a piece (the label a JSON string or a bare
+# number/boolean/null), followed only by closing braces and blanks
+_PAIR = r'"([^"]+)"\s*:\s*("[^"]*"|[^\s,"{}\[\]]+)[\s}]*$'
 
 
 def read_label_map(spark: SparkSession, path) -> DataFrame:
@@ -83,13 +84,15 @@ def read_label_map(spark: SparkSession, path) -> DataFrame:
     struct field per id). The file is instead split on commas, which in this
     layout only separate pairs: each piece holds one ``"id": "label"`` pair, and
     the text reader splits the file across tasks. Requires an uncompressed
-    file with no comma inside ids or labels; a piece without a pair raises.
-    Columns ``id`` (bigint) and ``Target``.
+    file with no comma or escaped quote inside ids or labels; a piece without
+    a pair raises. Labels may be JSON strings or bare literals (``null`` is
+    null). Columns ``id`` (bigint) and ``Target`` (text).
     """
     pieces = spark.read.option("lineSep", ",").text(path)
     piece = F.col("value")
     pair_id = F.regexp_extract(piece, _PAIR, 1)
-    label = F.regexp_extract(piece, _PAIR, 2)
+    raw_label = F.regexp_extract(piece, _PAIR, 2)
+    label = F.when(raw_label != "null", F.regexp_replace(raw_label, r'^"|"$', ""))
     matched = piece.rlike(_PAIR)
     checked = F.when(matched, pair_id).when(piece.rlike(r"^[\s{}]*$"), F.lit(None)).otherwise(
         F.raise_error(F.concat(F.lit("not an id/label pair: "), F.substring(piece, 1, 200))))
