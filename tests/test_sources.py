@@ -81,3 +81,10 @@ def test_streaming_reports_match_batch(spark, tmp_dir):
     batch = txn_features(clean_transactions(raw))
     assert _same(spark.table("hourly_errors"), hourly_error_rates(batch)) == "exact"
     assert _same(spark.table("channel_volume"), channel_volume(batch)) == "exact"
+
+
+def test_staging_with_salted_layout(spark):
+    txn = C.transactions(spark, SF_SMALL)
+    staged = stage(txn, partition_by=["year"], files_per_value=3)
+    assert _same(agg.txn_by_year(staged), agg.txn_by_year(txn)) == "exact"
+    assert staged.count() == txn.count()

@@ -110,6 +110,14 @@ def money_avg(c) -> Column:
     return units_to_double(money_units(c)) / F.nullif(F.count(_c(c)), F.lit(0))
 
 
+def exact_avg(c) -> Column:
+    """Mean from an exact ``decimal(38,6)`` sum: no overflow below 1e32, any magnitude
+    of row count. Slower than ``money_avg`` (a BigDecimal buffer per group), so it
+    is meant for per-user or per-column statistics, not for transaction scans."""
+    c = _c(c)
+    return F.sum(c.cast("decimal(38,6)")).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def float_mean(c) -> Column:
     """Mean with pandas float semantics: NaN skipped, infinities propagate.
 
@@ -125,7 +133,7 @@ def float_mean(c) -> Column:
         F.when((has_pos == 1) & (has_neg == 1), F.lit(NAN))
         .when(has_pos == 1, F.lit(INF))
         .when(has_neg == 1, F.lit(-INF))
-        .otherwise(money_avg(finite))
+        .otherwise(exact_avg(finite))
     )
 
 

@@ -12,21 +12,32 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from txnlens.session import checkpoint_dir
 
 
 def stage(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None,
-          mode: str = "error") -> DataFrame:
+          mode: str = "error", files_per_value: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet and return a DataFrame reading it back.
 
     ``path`` defaults to a new folder under the session's shared checkpoint
     folder (``spark.checkpoint.dir``). ``partition_by`` (e.g. ``["year"]``)
     lays the files out by a low-cardinality column for partition pruning.
+
+    Without ``files_per_value`` every task writes one file per value it holds
+    (tasks x values files). With it, rows are first shuffled on the partition
+    columns plus a salt from a hash of the whole row, so each value is written
+    by ``files_per_value`` tasks: a value holding a third of the rows is still
+    split evenly, and the salt is deterministic, so a retried task sends every
+    row to the same place.
     """
     spark = df.sparkSession
     if path is None:
         path = os.path.join(checkpoint_dir(spark), "staged", uuid.uuid4().hex)
+    if partition_by and files_per_value:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_value))
+        df = df.repartition(*[F.col(c) for c in partition_by], salt)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
