@@ -8,8 +8,9 @@ checkpointed so each row's partition and position are fixed. Cumulative counts
 then come from per-partition offsets (one row per partition and column) plus a
 running sum inside each partition. The value at a rank is picked by a
 conditional aggregate, so memory per task is bounded by a partition of
-distinct values. Interpolation is linear, as in pandas ``quantile`` and SQL
-``percentile``/``quantile_cont``.
+distinct values. Interpolation is numpy's linear method (what pandas
+``quantile`` uses), bit for bit; Spark's ``percentile`` interpolates with a
+different formula that can differ in the last bit.
 
 ``method="percentile"`` uses Spark's ``percentile``: one pass, but the final
 merge of all distinct values happens in a single task, so only use it for
@@ -41,8 +42,8 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
                    partitions: int | None = None) -> DataFrame:
     """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
 
-    Nulls and NaN are skipped. Exact, with linear interpolation between the two
-    values around rank (n - 1) * p.
+    Nulls and NaN are skipped. Exact: the values at ranks floor((n - 1) p) and
+    the next one, interpolated as numpy does.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -72,23 +73,33 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
     total = F.col("_total")
     aggs = [F.max("_total").alias("n")]
     for i, p in enumerate(probs):
-        pos = (total - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+        prev, nxt, _ = _positions(total, p)
+        for side, rank in (("lo", prev), ("hi", nxt)):
             hit = (F.col("_cum") - F.col("n") <= rank) & (rank < F.col("_cum"))
             aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}{i}"))
     picked = cum.groupBy("column").agg(*aggs)
 
     out = [F.col("column"), F.col("n")]
     for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        lo_key, hi_key = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        value = (F.when((lo == hi) | (lo_key == hi_key), lo_key)
-                 .otherwise((hi - pos) * lo_key + (pos - lo) * hi_key))
-        out.append(value.alias(_prob_name(i)))
+        _, _, gamma = _positions(F.col("n"), p)
+        out.append(_lerp(F.col(f"_lo{i}"), F.col(f"_hi{i}"), gamma).alias(_prob_name(i)))
     return picked.select(*out)
 
 
+def _positions(n: Column, p: float):
+    """0-based ranks around (n - 1) * p and the fraction between them (numpy 'linear')."""
+    pos = (n - 1) * F.lit(float(p))
+    prev = F.floor(pos)
+    nxt = F.least(prev + 1, n - 1)
+    return prev, nxt, pos - prev
+
+
+def _lerp(a: Column, b: Column, t: Column) -> Column:
+    """numpy's interpolation: a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5."""
+    diff = b - a
+    return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
+
+
 def _quartile_row(df: DataFrame, column: str, method: str, accuracy: int) -> DataFrame:
     """One row with q1, q3 (null when the column has no value)."""
     if method == "exact":

@@ -183,23 +183,46 @@ def _per_column_union(table: str, source: str, columns, value_sql: str, value_na
     return "\nUNION ALL ".join(parts)
 
 
+def _quantiles_sql(source: str, value: str, probs, names) -> str:
+    """One-row SELECT of numpy-linear quantiles of ``value`` over ``source``.
+
+    The values at 0-based ranks floor((n - 1) p) and the next one (capped at
+    n - 1) are picked with row_number(), then interpolated as numpy does:
+    a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5. Nulls and NaN skipped.
+    """
+    ranked = (f"SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS rk, COUNT(*) OVER () AS n "
+              f"FROM (SELECT CAST({value} AS DOUBLE) AS v FROM {source}) WHERE v IS NOT NULL AND NOT isnan(v)")
+    picks, outs = ["max(n) AS n"], []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        pos = f"((n - 1) * {float(p)!r}::DOUBLE)"
+        prev = f"floor({pos})"
+        nxt = f"least({prev} + 1, n - 1)"
+        picks.append(f"max(CASE WHEN rk = {prev} THEN v END) AS a{i}")
+        picks.append(f"max(CASE WHEN rk = {nxt} THEN v END) AS b{i}")
+        t = f"(((n - 1) * {float(p)!r}::DOUBLE) - floor((n - 1) * {float(p)!r}::DOUBLE))"
+        outs.append(f"CASE WHEN {t} >= 0.5 THEN b{i} - (b{i} - a{i}) * (1.0::DOUBLE - {t}) "
+                    f"ELSE a{i} + (b{i} - a{i}) * {t} END AS {name}")
+    return f"SELECT {', '.join(outs)} FROM (SELECT {', '.join(picks)} FROM ({ranked}))"
+
+
 def _describe(source: str, columns) -> str:
     parts = []
     for c in columns:
         v = f"(CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END)"
         std = (f"CASE WHEN bool_or(isinf({v})) THEN 'nan'::DOUBLE "
                f"ELSE {rnd(f'stddev_samp({v})')} END")
+        q = _quantiles_sql(source, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
         parts.append(
             f"SELECT '{c}' AS \"column\", COUNT({v}) AS count, {fmean(v)} AS mean, {std} AS std, "
-            f"MIN({v}) AS min, quantile_cont({v}, 0.25) AS p25, quantile_cont({v}, 0.5) AS p50, "
-            f"quantile_cont({v}, 0.75) AS p75, MAX({v}) AS max FROM {source}")
+            f"MIN({v}) AS min, (SELECT p25 FROM ({q})) AS p25, (SELECT p50 FROM ({q})) AS p50, "
+            f"(SELECT p75 FROM ({q})) AS p75, MAX({v}) AS max FROM {source}")
     return "\nUNION ALL ".join(parts)
 
 
 def _bounds(source: str, column: str) -> str:
+    q = _quantiles_sql(source, column, [0.25, 0.75], ["q1", "q3"])
     return (f"SELECT '{column}' AS \"column\", q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lb, "
-            f"q3 + 1.5 * (q3 - q1) AS ub FROM (SELECT quantile_cont({column}, 0.25) AS q1, "
-            f"quantile_cont({column}, 0.75) AS q3 FROM {source})")
+            f"q3 + 1.5 * (q3 - q1) AS ub FROM ({q})")
 
 
 def _corr(columns) -> str:
@@ -301,10 +324,8 @@ COUNT(amount) AS transaction_count FROM t WHERE client_id IS NOT NULL GROUP BY c
 SELECT errors, COUNT(amount) AS "count", {mavg('amount')} AS avg_amount FROM t
 WHERE errors <> 'No Errors' GROUP BY errors ORDER BY "count" DESC, errors""")
 
-    q["amount_quantiles"] = with_views(["t"], """
-SELECT quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM t""")
-    q["income_quantiles"] = with_views(["u"], """
-SELECT quantile_cont(yearly_income, 0.25) AS q1, quantile_cont(yearly_income, 0.75) AS q3 FROM u""")
+    q["amount_quantiles"] = with_views(["t"], _quantiles_sql("t", "amount", [0.25, 0.75], ["q1", "q3"]))
+    q["income_quantiles"] = with_views(["u"], _quantiles_sql("u", "yearly_income", [0.25, 0.75], ["q1", "q3"]))
     q["iqr_bounds"] = with_views(["t", "u"], _bounds("t", "amount") + "\nUNION ALL " + _bounds("u", "yearly_income"))
     n_txn_features = len(txn_cols) + len(TXN_FEATURE_COLUMNS)
     q["amount_low_outliers"] = with_views(["t"], f"""
