@@ -20,8 +20,12 @@ _PART_BITS = 33  # monotonically_increasing_id keeps the partition id above bit
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number",
-                      partitions: int | None = None) -> DataFrame:
-    """Add ``name``: 1-based position of each row in ``order`` (must be a total order)."""
+                      partitions: int | None = None, total_name: str | None = None) -> DataFrame:
+    """Add ``name``: 1-based position of each row in ``order`` (must be a total order).
+
+    ``total_name`` also adds the total row count, taken from the same
+    per-partition table.
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,9 +38,13 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: bounded by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                           F.sum("_n").over(Window.partitionBy()).alias("_total"))
     numbered = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return numbered.withColumn(name, F.col("_offset") + local + 1).drop("_part", "_offset", "_rid")
+    numbered = numbered.withColumn(name, F.col("_offset") + local + 1)
+    if total_name:
+        numbered = numbered.withColumnRenamed("_total", total_name)
+    return numbered.drop("_part", "_offset", "_rid", "_total")
 
 
 def ntile(df: DataFrame, order: list[Column], tiles: int, name: str = "ntile",
@@ -46,12 +54,12 @@ def ntile(df: DataFrame, order: list[Column], tiles: int, name: str = "ntile",
     With n rows, q = n div tiles and r = n mod tiles: the first r tiles hold
     q + 1 rows, the others q.
     """
-    numbered = global_row_number(df, order, "_rn", partitions)
-    total = numbered.agg(F.count(F.lit(1))).scalar()
+    numbered = global_row_number(df, order, "_rn", partitions, total_name="_n")
+    total = F.col("_n")
     q = F.floor(total / F.lit(tiles))
     r = total - q * F.lit(tiles)
     rn = F.col("_rn")
     big = r * (q + 1)
     tile = (F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1)
             .otherwise(r + F.floor((rn - 1 - big) / q) + 1))
-    return numbered.withColumn(name, tile.cast("int")).drop("_rn")
+    return numbered.withColumn(name, tile.cast("int")).drop("_rn", "_n")
