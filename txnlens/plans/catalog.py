@@ -22,32 +22,67 @@ from txnlens.sources import adapters
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Base tables are lazy plans; building one (reading footers, analysing joins)
+# costs a few hundred milliseconds, so each is built once per session and table
+# folder and shared by the queries. Every query still reads and processes the
+# data in full when it runs. ``forget`` drops them (e.g. after files change).
+_BASES: dict[tuple, DataFrame] = {}
+
+
+def _memo(build):
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, build.__name__)
+        df = _BASES.get(key)
+        if df is None:
+            df = _BASES[key] = build(spark, sf_dir)
+        return df
+    get.__name__ = build.__name__
+    get.__doc__ = build.__doc__
+    return get
+
+
+def forget() -> None:
+    """Drop the shared base-table plans."""
+    _BASES.clear()
+
+
+@_memo
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.txn_raw(spark, sf_dir)
 
 
+@_memo
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned transactions with features."""
-    return txn_features(clean_transactions(adapters.txn_raw(spark, sf_dir)))
+    return txn_features(clean_transactions(raw_transactions(spark, sf_dir)))
 
 
+@_memo
 def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.users_raw(spark, sf_dir)
 
 
+@_memo
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned users with features."""
-    return user_features(clean_users(adapters.users_raw(spark, sf_dir)))
+    return user_features(clean_users(raw_users(spark, sf_dir)))
 
 
+@_memo
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return card_features(adapters.cards(spark, sf_dir))
 
 
+@_memo
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.fraud_labels(spark, sf_dir)
 
 
+@_memo
+def mcc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.mcc_codes(spark, sf_dir)
+
+
 def _t(report) -> Query:
     return lambda spark, d: report(transactions(spark, d))
 
@@ -125,8 +160,7 @@ QUERIES: dict[str, Query] = {
     "customer_tiers": _t(risk.customer_tiers),
     "tier_summary": _t(lambda t: risk.tier_summary(risk.customer_tiers(t))),
     "geography": _t(risk.geography),
-    "merchant_categories": lambda s, d: risk.merchant_categories(transactions(s, d),
-                                                                 adapters.mcc_codes(s, d)),
+    "merchant_categories": lambda s, d: risk.merchant_categories(transactions(s, d), mcc_codes(s, d)),
     "refund_summary": _t(risk.refund_summary),
     "refund_customers": _t(risk.refund_customers),
     "error_rate_by_hour": _t(risk.error_rate_by_hour),
