@@ -46,3 +46,29 @@ def test_scan_reads_only_needed_columns(spark):
 def test_user_scan_pruned(spark):
     p = plan(QUERIES["gender_counts"](spark, SF_SMALL))
     assert "c_name" not in p and "c_mktsegment" not in p
+
+
+def _single_partition_windows(plan_text):
+    """Window operators whose input is gathered into a single partition."""
+    lines = plan_text.splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if "Window [" not in line:
+            continue
+        for nxt in lines[i + 1:i + 4]:
+            if "Exchange" in nxt:
+                if "SinglePartition" in nxt:
+                    found.append(line.strip()[:80])
+                break
+    return found
+
+
+# Windows over one partition are only allowed where the rows are bounded by a
+# domain (years, states) or by the partition count (per-partition offsets).
+BOUNDED_SINGLE_PARTITION = {"revenue_growth", "geography", "customer_tiers", "tier_summary"}
+
+
+def test_single_partition_windows_only_on_bounded_rows(spark):
+    seen = {k for k, q in QUERIES.items() if _single_partition_windows(plan(q(spark, SF_SMALL)))}
+    assert seen <= BOUNDED_SINGLE_PARTITION, seen - BOUNDED_SINGLE_PARTITION
+    assert "revenue_growth" in seen  # the detector works
