@@ -1,8 +1,9 @@
-"""Named report queries over a folder of benchmark tables.
+"""Named reports, over any ``Tables``, and the driver's queries over benchmark tables.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame: the tables
-are read from ``sf_dir``, adapted to the banking schema, cleaned, given their
-features and reported on, all in one logical plan.
+``REPORTS`` maps each report name to a function of ``Tables`` returning a lazy
+DataFrame. ``QUERIES`` binds the same reports to the benchmark tables in a
+folder: ``(spark, sf_dir) -> DataFrame``. Read, adapt, clean, features and the
+report form one logical plan.
 """
 
 from __future__ import annotations
@@ -13,162 +14,124 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.operators import aggregates as agg
 from txnlens.operators import binning, correlation, profile, quantiles, risk
-from txnlens.operators.cleaning import clean_transactions, clean_users
-from txnlens.operators.features import (
-    CARD_FEATURES, TXN_FEATURES, USER_FEATURES, card_features, txn_features, user_features,
-)
-from txnlens.sources import adapters
+from txnlens.operators.features import CARD_FEATURES, TXN_FEATURES, USER_FEATURES
+from txnlens.plans.tables import Tables
 
+Report = Callable[[Tables], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# Base tables are lazy plans; building one (reading footers, analysing joins)
-# costs a few hundred milliseconds, so each is built once per session and table
-# folder and shared by the queries. Every query still reads and processes the
-# data in full when it runs. ``forget`` drops them (e.g. after files change).
-_BASES: dict[tuple, DataFrame] = {}
+def _both(report) -> Report:
+    return lambda t: report(t.raw_transactions, "transactions").unionByName(report(t.raw_users, "users"))
 
 
-def _memo(build):
-    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir, build.__name__)
-        df = _BASES.get(key)
-        if df is None:
-            df = _BASES[key] = build(spark, sf_dir)
-        return df
-    get.__name__ = build.__name__
-    get.__doc__ = build.__doc__
-    return get
-
-
-def forget() -> None:
-    """Drop the shared base-table plans."""
-    _BASES.clear()
-
-
-@_memo
-def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.txn_raw(spark, sf_dir)
-
-
-@_memo
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned transactions with features."""
-    return txn_features(clean_transactions(raw_transactions(spark, sf_dir)))
-
-
-@_memo
-def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.users_raw(spark, sf_dir)
-
+REPORTS: dict[str, Report] = {
+    # profiling
+    "table_shape": _both(profile.table_shape),
+    "table_info": _both(profile.table_info),
+    "table_head": lambda t: profile.table_head(t.raw_transactions, "id"),
+    "users_head": lambda t: profile.table_head(t.raw_users, "id"),
+    "txn_features_head": lambda t: profile.table_head(t.transactions, "id").select("id", *TXN_FEATURES),
+    "user_features_head": lambda t: profile.table_head(t.users, "id").select("id", *USER_FEATURES),
+    "card_features_head": lambda t: profile.table_head(t.cards, "id").select("id", *CARD_FEATURES),
+    "null_counts": lambda t: profile.null_counts(t.clean_transactions, "transactions").unionByName(
+        profile.null_counts(t.clean_users, "users")),
+    "duplicate_rows": lambda t: profile.duplicate_rows(t.clean_users, "users"),
+    "describe_users": lambda t: profile.describe(t.users),
+    "describe_credit_score": lambda t: profile.describe(t.users, ["credit_score"]),
+    # cleaning and features
+    "clean_transactions": lambda t: t.clean_transactions,
+    "clean_users": lambda t: t.clean_users,
+    "txn_features": lambda t: t.transactions,
+    "user_features": lambda t: t.users,
+    "card_features": lambda t: t.cards,
+    # transaction reports
+    "txn_by_channel": lambda t: agg.txn_by_channel(t.transactions),
+    "txn_by_year": lambda t: agg.txn_by_year(t.transactions),
+    "busiest_hours": lambda t: agg.busiest_hours(t.transactions),
+    "top_states": lambda t: agg.top_states(t.transactions),
+    "top_cities": lambda t: agg.top_cities(t.transactions),
+    "customer_summary": lambda t: agg.customer_summary(t.transactions),
+    "top_spenders": lambda t: agg.top_spenders(t.transactions),
+    "most_active_customers": lambda t: agg.most_active_customers(t.transactions),
+    "error_types": lambda t: agg.error_types(t.transactions),
+    # quantiles and outliers
+    "amount_quantiles": lambda t: quantiles.quartiles(t.transactions, "amount"),
+    "income_quantiles": lambda t: quantiles.quartiles(t.users, "yearly_income"),
+    "iqr_bounds": lambda t: quantiles.iqr_bounds(t.transactions, "amount").unionByName(
+        quantiles.iqr_bounds(t.users, "yearly_income")),
+    "amount_low_outliers": lambda t: quantiles.shape(quantiles.outliers(t.transactions, "amount", "low")),
+    "amount_high_outliers": lambda t: quantiles.shape(quantiles.outliers(t.transactions, "amount", "high")),
+    "income_high_outliers": lambda t: quantiles.outliers(t.users, "yearly_income", "high"),
+    "income_low_outliers": lambda t: quantiles.outliers(t.users, "yearly_income", "low"),
+    # users
+    "gender_counts": lambda t: agg.gender_counts(t.users),
+    "gender_means": lambda t: agg.gender_means(t.users),
+    "credit_bands": lambda t: binning.credit_bands(t.users),
+    "retired_means": lambda t: agg.retired_means(t.users),
+    "user_correlations": lambda t: correlation.user_correlations(t.users),
+    # labels
+    "label_counts": lambda t: agg.label_counts(t.labels),
+    "label_shares": lambda t: agg.label_shares(t.labels),
+    # described analysis areas
+    "overview": lambda t: risk.overview(t.transactions),
+    "revenue_growth": lambda t: risk.revenue_growth(t.transactions),
+    "error_rate_by_type": lambda t: risk.error_rate_by_type(t.transactions),
+    "high_risk_customers": lambda t: risk.high_risk_customers(t.transactions),
+    "high_value_errors": lambda t: risk.high_value_errors(t.transactions),
+    "dark_web_cards": lambda t: risk.dark_web_cards(t.transactions, t.cards),
+    "unmatched_card_transactions": lambda t: risk.unmatched_card_transactions(t.transactions, t.cards),
+    "channel_mix_by_year": lambda t: risk.channel_mix_by_year(t.transactions),
+    "channel_mix_wide": lambda t: risk.channel_mix_wide(t.transactions),
+    "customer_tiers": lambda t: risk.customer_tiers(t.transactions),
+    "tier_summary": lambda t: risk.tier_summary(risk.customer_tiers(t.transactions)),
+    "geography": lambda t: risk.geography(t.transactions),
+    "merchant_categories": lambda t: risk.merchant_categories(t.transactions, t.mcc),
+    "refund_summary": lambda t: risk.refund_summary(t.transactions),
+    "refund_customers": lambda t: risk.refund_customers(t.transactions),
+    "error_rate_by_hour": lambda t: risk.error_rate_by_hour(t.transactions),
+    "error_rate_night": lambda t: risk.error_rate_night(t.transactions),
+    "chip_vs_swipe_errors": lambda t: risk.chip_vs_swipe_errors(t.transactions),
+    "dark_web_by_card_type": lambda t: risk.dark_web_by_card_type(t.cards),
+    "customer_risk": lambda t: risk.customer_risk(t.users, t.transactions, t.cards),
+    "risk_band_counts": lambda t: risk.risk_band_counts(risk.customer_risk(t.users, t.transactions, t.cards)),
+    "fraud_by_channel": lambda t: risk.fraud_by_channel(t.labels, t.transactions),
+}
 
-@_memo
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned users with features."""
-    return user_features(clean_users(raw_users(spark, sf_dir)))
+# The benchmark tables of a folder are built once per session (the key holds the
+# application id, so a new session never sees another's plans); ``forget``
+# drops them, e.g. after the files changed.
+_BENCHMARK: dict[tuple, Tables] = {}
 
 
-@_memo
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return card_features(adapters.cards(spark, sf_dir))
+def benchmark_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    tables = _BENCHMARK.get(key)
+    if tables is None:
+        tables = _BENCHMARK[key] = Tables.from_benchmark(spark, sf_dir)
+    return tables
 
 
-@_memo
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.fraud_labels(spark, sf_dir)
+def forget() -> None:
+    """Drop the shared benchmark-table plans."""
+    _BENCHMARK.clear()
 
 
-@_memo
-def mcc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.mcc_codes(spark, sf_dir)
+def _bind(report: Report) -> Query:
+    return lambda spark, sf_dir: report(benchmark_tables(spark, sf_dir))
 
 
-def _t(report) -> Query:
-    return lambda spark, d: report(transactions(spark, d))
+QUERIES: dict[str, Query] = {name: _bind(report) for name, report in REPORTS.items()}
 
 
-def _u(report) -> Query:
-    return lambda spark, d: report(users(spark, d))
+# Shortcuts used by tests and scripts.
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_tables(spark, sf_dir).transactions
 
 
-def _both(report, left, right) -> Query:
-    return lambda spark, d: report(left(spark, d), "transactions").unionByName(
-        report(right(spark, d), "users"))
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_tables(spark, sf_dir).users
 
 
-QUERIES: dict[str, Query] = {
-    # profiling
-    "table_shape": _both(profile.table_shape, raw_transactions, raw_users),
-    "table_info": _both(profile.table_info, raw_transactions, raw_users),
-    "table_head": lambda s, d: profile.table_head(raw_transactions(s, d), "id"),
-    "users_head": lambda s, d: profile.table_head(raw_users(s, d), "id"),
-    "txn_features_head": lambda s, d: profile.table_head(transactions(s, d), "id").select(
-        "id", *TXN_FEATURES),
-    "user_features_head": lambda s, d: profile.table_head(users(s, d), "id").select("id", *USER_FEATURES),
-    "card_features_head": lambda s, d: profile.table_head(cards(s, d), "id").select("id", *CARD_FEATURES),
-    "null_counts": lambda s, d: profile.null_counts(clean_transactions(raw_transactions(s, d)),
-                                                    "transactions").unionByName(
-        profile.null_counts(clean_users(raw_users(s, d)), "users")),
-    "duplicate_rows": lambda s, d: profile.duplicate_rows(clean_users(raw_users(s, d)), "users"),
-    "describe_users": _u(profile.describe),
-    "describe_credit_score": _u(lambda u: profile.describe(u, ["credit_score"])),
-    # cleaning and features
-    "clean_transactions": lambda s, d: clean_transactions(raw_transactions(s, d)),
-    "clean_users": lambda s, d: clean_users(raw_users(s, d)),
-    "txn_features": transactions,
-    "user_features": users,
-    "card_features": cards,
-    # transaction reports
-    "txn_by_channel": _t(agg.txn_by_channel),
-    "txn_by_year": _t(agg.txn_by_year),
-    "busiest_hours": _t(agg.busiest_hours),
-    "top_states": _t(agg.top_states),
-    "top_cities": _t(agg.top_cities),
-    "customer_summary": _t(agg.customer_summary),
-    "top_spenders": _t(agg.top_spenders),
-    "most_active_customers": _t(agg.most_active_customers),
-    "error_types": _t(agg.error_types),
-    # quantiles and outliers
-    "amount_quantiles": _t(lambda t: quantiles.quartiles(t, "amount")),
-    "income_quantiles": _u(lambda u: quantiles.quartiles(u, "yearly_income")),
-    "iqr_bounds": lambda s, d: quantiles.iqr_bounds(transactions(s, d), "amount").unionByName(
-        quantiles.iqr_bounds(users(s, d), "yearly_income")),
-    "amount_low_outliers": _t(lambda t: quantiles.shape(quantiles.outliers(t, "amount", "low"))),
-    "amount_high_outliers": _t(lambda t: quantiles.shape(quantiles.outliers(t, "amount", "high"))),
-    "income_high_outliers": _u(lambda u: quantiles.outliers(u, "yearly_income", "high")),
-    "income_low_outliers": _u(lambda u: quantiles.outliers(u, "yearly_income", "low")),
-    # users
-    "gender_counts": _u(agg.gender_counts),
-    "gender_means": _u(agg.gender_means),
-    "credit_bands": _u(binning.credit_bands),
-    "retired_means": _u(agg.retired_means),
-    "user_correlations": _u(correlation.user_correlations),
-    # labels
-    "label_counts": lambda s, d: agg.label_counts(labels(s, d)),
-    "label_shares": lambda s, d: agg.label_shares(labels(s, d)),
-    # described analysis areas
-    "overview": _t(risk.overview),
-    "revenue_growth": _t(risk.revenue_growth),
-    "error_rate_by_type": _t(risk.error_rate_by_type),
-    "high_risk_customers": _t(risk.high_risk_customers),
-    "high_value_errors": _t(risk.high_value_errors),
-    "dark_web_cards": lambda s, d: risk.dark_web_cards(transactions(s, d), cards(s, d)),
-    "unmatched_card_transactions": lambda s, d: risk.unmatched_card_transactions(
-        transactions(s, d), cards(s, d)),
-    "channel_mix_by_year": _t(risk.channel_mix_by_year),
-    "channel_mix_wide": _t(risk.channel_mix_wide),
-    "customer_tiers": _t(risk.customer_tiers),
-    "tier_summary": _t(lambda t: risk.tier_summary(risk.customer_tiers(t))),
-    "geography": _t(risk.geography),
-    "merchant_categories": lambda s, d: risk.merchant_categories(transactions(s, d), mcc_codes(s, d)),
-    "refund_summary": _t(risk.refund_summary),
-    "refund_customers": _t(risk.refund_customers),
-    "error_rate_by_hour": _t(risk.error_rate_by_hour),
-    "error_rate_night": _t(risk.error_rate_night),
-    "chip_vs_swipe_errors": _t(risk.chip_vs_swipe_errors),
-    "dark_web_by_card_type": lambda s, d: risk.dark_web_by_card_type(cards(s, d)),
-    "customer_risk": lambda s, d: risk.customer_risk(users(s, d), transactions(s, d), cards(s, d)),
-    "risk_band_counts": lambda s, d: risk.risk_band_counts(
-        risk.customer_risk(users(s, d), transactions(s, d), cards(s, d))),
-    "fraud_by_channel": lambda s, d: risk.fraud_by_channel(labels(s, d), transactions(s, d)),
-}
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_tables(spark, sf_dir).cards

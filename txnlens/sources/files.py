@@ -5,8 +5,8 @@ CSV files are read with every column as text (``multiLine`` off, so files stay
 splittable), pandas' missing-value markers are turned into null, and each
 column is then cast **by name** to the fixed schema: a CSV schema given to the
 reader would be applied by position and silently misplace columns of a file
-with another column order. Missing required columns raise; extra columns are
-kept, after the schema columns.
+with another column order. Columns keep the file's order; missing required
+columns raise; extra columns are kept as text.
 """
 
 from __future__ import annotations
@@ -44,10 +44,12 @@ def read_typed_csv(spark: SparkSession, path, schema: T.StructType, date_format:
     if missing:
         raise ValueError(f"missing columns {missing} in {path}")
     raw = null_na_strings(raw)
-    typed = [_cast(F.col(f"`{f.name}`"), f.dataType, date_format, strict).alias(f.name)
-             for f in schema.fields]
-    extra = [F.col(f"`{c}`") for c in raw.columns if c not in schema.fieldNames()]
-    return raw.select(*typed, *extra)
+    types = {f.name: f.dataType for f in schema.fields}
+    # the file's own column order, like pandas; known columns cast by name
+    return raw.select(*[
+        _cast(F.col(f"`{c}`"), types[c], date_format, strict).alias(c) if c in types else F.col(f"`{c}`")
+        for c in raw.columns
+    ])
 
 
 def read_transactions(spark: SparkSession, path, date_format: str | None = None,
