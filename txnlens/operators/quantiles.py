@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.schemas import IQR_FACTOR
-from txnlens.session import checkpoint_dir
+from txnlens.session import reliable_checkpoint
 
 _PART_BITS = 33
 
@@ -46,7 +46,6 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
     the next one, interpolated as numpy does.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if len(columns) == 1:
         long = df.select(F.lit(columns[0]).alias("column"), F.col(columns[0]).cast("double").alias("v"))
@@ -58,7 +57,7 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
             .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
     ranged = (freq.repartitionByRange(nparts, "column", "v").sortWithinPartitions("column", "v")
               .withColumn("_rid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True).withColumn("_part", F.shiftright("_rid", _PART_BITS))
+    ranged = reliable_checkpoint(ranged).withColumn("_part", F.shiftright("_rid", _PART_BITS))
 
     sizes = ranged.groupBy("column", "_part").agg(F.sum("n").alias("_pn"))
     before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.session import checkpoint_dir
+from txnlens.session import reliable_checkpoint
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
@@ -27,11 +27,10 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     per-partition table.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_rid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = reliable_checkpoint(ranged)
 
     part = F.shiftright(F.col("_rid"), _PART_BITS)
     local = F.col("_rid") - F.shiftleft(part, _PART_BITS)

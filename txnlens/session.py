@@ -26,3 +26,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="txnlens-checkpoint-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def reliable_checkpoint(df):
+    """Checkpoint ``df`` to the shared checkpoint folder and return the checkpointed frame.
+
+    ``df`` is persisted while its checkpoint is written, so the write does not
+    recompute it, and released right after; the result reads the written files.
+    """
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
