@@ -67,3 +67,12 @@ def test_correlation_symmetric_unit_diagonal(spark):
         assert r == m[(b, a)]
         if a == b:
             assert r == 1.0
+
+
+def test_approximate_overview_is_close(spark, txn):
+    from txnlens.operators import risk
+    exact = risk.overview(txn).first()
+    approx = risk.overview(txn, approx=True).first()
+    assert approx.transactions == exact.transactions
+    for c in ("customers", "cards", "merchants"):
+        assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
