@@ -21,7 +21,8 @@ from txnlens.operators.cleaning import clean_transactions, clean_users
 from txnlens.operators.correlation import correlation_matrix
 from txnlens.operators.features import txn_features, user_features
 from txnlens.operators.profile import describe, duplicate_rows
-from txnlens.sources.files import read_label_map, read_transactions
+from txnlens.schemas import TXN
+from txnlens.sources.files import parse_failures, read_label_map, read_transactions
 
 HEADER = "id,date,client_id,card_id,amount,use_chip,merchant_city,merchant_state,zip,merchant_id,mcc,errors"
 
@@ -220,3 +221,13 @@ def test_t3_label_map_bare_literals(spark, tmp_dir):
     path = _write(tmp_dir, "bare.json", '{"target": {"1": 0, "2": 1, "3": null, "4": true, "5": "Yes"}}\n')
     got = {r.id: r.Target for r in read_label_map(spark, path).collect()}
     assert got == {1: "0", 2: "1", 3: None, 4: "true", 5: "Yes"}
+
+
+def test_t2_bad_values_are_counted(spark, tmp_dir):
+    path = _write(tmp_dir, "t.csv", HEADER + "\n"
+                  "1,not a date,5,50,3.5,Chip Transaction,Austin,TX,1,9,5411,\n"
+                  "2,2016-02-29 23:59:59,x5,50,4.5,Chip Transaction,Austin,TX,NA,9,5411,\n"
+                  "3,,5,50,4.5,Chip Transaction,Austin,TX,1,9,5411,\n")
+    got = {r.column: r.failures for r in parse_failures(spark, path, TXN).collect()}
+    # an empty or NA field is missing, not a failure
+    assert got["date"] == 1 and got["client_id"] == 1 and got["zip"] == 0 and got["id"] == 0

@@ -52,6 +52,24 @@ def read_typed_csv(spark: SparkSession, path, schema: T.StructType, date_format:
     ])
 
 
+def parse_failures(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
+                   **options) -> DataFrame:
+    """Per typed column of ``schema``: values present in the CSV that did not parse.
+
+    The non-strict readers turn such values into null; this counts them (one
+    aggregation over the file), so bad dates or ids are reported, not lost.
+    Columns ``column``, ``failures``.
+    """
+    raw = null_na_strings(spark.read.option("header", True).option("escape", '"')
+                          .option("multiLine", False).options(**options).csv(path))
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType) and f.name in raw.columns]
+    counts = raw.agg(*[
+        F.count_if(F.col(f"`{f.name}`").isNotNull()
+                   & _cast(F.col(f"`{f.name}`"), f.dataType, date_format, False).isNull()).alias(f.name)
+        for f in typed])
+    return counts.unpivot([], [f.name for f in typed], "column", "failures")
+
+
 def read_transactions(spark: SparkSession, path, date_format: str | None = None,
                       strict: bool = False, **options) -> DataFrame:
     """Transactions CSV; ``amount`` stays text for ``clean_transactions``."""
