@@ -50,3 +50,16 @@ def test_available_depends_on_inputs(spark, tmp_path):
     assert "txn_by_channel" in names and "customer_risk" not in names and "label_counts" not in names
     with pytest.raises(ValueError):
         fa.report("gender_counts")
+
+
+def test_staged_reports_match(spark, analysis):
+    names = ["txn_by_channel", "revenue_growth", "customer_tiers", "amount_high_outliers", "dark_web_cards",
+             "fraud_by_channel", "customer_risk"]
+    before = {n: [tuple(r) for r in analysis.report(n).collect()] for n in names}
+    cols = {n: analysis.report(n).columns for n in names}
+    analysis.stage(files_per_value=2)
+    plan = analysis.report("txn_by_year")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "RLIKE" not in plan  # reads the staged copy, no re-parsing
+    for n in names:
+        got = analysis.report(n)
+        assert compare([tuple(r) for r in got.collect()], got.columns, before[n], cols[n]) == "exact", n

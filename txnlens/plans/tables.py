@@ -77,6 +77,12 @@ class Tables:
     def mcc(self) -> DataFrame:
         return self._load("mcc")
 
+    def use(self, name: str, df: DataFrame) -> None:
+        """Serve ``df`` as table ``name`` from now on (e.g. a staged copy)."""
+        if name not in ("transactions", "users", "cards", "labels", "mcc"):
+            raise ValueError(f"cannot replace {name!r}")
+        self.__dict__[name] = df
+
     @classmethod
     def from_benchmark(cls, spark: SparkSession, sf_dir: str) -> Tables:
         """The banking tables derived from the benchmark tables in ``sf_dir``."""
