@@ -47,14 +47,17 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
     """
     spark = df.sparkSession
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    present = F.col("v").isNotNull() & ~F.isnan("v")
     if len(columns) == 1:
-        long = df.select(F.lit(columns[0]).alias("column"), F.col(columns[0]).cast("double").alias("v"))
+        # one column: count per value alone (cheaper hash key), name it afterwards
+        freq = (df.select(F.col(columns[0]).cast("double").alias("v")).filter(present)
+                .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+                .select(F.lit(columns[0]).alias("column"), "v", "n"))
     else:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                           for c in columns])
-        long = df.select(F.inline(pairs))
-    freq = (long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+        freq = (df.select(F.inline(pairs)).filter(present)
+                .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
     ranged = (freq.repartitionByRange(nparts, "column", "v").sortWithinPartitions("column", "v")
               .withColumn("_rid", F.monotonically_increasing_id()))
     ranged = reliable_checkpoint(ranged).withColumn("_part", F.shiftright("_rid", _PART_BITS))
