@@ -37,3 +37,18 @@ def test_hot_value_is_split(spark):
     out = global_row_number(df, [F.desc("total"), F.asc("client_id")], "rn", 6)
     per_part = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert max(r["count"] for r in per_part) < 1500
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=300), st.integers(1, 9), st.integers(1, 7))
+def test_ntile_property(spark, totals, tiles, parts):
+    df = spark.createDataFrame([(i, float(t)) for i, t in enumerate(totals)], "client_id long, total double")
+    order = [F.desc("total"), F.asc("client_id")]
+    got = {r.client_id: r.t for r in ntile(df, order, tiles, "t", parts).collect()}
+    want = {r.client_id: r.t for r in df.select(
+        "client_id", F.ntile(tiles).over(Window.orderBy(*order)).alias("t")).collect()}
+    assert got == want
