@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -113,3 +114,19 @@ def test_bins_match_pandas_cut(spark, scores):
     cut = pd.cut(pd.Series(scores, dtype="float64"), bins=list(CREDIT_EDGES), labels=list(CREDIT_LABELS))
     want = [None if pd.isna(v) else str(v) for v in cut]
     assert got == want
+
+
+def test_strip_currency_matches_astype_float(spark):
+    from txnlens.functions.numeric import strip_currency
+    ok = ["$12.50", "$-3", "$1e3", " $7 ", "$inf", "-$INF", "$-Infinity", "$nan", "$NaN", "$+4.", "$.5",
+          "$1_000", "$1_0.2_5", "$2e1_0"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ok)], "i int, s string")
+    got = [r.v for r in df.select("i", strip_currency("s").alias("v")).orderBy("i").collect()]
+    want = pd.Series(ok).str.replace("$", "", regex=False).astype(float).tolist()
+    for g, w in zip(got, want):
+        assert (g is None and math.isnan(w)) or g == w
+    for bad in ["$1,000", "$1__000", "$_1", "$1_", "$1_.5", "$abc", "$1.0d", "$", "$0x10"]:
+        with pytest.raises(ValueError):
+            pd.Series([bad]).str.replace("$", "", regex=False).astype(float)
+        with pytest.raises(Exception):
+            spark.createDataFrame([(bad,)], "s string").select(strip_currency("s")).collect()

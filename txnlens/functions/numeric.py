@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from txnlens.schemas import NUM_PATTERN
+from txnlens.schemas import FLOAT_TEXT_PATTERN, NUM_PATTERN
 
 INF = float("inf")
 NAN = float("nan")
@@ -41,13 +41,19 @@ def to_number(c, currency_symbol: str | None = None) -> Column:
 def strip_currency(c, symbol: str = "$") -> Column:
     """Remove every literal ``symbol`` and cast to double; malformed text raises.
 
-    Null stays null. A value that is not a plain number after stripping fails the
-    job (like ``astype(float)``), also when ANSI mode is off.
+    Like ``astype(float)``: numbers parse (digits may be grouped by single
+    underscores, as Python's ``float`` allows), ``inf``/``infinity`` (any case,
+    signed) give +-inf, ``nan`` is missing (null here), and anything else fails
+    the job, also when ANSI mode is off. Null stays null.
     """
     s = F.replace(_c(c), F.lit(symbol), F.lit(""))
+    infinite = s.rlike(r"(?i)^\s*[+-]?inf(inity)?\s*$")
     return (
         F.when(s.isNull(), F.lit(None).cast("double"))
-        .when(s.rlike(NUM_PATTERN), F.trim(s).cast("double"))
+        .when(s.rlike(FLOAT_TEXT_PATTERN), F.replace(F.trim(s), F.lit("_"), F.lit("")).cast("double"))
+        .when(s.rlike(r"(?i)^\s*[+-]?nan\s*$"), F.lit(None).cast("double"))
+        .when(infinite & F.trim(s).startswith("-"), F.lit(-INF))
+        .when(infinite, F.lit(INF))
         .otherwise(F.raise_error(F.concat(F.lit("not a number: "), s)))
     )
 

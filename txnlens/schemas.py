@@ -41,6 +41,9 @@ FRAUD_YES = "Yes"
 # A plain decimal number: optional sign, digits with optional point, optional
 # exponent, optional surrounding blanks. Anything else is not a number.
 NUM_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# The same as Python's float() reads it (what astype(float) uses): digits may
+# also be grouped by single underscores, in the mantissa and the exponent.
+FLOAT_TEXT_PATTERN = r"^\s*[+-]?(\d(_?\d)*(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*$"
 
 # ---------------------------------------------------------------------------
 # Typed schemas (column name -> Spark type). Readers cast by name.
