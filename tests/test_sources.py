@@ -106,3 +106,12 @@ def test_streaming_resumes_from_checkpoint(spark, tmp_dir):
     q.awaitTermination(120)
     batch = hourly_error_rates(txn_features(clean_transactions(raw)))
     assert _same(spark.table("hourly_resume"), batch) == "exact"
+
+
+def test_readers_rename_source_columns(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "mcc.csv")
+    with open(path, "w") as f:
+        f.write("mcc_code,label\n5411,Grocery Stores\n5812,Restaurants\n")
+    df = read_mcc(spark, path, rename={"mcc_code": "code", "label": "description"})
+    assert df.dtypes == [("code", "int"), ("description", "string")]
+    assert {r.code: r.description for r in df.collect()} == {5411: "Grocery Stores", 5812: "Restaurants"}

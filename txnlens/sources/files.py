@@ -32,14 +32,18 @@ def _cast(c: Column, dtype: T.DataType, date_format: str | None, strict: bool) -
 
 
 def read_typed_csv(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
-                   strict: bool = False, **options) -> DataFrame:
+                   strict: bool = False, rename: dict[str, str] | None = None, **options) -> DataFrame:
     """CSV with a header, cast by column name to ``schema``.
 
     ``strict=False`` (default): a value that does not parse becomes null.
-    ``strict=True``: it fails the job (ANSI cast).
+    ``strict=True``: it fails the job (ANSI cast). ``rename`` maps the file's
+    column names to the schema's (e.g. ``{"on_dark_web": "card_on_dark_web"}``)
+    for sources whose headers differ.
     """
     raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", False)
            .options(**options).csv(path))
+    if rename:
+        raw = raw.withColumnsRenamed(rename)
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
     if missing:
         raise ValueError(f"missing columns {missing} in {path}")
@@ -71,25 +75,26 @@ def parse_failures(spark: SparkSession, path, schema: T.StructType, date_format:
 
 
 def read_transactions(spark: SparkSession, path, date_format: str | None = None,
-                      strict: bool = False, **options) -> DataFrame:
+                      strict: bool = False, rename: dict[str, str] | None = None, **options) -> DataFrame:
     """Transactions CSV; ``amount`` stays text for ``clean_transactions``."""
-    return read_typed_csv(spark, path, TXN, date_format, strict, **options)
+    return read_typed_csv(spark, path, TXN, date_format, strict, rename, **options)
 
 
-def read_users(spark: SparkSession, path, strict: bool = False, **options) -> DataFrame:
+def read_users(spark: SparkSession, path, strict: bool = False, rename: dict[str, str] | None = None,
+               **options) -> DataFrame:
     """Users CSV; money columns stay ``$``-prefixed text for ``clean_users``."""
-    return read_typed_csv(spark, path, USERS, None, strict, **options)
+    return read_typed_csv(spark, path, USERS, None, strict, rename, **options)
 
 
 def read_cards(spark: SparkSession, path, date_format: str | None = None, strict: bool = False,
-               **options) -> DataFrame:
+               rename: dict[str, str] | None = None, **options) -> DataFrame:
     """Cards CSV. ``date_format`` (e.g. ``MM/yyyy``) if the dates are not ISO."""
-    return read_typed_csv(spark, path, CARDS, date_format, strict, **options)
+    return read_typed_csv(spark, path, CARDS, date_format, strict, rename, **options)
 
 
-def read_mcc(spark: SparkSession, path, **options) -> DataFrame:
+def read_mcc(spark: SparkSession, path, rename: dict[str, str] | None = None, **options) -> DataFrame:
     """Merchant category lookup CSV with columns ``code`` and ``description``."""
-    return read_typed_csv(spark, path, MCC, None, False, **options)
+    return read_typed_csv(spark, path, MCC, None, False, rename, **options)
 
 
 # one "id": label pair at the end of a piece (the label a JSON string or a bare
