@@ -42,7 +42,7 @@ REPORTS = {
     "top_spenders": agg.top_spenders,
     "error_types": agg.error_types,
     "amount_quantiles": lambda t: quantiles.quartiles(t, "amount"),
-    "amount_high_outliers": lambda t: quantiles.shape(quantiles.outliers(t, "amount", "high")),
+    "amount_high_outliers": lambda t: quantiles.outlier_shape(t, "amount", "high"),
     "overview": risk.overview,
     "revenue_growth": risk.revenue_growth,
     "error_rate_by_type": risk.error_rate_by_type,

@@ -55,3 +55,14 @@ def test_methods_agree_on_small_data(spark):
     approx = quartiles(df, "x", method="approx").first()
     assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(exact, single))
     assert all(math.isclose(a, b, abs_tol=1.5) for a, b in zip(exact, approx))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_outlier_shape_equals_filtered_count(spark, seed):
+    from txnlens.operators.quantiles import outlier_shape, outliers, shape
+    rnd = random.Random(seed)
+    rows = [(float(rnd.choice([0, 1, 1, 2, 3, 50, -40])) if i % 9 else None, i) for i in range(800)]
+    df = spark.createDataFrame(rows, "x double, i int")
+    for side in ("low", "high"):
+        assert tuple(outlier_shape(df, "x", side, partitions=4).first()) == \
+            tuple(shape(outliers(df, "x", side)).first())

@@ -38,13 +38,9 @@ def _prob_name(i: int) -> str:
     return f"_q{i}"
 
 
-def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
-                   partitions: int | None = None) -> DataFrame:
-    """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
-
-    Nulls and NaN are skipped. Exact: the values at ranks floor((n - 1) p) and
-    the next one, interpolated as numpy does.
-    """
+def _ranked_value_counts(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
+    """Checkpointed (column, v, n, _rid, _part): one row per distinct non-null value,
+    range-partitioned and sorted, with fixed partition ids and positions."""
     spark = df.sparkSession
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     present = F.col("v").isNotNull() & ~F.isnan("v")
@@ -60,8 +56,10 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
                 .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
     ranged = (freq.repartitionByRange(nparts, "column", "v").sortWithinPartitions("column", "v")
               .withColumn("_rid", F.monotonically_increasing_id()))
-    ranged = reliable_checkpoint(ranged).withColumn("_part", F.shiftright("_rid", _PART_BITS))
+    return reliable_checkpoint(ranged).withColumn("_part", F.shiftright("_rid", _PART_BITS))
+
 
+def _quantiles_from_counts(ranged: DataFrame, probs: list[float]) -> DataFrame:
     sizes = ranged.groupBy("column", "_part").agg(F.sum("n").alias("_pn"))
     before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (column, partition): bounded by columns x partitions
@@ -88,6 +86,16 @@ def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
     return picked.select(*out)
 
 
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
+                   partitions: int | None = None) -> DataFrame:
+    """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
+
+    Nulls and NaN are skipped. Exact: the values at ranks floor((n - 1) p) and
+    the next one, interpolated as numpy does.
+    """
+    return _quantiles_from_counts(_ranked_value_counts(df, columns, partitions), probs)
+
+
 def _positions(n: Column, p: float):
     """0-based ranks around (n - 1) * p and the fraction between them (numpy 'linear')."""
     pos = (n - 1) * F.lit(float(p))
@@ -146,6 +154,29 @@ def outliers(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
     raise ValueError(f"side must be 'low' or 'high', not {side!r}")
 
 
+def outlier_shape(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
+                  partitions: int | None = None) -> DataFrame:
+    """One row: rows and columns of ``outliers(df, column, side)`` without a second scan.
+
+    The quartiles are computed from per-value row counts; the number of rows
+    beyond the fence is the sum of those counts over the values beyond it, so
+    ``df`` is read once.
+    """
+    if side not in ("low", "high"):
+        raise ValueError(f"side must be 'low' or 'high', not {side!r}")
+    ranged = _ranked_value_counts(df, [column], partitions)
+    q = _quantiles_from_counts(ranged, [0.25, 0.75]).agg(F.max("_q0").alias("q1"), F.max("_q1").alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    if side == "low":
+        fence = q.select(F.col("q1") - F.lit(factor) * iqr).scalar()
+        beyond = F.col("v") < fence
+    else:
+        fence = q.select(F.col("q3") + F.lit(factor) * iqr).scalar()
+        beyond = F.col("v") > fence
+    return ranged.filter(beyond).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows")).select(
+        "rows", F.lit(len(df.columns)).alias("columns"))
+
+
 def shape(df: DataFrame) -> DataFrame:
     """One row: rows and columns of ``df`` (pandas ``.shape``)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"))

@@ -60,8 +60,8 @@ REPORTS: dict[str, Report] = {
     "income_quantiles": lambda t: quantiles.quartiles(t.users, "yearly_income"),
     "iqr_bounds": lambda t: quantiles.iqr_bounds(t.transactions, "amount").unionByName(
         quantiles.iqr_bounds(t.users, "yearly_income")),
-    "amount_low_outliers": lambda t: quantiles.shape(quantiles.outliers(t.transactions, "amount", "low")),
-    "amount_high_outliers": lambda t: quantiles.shape(quantiles.outliers(t.transactions, "amount", "high")),
+    "amount_low_outliers": lambda t: quantiles.outlier_shape(t.transactions, "amount", "low"),
+    "amount_high_outliers": lambda t: quantiles.outlier_shape(t.transactions, "amount", "high"),
     "income_high_outliers": lambda t: quantiles.outliers(t.users, "yearly_income", "high"),
     "income_low_outliers": lambda t: quantiles.outliers(t.users, "yearly_income", "low"),
     # users
