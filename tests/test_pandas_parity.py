@@ -8,7 +8,6 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from txnlens.functions.dates import whole_days
 from txnlens.functions.numeric import round_half_even, safe_ratio, to_number
