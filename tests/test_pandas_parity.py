@@ -129,3 +129,46 @@ def test_strip_currency_matches_astype_float(spark):
             pd.Series([bad]).str.replace("$", "", regex=False).astype(float)
         with pytest.raises(Exception):
             spark.createDataFrame([(bad,)], "s string").select(strip_currency("s")).collect()
+
+
+special = st.sampled_from([math.inf, -math.inf, math.nan])
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), special, st.integers(-1000, 1000).map(lambda v: v / 8))),
+                min_size=1, max_size=60))
+def test_float_mean_matches_pandas(spark, rows):
+    from txnlens.operators.aggregates import group_means
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g int, x double")
+    got = {r.g: r.x for r in group_means(df, "g", ["x"]).collect()}
+    want = pd.DataFrame(rows, columns=["g", "x"]).astype({"x": "float64"}).groupby("g")["x"].mean()
+    assert set(got) == set(want.index)
+    for g, w in want.items():
+        v = got[g]
+        if math.isnan(w):
+            assert v is None or math.isnan(v)
+        elif math.isinf(w):
+            assert v == w
+        else:
+            assert math.isclose(v, w, rel_tol=1e-12, abs_tol=1e-12)
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["Yes", "No", "Maybe"])), min_size=1, max_size=80))
+def test_value_shares_match_pandas(spark, labels):
+    from txnlens.operators.aggregates import value_counts, value_shares
+    df = spark.createDataFrame([(v,) for v in labels], "Target string")
+    s = pd.Series(labels, dtype=object)
+    assert {r.Target: r["count"] for r in value_counts(df, "Target").collect()} == s.value_counts().to_dict()
+    assert {r.Target: r.proportion for r in value_shares(df, "Target").collect()} == \
+        s.value_counts(normalize=True).to_dict()
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.sampled_from(["a", "b", None])),
+                min_size=1, max_size=60))
+def test_duplicates_match_pandas(spark, rows):
+    from txnlens.operators.profile import duplicate_rows
+    df = spark.createDataFrame(rows, "a int, b string")
+    want = int(pd.DataFrame(rows, columns=["a", "b"]).duplicated().sum())
+    assert duplicate_rows(df, "t").first().duplicates == want
