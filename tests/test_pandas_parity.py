@@ -172,3 +172,29 @@ def test_duplicates_match_pandas(spark, rows):
     df = spark.createDataFrame(rows, "a int, b string")
     want = int(pd.DataFrame(rows, columns=["a", "b"]).duplicated().sum())
     assert duplicate_rows(df, "t").first().duplicates == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-50, 50)),
+                          st.one_of(st.none(), st.sampled_from([math.inf]), st.integers(0, 400).map(lambda v: v / 4))),
+                min_size=1, max_size=80))
+def test_describe_matches_pandas(spark, rows):
+    from txnlens.operators.profile import describe
+    pdf = pd.DataFrame(rows, columns=["a", "b"], dtype="float64")
+    df = spark.createDataFrame([tuple(None if v is None else float(v) for v in r) for r in rows], "a double, b double")
+    got = {r.column: r for r in describe(df).collect()}
+    want = pdf.describe()
+    for c in ("a", "b"):
+        g, w = got[c], want[c]
+        assert g["count"] == int(w["count"])
+        for ours, theirs in (("min", "min"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
+            v, t = g[ours], w[theirs]
+            assert (v is None and math.isnan(t)) or (v is not None and math.isnan(v) and math.isnan(t)) or v == t
+        for ours, theirs in (("mean", "mean"), ("std", "std")):
+            v, t = g[ours], w[theirs]
+            if math.isnan(t):
+                assert v is None or math.isnan(v)
+            elif math.isinf(t):
+                assert v == t
+            else:
+                assert math.isclose(v, t, rel_tol=1e-9, abs_tol=1e-8)
