@@ -198,3 +198,21 @@ def test_describe_matches_pandas(spark, rows):
                 assert v == t
             else:
                 assert math.isclose(v, t, rel_tol=1e-9, abs_tol=1e-8)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["x", "y", "z"])),
+                          st.one_of(st.none(), st.integers(-100000, 100000).map(lambda v: v / 100))),
+                min_size=1, max_size=80))
+def test_grouped_count_sum_mean_match_pandas(spark, rows):
+    from txnlens.operators.aggregates import amount_by
+    df = spark.createDataFrame(rows, "k string, amount double")
+    got = {r.k: r for r in amount_by(df, "k", "n", "total", "mean").collect()}
+    want = pd.DataFrame(rows, columns=["k", "amount"]).astype({"amount": "float64"}).groupby("k")["amount"].agg(
+        ["count", "sum", "mean"])
+    assert set(got) == set(want.index)
+    for k, w in want.iterrows():
+        g = got[k]
+        assert g.n == w["count"]
+        assert math.isclose(g.total, w["sum"], rel_tol=1e-12, abs_tol=1e-9)
+        assert (g.mean is None and math.isnan(w["mean"])) or math.isclose(g.mean, w["mean"], rel_tol=1e-12, abs_tol=1e-9)
