@@ -6,7 +6,7 @@ task. Rows are first reduced to one row per distinct value with its count
 one row per task). Those value counts are range-partitioned and sorted, and
 checkpointed so each row's partition and position are fixed. Cumulative counts
 then come from per-partition offsets (one row per partition and column) plus a
-running sum inside each partition. The value at a rank is picked by a
+running sum inside the few partitions that hold a wanted rank. The value at a rank is picked by a
 conditional aggregate, so memory per task is bounded by a partition of
 distinct values. Interpolation is numpy's linear method (what pandas
 ``quantile`` uses), bit for bit; Spark's ``percentile`` interpolates with a
@@ -63,12 +63,20 @@ def _quantiles_from_counts(ranged: DataFrame, probs: list[float]) -> DataFrame:
     sizes = ranged.groupBy("column", "_part").agg(F.sum("n").alias("_pn"))
     before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per (column, partition): bounded by columns x partitions
-    offsets = sizes.select("column", "_part", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"),
+    offsets = sizes.select("column", "_part", "_pn",
+                           F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"),
                            F.sum("_pn").over(Window.partitionBy("column")).alias("_total"))
+    # only the partitions holding a wanted rank (at most two per probability and
+    # column) go through the running-sum window
+    holds = None
+    for p in probs:
+        for rank in _positions(F.col("_total"), p)[:2]:
+            inside = (F.col("_off") <= rank) & (rank < F.col("_off") + F.col("_pn"))
+            holds = inside if holds is None else holds | inside
+    wanted = offsets.filter(holds).select("column", "_part", "_off", "_total")
     upto = Window.partitionBy("_part", "column").orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (ranged.withColumn("_within", F.sum("n").over(upto))
-           .join(F.broadcast(offsets), ["column", "_part"])
-           .withColumn("_cum", F.col("_off") + F.col("_within")))
+    cum = (ranged.join(F.broadcast(wanted), ["column", "_part"])
+           .withColumn("_cum", F.col("_off") + F.sum("n").over(upto)))
 
     total = F.col("_total")
     aggs = [F.max("_total").alias("n")]
