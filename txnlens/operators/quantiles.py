@@ -43,20 +43,23 @@ def _ranked_value_counts(df: DataFrame, columns: list[str], partitions: int | No
     range-partitioned and sorted, with fixed partition ids and positions."""
     spark = df.sparkSession
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    present = F.col("v").isNotNull() & ~F.isnan("v")
     if len(columns) == 1:
         # one column: count per value alone (cheaper hash key), name it afterwards
-        freq = (df.select(F.col(columns[0]).cast("double").alias("v")).filter(present)
+        freq = (df.select(F.col(columns[0]).cast("double").alias("v"))
                 .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
                 .select(F.lit(columns[0]).alias("column"), "v", "n"))
     else:
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                           for c in columns])
-        freq = (df.select(F.inline(pairs)).filter(present)
-                .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+        freq = df.select(F.inline(pairs)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     ranged = (freq.repartitionByRange(nparts, "column", "v").sortWithinPartitions("column", "v")
               .withColumn("_rid", F.monotonically_increasing_id()))
-    return reliable_checkpoint(ranged).withColumn("_part", F.shiftright("_rid", _PART_BITS))
+    # Null and NaN are counted as groups and dropped only now: a filter on ``v``
+    # before the aggregation would be pushed below the projection that computes
+    # it and evaluate that (possibly costly) expression once more per condition.
+    present = F.col("v").isNotNull() & ~F.isnan("v")
+    return (reliable_checkpoint(ranged).filter(present)
+            .withColumn("_part", F.shiftright("_rid", _PART_BITS)))
 
 
 def _quantiles_from_counts(ranged: DataFrame, probs: list[float]) -> DataFrame:
