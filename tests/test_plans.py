@@ -72,3 +72,15 @@ def test_single_partition_windows_only_on_bounded_rows(spark):
     seen = {k for k, q in QUERIES.items() if _single_partition_windows(plan(q(spark, SF_SMALL)))}
     assert seen <= BOUNDED_SINGLE_PARTITION, seen - BOUNDED_SINGLE_PARTITION
     assert "revenue_growth" in seen  # the detector works
+
+
+def test_amount_is_parsed_once_per_row(spark):
+    from txnlens.operators.quantiles import value_counts_of
+    from txnlens.plans.catalog import transactions
+    from txnlens.schemas import NUM_PATTERN
+    # the value counts behind the exact quantiles: one parse per row
+    assert plan(value_counts_of(transactions(spark, SF_SMALL), ["amount"])).count(NUM_PATTERN) == 1
+    # every report: at most one parse site, except where a scalar subquery
+    # re-plans the same aggregate (its shuffle is reused at run time)
+    over = {k for k, q in QUERIES.items() if plan(q(spark, SF_SMALL)).count(NUM_PATTERN) > 1}
+    assert over <= {"refund_customers"}, over

@@ -38,21 +38,25 @@ def _prob_name(i: int) -> str:
     return f"_q{i}"
 
 
+def value_counts_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, v, n): rows per distinct value of each column, null and NaN included."""
+    if len(columns) == 1:
+        # one column: count per value alone (cheaper hash key), name it afterwards
+        return (df.select(F.col(columns[0]).cast("double").alias("v"))
+                .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+                .select(F.lit(columns[0]).alias("column"), "v", "n"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                      for c in columns])
+    return df.select(F.inline(pairs)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _ranked_value_counts(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
     """Checkpointed (column, v, n, _rid, _part): one row per distinct non-null value,
     range-partitioned and sorted, with fixed partition ids and positions."""
     spark = df.sparkSession
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if len(columns) == 1:
-        # one column: count per value alone (cheaper hash key), name it afterwards
-        freq = (df.select(F.col(columns[0]).cast("double").alias("v"))
-                .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(columns[0]).alias("column"), "v", "n"))
-    else:
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                          for c in columns])
-        freq = df.select(F.inline(pairs)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranged = (freq.repartitionByRange(nparts, "column", "v").sortWithinPartitions("column", "v")
+    ranged = (value_counts_of(df, columns).repartitionByRange(nparts, "column", "v")
+              .sortWithinPartitions("column", "v")
               .withColumn("_rid", F.monotonically_increasing_id()))
     # Null and NaN are counted as groups and dropped only now: a filter on ``v``
     # before the aggregation would be pushed below the projection that computes
