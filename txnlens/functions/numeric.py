@@ -92,7 +92,9 @@ def money_units(c) -> Column:
     BigDecimal per group). The two sums are combined in decimal once per group.
     Equals summing ``cast(c as decimal(24,6))`` for values with at most six
     decimals (money); a tie at the seventh decimal rounds half to even here and
-    half up in the cast.
+    half up in the cast. Limit: values and per-group totals must stay below
+    about 9e16 in magnitude (BIGINT cents); beyond that ANSI mode raises an
+    overflow error, and with ANSI off Spark's BIGINT arithmetic wraps.
     """
     c = _c(c).cast("double")
     cents = F.rint(c * F.lit(100.0))
