@@ -76,3 +76,13 @@ def test_approximate_overview_is_close(spark, txn):
     assert approx.transactions == exact.transactions
     for c in ("customers", "cards", "merchants"):
         assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
+
+
+def test_approximate_distinct_options_are_close(spark, txn):
+    from txnlens.operators import risk
+    for report, col in ((risk.revenue_growth, "customers"), (risk.geography, "merchants")):
+        key = "year" if report is risk.revenue_growth else "merchant_state"
+        exact = {r[key]: r[col] for r in report(txn).collect()}
+        approx = {r[key]: r[col] for r in report(txn, approx=True).collect()}
+        assert exact.keys() == approx.keys()
+        assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)

@@ -62,13 +62,18 @@ def overview(txn: DataFrame, approx: bool = False) -> DataFrame:
 
 
 # D-2 ------------------------------------------------------------------------
-def revenue_growth(txn: DataFrame) -> DataFrame:
-    """Per year: transactions, revenue, average amount, customers, growth in %."""
+def revenue_growth(txn: DataFrame, approx: bool = False) -> DataFrame:
+    """Per year: transactions, revenue, average amount, customers, growth in %.
+
+    ``approx=True`` counts customers with HyperLogLog (one aggregation, no
+    distinct-key shuffle) instead of exactly.
+    """
+    distinct = F.approx_count_distinct if approx else F.countDistinct
     per_year = txn.filter(F.col("year").isNotNull()).groupBy("year").agg(
         F.count(F.lit(1)).alias("transactions"),
         money_sum("amount").alias("revenue"),
         money_avg("amount").alias("avg_amount"),
-        F.countDistinct("client_id").alias("customers"),
+        distinct("client_id").alias("customers"),
     )
     # one row per calendar year
     prev = F.lag("revenue").over(Window.orderBy("year"))
@@ -176,12 +181,16 @@ def tier_summary(tiers: DataFrame) -> DataFrame:
 
 
 # D-7 ------------------------------------------------------------------------
-def geography(txn: DataFrame) -> DataFrame:
-    """Per state (ONLINE included): volume, revenue, merchants, share and rank."""
+def geography(txn: DataFrame, approx: bool = False) -> DataFrame:
+    """Per state (ONLINE included): volume, revenue, merchants, share and rank.
+
+    ``approx=True`` counts merchants with HyperLogLog instead of exactly.
+    """
+    distinct = F.approx_count_distinct if approx else F.countDistinct
     per_state = txn.filter(F.col("merchant_state").isNotNull()).groupBy("merchant_state").agg(
         F.count(F.lit(1)).alias("transactions"),
         money_sum("amount").alias("revenue"),
-        F.countDistinct("merchant_id").alias("merchants"),
+        distinct("merchant_id").alias("merchants"),
     )
     n_txn = per_state.agg(F.sum("transactions")).scalar()
     # one row per state
