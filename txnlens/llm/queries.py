@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.llm.fingerprints import fingerprint_edits
+from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.quality_rules import compression_rules
 from txnlens.llm.tables import table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,7 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_compression_bands": op6_compression_bands,
     "op8_bottom_k": op8_bottom_k,
 }
