@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.quality_rules import compression_rules
+from txnlens.llm.substring_dedup import substring_report
 from txnlens.llm.tables import table
 
 
@@ -20,6 +21,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_compression_bands": op6_compression_bands,
+    "op7_substring_doubling": op7_substring_doubling,
     "op8_bottom_k": op8_bottom_k,
 }
 

@@ -97,13 +97,13 @@ class Slice:
 class Hasher:
     """Hashes of words and of word windows. Made inside a task, one per task."""
 
-    def __init__(self, fold: bool = False, seed: int = 1) -> None:
-        """``fold`` reads A-Z as a-z; different seeds give independent hashes."""
+    def __init__(self, fold: bool = False, seed: int = 1, window_base: int = _WINDOW_BASE) -> None:
+        """``fold`` reads A-Z as a-z; different (odd) window bases give independent window hashes."""
         self.table = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 64, 256, dtype=np.uint64)
         if fold:
             self.table[65:91] = self.table[97:123]
         self.separator = is_separator()
-        self.bytes, self.words = Powers(_BASE), Powers(_WINDOW_BASE)
+        self.bytes, self.words = Powers(_BASE), Powers(window_base)
 
     def slices(self, text: pa.Array) -> Iterator[tuple[int, Slice]]:
         """(first row, Slice) for runs of rows of at most SLICE_BYTES, or one longer row. Null reads as empty."""
