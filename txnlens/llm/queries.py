@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.llm.bpe import encoding_report
 from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.ngram_join import ngram_jaccard_groups
+from txnlens.llm.packing import pack_documents
 from txnlens.llm.quality_rules import compression_rules
 from txnlens.llm.substring_dedup import substring_report
 from txnlens.llm.tables import table
@@ -17,6 +20,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"),
+                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
@@ -29,11 +37,19 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the same vocabulary as byte_bpe_50k.json, as ranks
+    return pack_documents(table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_compression_bands": op6_compression_bands,
     "op7_substring_doubling": op7_substring_doubling,
     "op8_bottom_k": op8_bottom_k,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
