@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.llm.bpe import encoding_report
 from txnlens.llm.fingerprints import fingerprint_edits
+from txnlens.llm.html_text import extract_pages
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.packing import pack_documents
 from txnlens.llm.quality_rules import compression_rules
@@ -16,6 +17,10 @@ from txnlens.llm.substring_dedup import substring_report
 from txnlens.llm.tables import table
 
 
+def op1_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
 
@@ -44,6 +49,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_text_to_tag_ratio": op1_text_to_tag_ratio,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_compression_bands": op6_compression_bands,
