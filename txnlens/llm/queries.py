@@ -12,6 +12,7 @@ from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.html_text import extract_pages
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.packing import pack_documents
+from txnlens.llm.quality_model import fit_quality, score_quality
 from txnlens.llm.quality_rules import compression_rules
 from txnlens.llm.substring_dedup import substring_report
 from txnlens.llm.tables import table
@@ -30,6 +31,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_to_tag_ratio": op1_text_to_tag_ratio,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_factorisation_machine": op5_factorisation_machine,
     "op6_compression_bands": op6_compression_bands,
     "op7_substring_doubling": op7_substring_doubling,
     "op8_bottom_k": op8_bottom_k,
