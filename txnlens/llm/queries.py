@@ -12,6 +12,7 @@ from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.html_text import extract_pages
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.packing import pack_documents
+from txnlens.llm.pii import surrogate_report
 from txnlens.llm.quality_model import fit_quality, score_quality
 from txnlens.llm.quality_rules import compression_rules
 from txnlens.llm.substring_dedup import substring_report
@@ -54,6 +55,10 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_to_tag_ratio": op1_text_to_tag_ratio,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_doubling": op7_substring_doubling,
     "op8_bottom_k": op8_bottom_k,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
