@@ -32,3 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Keys that may be broadcast (8 bytes each and a hash table's overhead).
+BROADCAST_KEYS = 500_000
+
+
+def only(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is one of ``keys`` (one column, already cut): by broadcast up to BROADCAST_KEYS, else by a shuffle."""
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
