@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.llm.tables import cut, text_rows
+from txnlens.llm.tables import cut, only, text_rows
 from txnlens.llm.words import Hasher, Slice
 
 WINDOW_WORDS = 50
@@ -75,11 +75,11 @@ def _signatures(start: int):
                 anchors = [np.unique(least[a:max(a, b - 2 * start + 1)]).view(np.int64) for a, b in bounds]
                 plain = np.where(part.inside, part.data, np.uint8(32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array(np.diff(part.first)),
+                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(np.diff(part.first)),
                      pa.array([_digest(words[a:b]) for a, b in bounds], pa.binary()),
                      pa.array([hashlib.sha256(_joined(part, plain, np.arange(a, b))).hexdigest() for a, b in bounds], pa.string()),
                      _lists(np.concatenate(anchors), [len(x) for x in anchors])],
-                    names=["doc_id", "n_words", "digest", "sha", "anchors"])
+                    names=["doc_id", "hash", "n_words", "digest", "sha", "anchors"])
 
     return run
 
@@ -115,7 +115,7 @@ def _windows(length: int, pick):
                      _lists(one.spans(words, starts, length).view(np.int64), counts),
                      _lists((two.spans(words, starts, length) >> np.uint64(32)).astype(np.uint32).view(np.int32), counts),
                      _lists((starts - np.repeat(part.first[:-1], counts)).astype(np.int32), counts)],
-                    names=["doc_id", "digest", "h1", "h2", "pos"])
+                    names=["doc_id", "part", "h1", "h2", "pos"])
 
     return run
 
@@ -150,7 +150,8 @@ def _cover(window: int):
         for batch in batches:
             for at, part in hasher.slices(batch.column(2)):
                 plain = np.where(part.inside, part.data, np.uint8(32))
-                removed, sha, text = [], [], []
+                words = hasher.of_words(part)
+                digest, removed, sha, text = [], [], [], []
                 for i in range(len(part)):
                     a, b = part.first[i], part.first[i + 1]
                     pos = np.asarray(batch.column(3)[at + i].values)
@@ -158,6 +159,7 @@ def _cover(window: int):
                     np.add.at(step, pos, 1)
                     np.add.at(step, pos + window, -1)
                     gone = np.cumsum(step)[:-1] > 0
+                    digest.append(_digest(words[a:b]))
                     removed.append(int(gone.sum()))
                     sha.append(hashlib.sha256(_joined(part, plain, a + np.flatnonzero(~gone))).hexdigest())
                     # a removed word goes with the white space after it
@@ -165,9 +167,9 @@ def _cover(window: int):
                     keep = np.repeat(np.concatenate(([True], ~gone)), np.diff(np.concatenate((part.offsets[i:i + 1], edges))))
                     text.append(part.data[part.offsets[i]:part.offsets[i + 1]][keep].tobytes().decode())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(removed, pa.int64()),
+                    [batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(digest, pa.binary()), pa.array(removed, pa.int64()),
                      pa.array(sha, pa.string()), pa.array(text, pa.string())],
-                    names=["doc_id", "digest", "removed", "left_sha", "left_text"])
+                    names=["doc_id", "hash", "digest", "removed", "left_sha", "left_text"])
 
     return run
 
@@ -180,10 +182,10 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def removed_words(docs: DataFrame, *, window_words: int = WINDOW_WORDS, start_words: int = START_WORDS) -> tuple[DataFrame, DataFrame]:
     """What goes from each row of ``docs`` (doc_id, text): two tables.
 
-    * (doc_id, digest, n_words, first, sha): one row for each input row; ``digest``
-      names its word sequence, ``first`` is the smallest doc_id with it (null below
+    * (doc_id, hash, digest, n_words, first, sha): one row for each input row; ``hash``
+      is its text's, ``digest`` names its word sequence, ``first`` is the smallest doc_id with it (null below
       ``window_words`` words), ``sha`` the SHA-256 of its words joined by a space;
-    * (doc_id, digest, removed, left_sha, left_text): for each first document of a
+    * (doc_id, hash, digest, removed, left_sha, left_text): for each first document of a
       sequence of which a part goes, what is left.
     """
     lengths = [start_words]
@@ -191,46 +193,36 @@ def removed_words(docs: DataFrame, *, window_words: int = WINDOW_WORDS, start_wo
         lengths.append(2 * lengths[-1])
     if len(lengths) < 2 or lengths[-1] != window_words:
         raise ValueError("window_words must be start_words doubled at least once")
-    signed = cut(text_rows(docs).mapInArrow(
-        _signatures(start_words), "doc_id long, n_words long, digest binary, sha string, anchors array<long>"))
+    signed = cut(text_rows(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(
+        _signatures(start_words), "doc_id long, hash long, n_words long, digest binary, sha string, anchors array<long>"))
     long_rows = signed.filter((F.col("n_words") >= window_words) & F.col("doc_id").isNotNull())
     firsts = long_rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
 
-    anchors = signed.filter(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).select(
-        "doc_id", F.xxhash64("digest").alias("set"), F.explode("anchors").alias("gram"))
-    common = anchors.groupBy("gram").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("gram")
-    hints = (anchors.select("doc_id", "gram").join(common, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("hints")))
-    hints = hints.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = text_rows(docs).join(hints, "doc_id").groupBy("doc_id", "text").agg(F.first("hints").alias("hints"))
-    texts = cut(texts.mapInArrow(_with_digest, "doc_id long, digest binary, text string, hints array<long>"))
+    ids = cut(firsts.select(F.col("first").alias("doc_id")).distinct())
+    anchors = only(signed.select("doc_id", "anchors"), ids).select("doc_id", F.explode("anchors").alias("gram"))
+    common = anchors.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
+    hints = cut(anchors.join(common, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("hints")))
+    texts = only(text_rows(docs), cut(hints.select("doc_id"))).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    # different texts under one doc_id are told apart by a number
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    texts = cut(texts.select("doc_id", number.alias("part"), "text").join(hints, "doc_id").select("doc_id", "part", "text", "hints"))
 
     length, pick, rows = 2 * start_words, _by_grams(start_words), texts
     while True:
-        found = rows.mapInArrow(_windows(length, pick), "doc_id long, digest binary, h1 array<long>, h2 array<int>, pos array<int>")
-        found = found.filter(F.size("pos") > 0).select("doc_id", "digest", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select("doc_id", "digest", "w.*")
+        found = rows.mapInArrow(_windows(length, pick), "doc_id long, part int, h1 array<long>, h2 array<int>, pos array<int>")
+        found = found.select("doc_id", "part", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select("doc_id", "part", "w.*")
         both = found.join(_repeated(found), ["h1", "h2"])
         if length == window_words:
             break
         # go on with twice the length where windows are repeated
-        places = both.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("hints"))
-        rows = cut(texts.drop("hints").join(places, ["doc_id", "digest"]).select("doc_id", "digest", "text", "hints"))
+        places = both.groupBy("doc_id", "part").agg(F.collect_set("pos").alias("hints"))
+        rows = cut(texts.drop("hints").join(places, ["doc_id", "part"]).select("doc_id", "part", "text", "hints"))
         pick, length = _by_halves(length), 2 * length
-    gone = both.filter("doc_id > lo").groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("pos"))
-    left = texts.drop("hints").join(gone, ["doc_id", "digest"]).select("doc_id", "digest", "text", "pos").mapInArrow(
-        _cover(window_words), "doc_id long, digest binary, removed long, left_sha string, left_text string")
-    named = signed.select("doc_id", "digest", "n_words", "sha").join(firsts, "digest", "left")
-    return named.select("doc_id", "digest", "n_words", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"), "sha"), left
-
-
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
-    for batch in batches:
-        digests = []
-        for _, part in hasher.slices(batch.column(1)):
-            words = hasher.of_words(part)
-            digests += [_digest(words[a:b]) for a, b in zip(part.first[:-1], part.first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), batch.column(1), batch.column(2)],
-                                         names=["doc_id", "digest", "text", "hints"])
+    gone = both.filter("doc_id > lo").groupBy("doc_id", "part").agg(F.collect_set("pos").alias("pos"))
+    left = texts.drop("hints").join(gone, ["doc_id", "part"]).select("doc_id", F.xxhash64("text").alias("hash"), "text", "pos").mapInArrow(
+        _cover(window_words), "doc_id long, hash long, digest binary, removed long, left_sha string, left_text string")
+    named = signed.select("doc_id", "hash", "digest", "n_words", "sha").join(firsts, "digest", "left")
+    return named.select("doc_id", "hash", "digest", "n_words", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"), "sha"), left
 
 
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -248,6 +240,23 @@ def substring_report(docs: DataFrame, *, window_words: int = WINDOW_WORDS, start
     """
     rows, left = removed_words(docs, window_words=window_words, start_words=start_words)
     copy = F.col("first") < F.col("doc_id")
-    return rows.join(left.drop("left_text"), ["doc_id", "digest"], "left").select(
+    return rows.join(left.select("doc_id", "digest", "removed", "left_sha").distinct(), ["doc_id", "digest"], "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, *, window_words: int = WINDOW_WORDS, start_words: int = START_WORDS) -> DataFrame:
+    """``docs`` without the words that ``substring_report`` counts as removed, and n_chars, where there is one, counted anew.
+
+    A removed word goes with the white space after it; the rest of the text stays as
+    it is. A text that loses every word becomes empty. All rows and columns stay.
+    """
+    rows, left = removed_words(docs, window_words=window_words, start_words=start_words)
+    copies = rows.filter("first < doc_id").select("doc_id", "hash", F.lit("").alias("left_text"))
+    changes = left.select("doc_id", "hash", "left_text").unionByName(copies).dropDuplicates(["doc_id", "hash"])
+    changes = changes.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("left_text").alias("__left"))
+    joined = docs.join(changes, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left")
+    changed = {"text": F.coalesce("__left", docs["text"].cast("string"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__left").isNotNull(), F.length("__left").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
