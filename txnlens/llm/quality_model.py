@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,11 +177,9 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: fl
 def keep_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
 
-    def score(texts):
-        import pandas as pd
-
+    def score(texts: pd.Series) -> pd.Series:
         raw, folded = Hasher(), Hasher(fold=True)
         out = [model.score(model.inputs(part, raw, folded)) for _, part in raw.slices(pa.array(texts, pa.string()))]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.filter(F.pandas_udf(score, "double", F.PandasUDFType.SCALAR)(F.col("text").cast("string")) >= threshold)
+    return docs.filter(F.pandas_udf(score, "double")(F.col("text").cast("string")) >= threshold)

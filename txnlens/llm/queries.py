@@ -17,12 +17,18 @@ from txnlens.llm.quality_model import fit_quality, score_quality
 from txnlens.llm.quality_rules import compression_rules
 from txnlens.llm.substring_dedup import substring_report
 from txnlens.llm.tables import table
+from txnlens.llm.toxicity import fit_chain, score_toxicity
 
 
 def op1_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
 
@@ -61,6 +67,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_to_tag_ratio": op1_text_to_tag_ratio,
+    "op2_classifier_chain": op2_classifier_chain,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_factorisation_machine": op5_factorisation_machine,

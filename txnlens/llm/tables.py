@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +20,16 @@ def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors share."""
+    """A new folder name below ``spark.checkpoint.dir``, which all executors share.
+
+    Only a session whose executors are threads of the driver may leave the setting out.
+    """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="txnlens-")
     return f"{base.rstrip('/')}/txnlens-{uuid.uuid4().hex}"
 
 

@@ -1,7 +1,7 @@
 """Word and window hashes of whole texts, vectorised over Arrow string columns.
 
 A word is a run of characters outside space and ``\\t\\n\\v\\f\\r``. Texts are read
-as the UTF-8 bytes of the Arrow buffer, in slices of about a megabyte, so the
+as the UTF-8 bytes of the Arrow buffer, in slices of a quarter of a megabyte, so the
 memory of a task does not depend on how many rows a batch holds. A hash of a byte
 range is a difference of two prefix sums of ``table[byte] * base**position``
 (modulo 2**64), put back to position 0 with the inverse of the base; windows of
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _WINDOW_BASE = 0xD1342543DE82EF95
