@@ -137,10 +137,11 @@ class ByteBPE:
         """Ids of one long piece: the same merges, taken from a queue by (rank, place)."""
         import heapq
 
-        ids = self.byte_id[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        bytes_ = self.byte_id[np.frombuffer(piece, dtype=np.uint8)]
+        ids = bytes_.tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs.find(np.array(ids[:-1]), np.array(ids[1:])).tolist()
+        first = self.pairs.find(bytes_[:-1], bytes_[1:]).tolist()
         queue = [(r, i) for i, r in enumerate(first) if r != _NONE]
         heapq.heapify(queue)
         rank = [*first, int(_NONE)]
