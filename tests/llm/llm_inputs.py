@@ -1,7 +1,12 @@
+"""Small inputs shared by the tests of this folder."""
+
 import random
 
 import pytest
 
+SF_SMALL = "/root/testdata/sf0.001"
+SF_CHECK = "/root/testdata/sf0.01"
+
 #: Names that the operators use inside, given to extra columns of the inputs.
 CLASHES = ("id", "n", "hash", "digest", "token", "tokens", "set", "part", "value", "score", "seed", "kind", "norm", "component", "sha", "hints",
            "row", "place", "raw", "made", "held_out", "predicted")

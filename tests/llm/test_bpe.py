@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from llm_inputs import corpus, no_docs  # noqa: F401
 
 from txnlens.llm.bpe import ByteBPE, decode_ids, encode_texts, encoding_report, read_ranks
 

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
+from llm_inputs import corpus, no_docs  # noqa: F401
 
 from txnlens.llm.packing import Levels, pack, pack_documents, powers_of_two
 

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 from brute import removed, words
+from llm_inputs import corpus, no_docs  # noqa: F401
 
 from txnlens.llm.substring_dedup import substring_report, without_repeats
 

@@ -140,7 +140,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", l
 
     got = rows.mapInArrow(run, "doc_id long, target double, bucket array<int>, value array<float>, stats array<double>").toArrow()
     if not got.num_rows:
-        return _blank(np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)))
+        model = _blank(np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)))
+        model.factor[:] = 0
+        return model
     got = got.sort_by("doc_id").combine_chunks()
     stats = np.array(got["stats"].to_pylist(), dtype=np.float64)
     model = _blank(stats.mean(axis=0), stats.std(axis=0) + 1e-6)

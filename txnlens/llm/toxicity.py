@@ -29,13 +29,13 @@ from txnlens.llm.words import Hasher, Slice
 BITS = 20
 PREFIXES = (3, 4, 5, 6)
 #: Features that the chain reads.
-SELECTED = 4096
+SELECTED = 2048
 #: Least number of toxic learning texts that have a feature.
 LEAST_TEXTS = 3
 #: Bound of the labelled sample that the chain is fitted on.
 MAX_LEARNING_ROWS = 20_000
 FOLDS = 3
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 #: Words of the weak categories (general English terms of abuse), by category, in the chain's order.
 WORD_LISTS = {
@@ -86,8 +86,8 @@ class Linear:
 
     @classmethod
     def fit(cls, size: int, start: np.ndarray, index: np.ndarray, dense: np.ndarray, target: np.ndarray,
-            steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Linear:
-        """Full-batch AdaGrad on the logistic loss; features are scaled by how many a row has."""
+            steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Linear:
+        """Full-batch AdaGrad on the logistic loss."""
         model = cls(np.zeros(size), np.zeros(dense.shape[1]), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))))
         square_w, square_d, square_b = np.full(size, 1e-8), np.full(dense.shape[1], 1e-8), 1e-8
         row = np.repeat(np.arange(len(target)), np.diff(start))
