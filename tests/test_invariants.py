@@ -56,9 +56,9 @@ def test_groupings_add_up(spark, txn):
     total = QUERIES["refund_summary"](spark, SF_SMALL).filter("is_total = 1").first()
     assert total.transactions == n
     assert QUERIES["channel_mix_wide"](spark, SF_SMALL).select(
-        F.sum(F.col("chip") + F.col("online") + F.col("swipe"))).first()[0] == n
+        F.sum(F.col("chip") + F.col("online") + F.col("swipe") + F.col("other"))).first()[0] == n
     tiers = QUERIES["tier_summary"](spark, SF_SMALL).agg(F.sum("customers")).first()[0]
-    assert tiers == txn.select("client_id").distinct().count()
+    assert tiers == txn.filter("client_id is not null").select("client_id").distinct().count()
 
 
 def test_correlation_symmetric_unit_diagonal(spark):

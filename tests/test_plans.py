@@ -16,7 +16,7 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("key", ["busiest_hours", "top_states", "top_spenders", "high_risk_customers"])
+@pytest.mark.parametrize("key", ["busiest_hours", "top_states", "top_spenders", "most_active_customers"])
 def test_topk_is_take_ordered(spark, key):
     assert "TakeOrderedAndProject" in plan(QUERIES[key](spark, SF_SMALL))
 
@@ -40,11 +40,30 @@ def test_no_python_udf(spark, key):
 
 def test_scan_reads_only_needed_columns(spark):
     p = plan(QUERIES["txn_by_channel"](spark, SF_SMALL))
-    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in p or \
-        "struct<event_id:bigint,user_id:bigint,value:double>" in p
+    assert "struct<event_id:bigint,value:double>" in p
     assert "props" not in p
 
 
+def test_channel_report_shuffles_only_partial_sums(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(QUERIES["txn_by_channel"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in p
+    below = p[p.index("partial_count"):]
+    assert "hashpartitioning" not in below and "rangepartitioning" not in below
+
+
+@pytest.mark.parametrize("key", ["geography", "error_rate_by_type"])
+def test_events_are_read_once(spark, key):
+    df = QUERIES[key](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet [event_id") == 1
+
+
 def test_user_scan_pruned(spark):
     p = plan(QUERIES["gender_counts"](spark, SF_SMALL))
     assert "c_name" not in p and "c_mktsegment" not in p
@@ -66,8 +85,8 @@ def _single_partition_windows(plan_text):
 
 
 # Windows over one partition are only allowed where the rows are bounded by a
-# domain (years, states) or by the partition count (per-partition offsets).
-BOUNDED_SINGLE_PARTITION = {"revenue_growth", "geography", "customer_tiers", "tier_summary"}
+# domain (years, states, error types) or by the partition count (per-partition offsets).
+BOUNDED_SINGLE_PARTITION = {"revenue_growth", "geography", "error_rate_by_type", "customer_tiers", "tier_summary"}
 
 
 def test_single_partition_windows_only_on_bounded_rows(spark):

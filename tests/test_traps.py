@@ -6,6 +6,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def test_t14_constant_column_correlation(spark):
                                "a double, c double, b double")
     m = {(r.column_a, r.column_b): r.r for r in correlation_matrix(df, ["a", "c", "b"]).collect()}
     assert m[("a", "c")] is None and m[("c", "c")] is None
-    assert m[("a", "a")] == 1.0
+    assert m[("a", "a")] == pytest.approx(1.0)
     rows = [(1.0, 2.0), (3.0, 7.0), (4.0, 1.0)]
     expected = float(np.corrcoef(np.array(rows).T)[0, 1])
     assert m[("a", "b")] == pytest.approx(expected, abs=1e-9)
@@ -204,7 +205,7 @@ def test_users_money_columns(spark):
     assert (r.per_capita_income, r.yearly_income, r.total_debt) == (100.0, 2000.0, 0.0)
 
 
-def test_money_units_equal_decimal_sum(spark):
+def test_money_sums_equal_decimal_sums(spark):
     rng = np.random.default_rng(11)
     vals = np.concatenate([np.round(rng.uniform(-1e4, 1e4, 4000), 2), np.round(rng.uniform(-50, 50, 4000), 6),
                            np.round(rng.uniform(-1e9, 1e9, 500), 3), [0.005, -0.005, 0.000001, 123.4565]])
@@ -231,3 +232,70 @@ def test_t2_bad_values_are_counted(spark, tmp_dir):
     got = {r.column: r.failures for r in parse_failures(spark, path, TXN).collect()}
     # an empty or NA field is missing, not a failure
     assert got["date"] == 1 and got["client_id"] == 1 and got["zip"] == 0 and got["id"] == 0
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_money_sums_have_no_ceiling(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        groups = {0: [1.0, 1e20], 1: [1e300, -1e300, 2.5], 2: [9e16, 9e16, 0.25], 3: [1.5e308, 1.5e308], 4: [0.1, 0.2, None],
+                  5: [9999999999.99] * 3, 6: [None], 7: [float("nan"), 1.0]}
+        rows = [(g, v) for g, vs in groups.items() for v in vs]
+        got = {r.g: (r.s, r.a) for r in spark.createDataFrame(rows, "g int, amount double").repartition(3).groupBy("g").agg(
+            money_sum("amount").alias("s"), money_avg("amount").alias("a")).collect()}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got[0] == (1e20 + 1.0, (1e20 + 1.0) / 2) and got[1][0] == 2.5 and got[2][0] == 1.8e17
+    assert got[3][0] == float("inf") and got[4] == (0.3, 0.15) and got[5] == (29999999999.97, 9999999999.99)
+    assert got[6] == (0.0, None) and np.isnan(got[7][0])
+
+
+def test_rows_without_a_customer_are_nobodys(spark):
+    from txnlens.operators.risk import customer_tiers, high_risk_customers, refund_customers
+    rows = [(None if i % 2 else i % 6, 1.0 + i, "Bad PIN" if i % 2 else "No Errors", int(i % 2)) for i in range(60)]
+    txn = spark.createDataFrame(rows, "client_id long, amount double, errors string, is_refund int")
+    for out in (customer_tiers(txn), high_risk_customers(txn, 1), refund_customers(txn, 1, 0.1)):
+        assert None not in {r.client_id for r in out.collect()}
+    assert customer_tiers(txn).count() == 3
+
+
+def test_channel_mix_wide_adds_up(spark):
+    from txnlens.operators.risk import channel_mix_wide
+    txn = spark.createDataFrame([(2019, "Chip Transaction"), (2019, "Contactless"), (2019, None), (2018, "Swipe Transaction")],
+                                "year int, use_chip string")
+    assert [tuple(r) for r in channel_mix_wide(txn).collect()] == [(2018, 0, 0, 1, 0), (2019, 1, 0, 0, 2)]
+    with pytest.raises(ValueError):
+        channel_mix_wide(txn, ("Chip A", "Chip B"))
+
+
+def test_null_labels_are_not_labelled(spark):
+    from txnlens.operators.risk import fraud_by_channel
+    labels = spark.createDataFrame([(1, "Yes"), (2, None), (3, "No")], "id long, Target string")
+    txn = spark.createDataFrame([(i, "Chip Transaction", 2019) for i in (1, 2, 3)], "id long, use_chip string, year int")
+    assert [tuple(r) for r in fraud_by_channel(labels, txn).collect()] == [("Chip Transaction", 2019, 2, 1, 0.5)]
+
+
+def test_nan_is_missing_for_outliers_and_correlation(spark):
+    from txnlens.operators.quantiles import outliers
+    pdf = pd.DataFrame({"a": [1.0, 2, 3, 4, 100, float("nan")], "b": [2.0, 1, float("nan"), 4, 5, 6]})
+    df = spark.createDataFrame([tuple(map(float, r)) for r in pdf.itertuples(index=False)], "a double, b double")
+    assert [r.a for r in outliers(df, "a", "high").collect()] == [100.0]
+    m = {(r.column_a, r.column_b): r.r for r in correlation_matrix(df, ["a", "b"]).collect()}
+    assert m["a", "b"] == pytest.approx(pdf.corr().loc["a", "b"])
+
+
+@pytest.mark.parametrize("scale", [1e-10, 1.0, 1e12])
+def test_describe_keeps_relative_precision(spark, scale):
+    pdf = pd.DataFrame({"x": [1 * scale, 3 * scale, 2000 * scale, 7.25 * scale]})
+    r = describe(spark.createDataFrame([(float(v),) for v in pdf.x], "x double"), ["x"]).first()
+    assert r["mean"] == pytest.approx(pdf.x.mean(), rel=1e-9) and r["std"] == pytest.approx(pdf.x.std(), rel=1e-9)
+
+
+def test_scores_below_the_bands_are_poor(spark):
+    from txnlens.operators.risk import customer_risk
+    users = spark.createDataFrame([(1, 300), (2, None), (3, 800)], "id long, credit_score int")
+    txn = spark.createDataFrame([(1, "No Errors"), (2, "No Errors")], "client_id long, errors string")
+    cards = spark.createDataFrame([(1, "No")], "client_id long, card_on_dark_web string")
+    got = {r.client_id: (r.credit_band, r.risk_score) for r in customer_risk(users, txn, cards).collect()}
+    assert got == {1: ("Poor", 3), 2: ("Unknown", 0), 3: ("Exceptional", 0)}

@@ -83,56 +83,62 @@ def round_half_even(c, digits: int = 2) -> Column:
     return F.rint(_c(c) * F.lit(scale)) / F.lit(scale)
 
 
-def money_units(c) -> Column:
-    """Aggregate: exact sum of ``c`` in micro-units (1e-6) as ``decimal(38,0)``.
-
-    Each value is split into whole cents and a sub-cent remainder in
-    micro-units; both are summed as BIGINT, which is exact, independent of
-    partitioning and far cheaper than a wide-decimal sum (whose buffer is a
-    BigDecimal per group). The two sums are combined in decimal once per group.
-    Equals summing ``cast(c as decimal(24,6))`` for values with at most six
-    decimals (money); a tie at the seventh decimal rounds half to even here and
-    half up in the cast. Limit: values and per-group totals must stay below
-    about 9e16 in magnitude (BIGINT cents); beyond that ANSI mode raises an
-    overflow error, and with ANSI off Spark's BIGINT arithmetic wraps.
+#: Amounts from here on (in magnitude) are summed as doubles.
+LARGE = 1e10
+
+
+def money_state(c) -> Column:
+    """Aggregate: what the sum of a money column needs, a struct that merges by adding its fields.
+
+    An ordinary value (below 1e10) is split, without rounding, into a multiple of
+    1e4 and a rest, and the rest into whole cents and a sub-cent remainder in
+    micro-units (1e-6). The three parts are summed as BIGINT: exact, independent of
+    partitioning, far cheaper than a wide decimal, and without overflow below 9e12
+    rows a group, whatever the values. Values of 1e10 and more (and NaN) are summed
+    as doubles, as a float sum does; ``large`` is null when there are none.
     """
     c = _c(c).cast("double")
-    cents = F.rint(c * F.lit(100.0))
-    micro = F.rint((c * F.lit(100.0) - cents) * F.lit(10000.0))
-    return (F.sum(cents.cast("bigint")).cast("decimal(38,0)") * F.lit(10000)
-            + F.sum(micro.cast("bigint"))).cast("decimal(38,0)")
+    small = F.when(F.abs(c) < F.lit(LARGE), c)  # NaN is above every number here
+    rest = small % F.lit(1e4)
+    cents = F.rint(rest * F.lit(100.0))
+    micro = F.rint((rest * F.lit(100.0) - cents) * F.lit(10000.0))
+    return F.struct(
+        F.sum(((small - rest) / F.lit(1e4)).cast("bigint")).alias("blocks"),
+        F.sum(cents.cast("bigint")).alias("cents"),
+        F.sum(micro.cast("bigint")).alias("micro"),
+        F.sum(F.when(F.abs(c) >= F.lit(LARGE), c)).alias("large"))
 
 
-def units_to_double(units: Column) -> Column:
-    """Micro-units (an exact integer) to the correctly rounded double."""
-    return F.concat(units.cast("string"), F.lit("E-6")).cast("double")
+def merge_money(state: str) -> Column:
+    """Aggregate: the ``money_state`` of several groups together."""
+    return F.struct(*[F.sum(f"{state}.{f}").alias(f) for f in ("blocks", "cents", "micro", "large")])
 
 
-def money_sum(c) -> Column:
-    """Sum of a money column, exact and independent of partitioning; 0 when all null."""
-    return F.coalesce(units_to_double(money_units(c)), F.lit(0.0))
+def money_value(state: Column) -> Column:
+    """The sum a ``money_state`` stands for, as the nearest double; null when it holds no value."""
+    wide = lambda f: state[f].cast("decimal(38,0)")
+    units = (wide("blocks") * F.lit(10**10).cast("decimal(11,0)") + wide("cents") * F.lit(10**4) + wide("micro")).cast("decimal(38,0)")
+    exact = F.concat(units.cast("string"), F.lit("E-6")).cast("double")
+    return F.when(state["large"].isNull(), exact).otherwise(state["large"] + F.coalesce(exact, F.lit(0.0)))
 
 
-def money_avg(c) -> Column:
-    """Mean of a money column from the exact sum; null when there is no value."""
-    return units_to_double(money_units(c)) / F.nullif(F.count(_c(c)), F.lit(0))
+def money_sum(c) -> Column:
+    """Sum of a money column (see ``money_state``); 0 when all null."""
+    return F.coalesce(money_value(money_state(c)), F.lit(0.0))
 
 
-def exact_avg(c) -> Column:
-    """Mean from an exact ``decimal(38,6)`` sum: no overflow below 1e32, any magnitude
-    of row count. Slower than ``money_avg`` (a BigDecimal buffer per group), so it
-    is meant for per-user or per-column statistics, not for transaction scans."""
-    c = _c(c)
-    return F.sum(c.cast("decimal(38,6)")).cast("double") / F.nullif(F.count(c), F.lit(0))
+def money_avg(c) -> Column:
+    """Mean of a money column from that sum; null when there is no value."""
+    return money_value(money_state(c)) / F.nullif(F.count(_c(c)), F.lit(0))
 
 
 def float_mean(c) -> Column:
     """Mean with pandas float semantics: NaN skipped, infinities propagate.
 
-    The finite part is summed exactly, so the result does not depend on how
-    rows are spread over partitions.
+    A plain float mean of the finite values, at full relative precision; its last
+    bits can depend on the order in which partial sums are merged.
     """
-    c = _c(c)
+    c = _c(c).cast("double")
     v = F.when(~F.isnan(c), c)
     finite = F.when(F.abs(v) != F.lit(INF), v)
     has_pos = F.max(flag(v == F.lit(INF)))
@@ -141,11 +147,14 @@ def float_mean(c) -> Column:
         F.when((has_pos == 1) & (has_neg == 1), F.lit(NAN))
         .when(has_pos == 1, F.lit(INF))
         .when(has_neg == 1, F.lit(-INF))
-        .otherwise(exact_avg(finite))
+        .otherwise(F.avg(finite))
     )
 
 
-def round_stat(c, digits: int = 9) -> Column:
-    """Round a floating statistic (std, correlation) whose last bits depend on
-    the order partial results are merged in."""
-    return round_half_even(c, digits)
+def round_significant(c, digits: int = 11) -> Column:
+    """Round to ``digits`` significant digits, for statistics whose last bits depend on
+    the order in which partial results are merged; 0, NaN and infinities stay."""
+    c = _c(c).cast("double")
+    plain = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(INF)) & (c != 0)
+    text = F.format_string(f"%.{digits - 1}e", c)
+    return F.when(plain, text.cast("double")).otherwise(c)

@@ -7,17 +7,16 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.functions.numeric import round_stat
-
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows where both are present; null when either is constant.
+    """Correlation over rows where both are present (not null, not NaN); null when either is constant.
 
     ``corr`` raises on a constant column under ANSI mode; this form divides with
     ``try_divide`` instead.
     """
-    xs = F.when(y.isNotNull(), x).cast("double")
-    ys = F.when(x.isNotNull(), y).cast("double")
+    x, y = x.cast("double"), y.cast("double")
+    both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    xs, ys = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
@@ -28,7 +27,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     the lower triangle is the mirror image.
     """
     pairs = list(combinations_with_replacement(columns, 2))
-    one = df.agg(*[round_stat(pearson(F.col(a), F.col(b))).alias(f"p{i}")
+    one = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"p{i}")
                    for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):

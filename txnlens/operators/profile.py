@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlens.functions.numeric import float_mean, round_stat
+from txnlens.functions.numeric import float_mean
 from txnlens.operators.quantiles import quantile_columns, quantile_table
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -87,7 +87,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         stats[c] = F.struct(
             F.count(v).alias("count"),
             float_mean(v).alias("mean"),
-            round_stat(F.stddev_samp(v)).alias("std"),
+            F.stddev_samp(v).alias("std"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
         )

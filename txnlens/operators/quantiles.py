@@ -12,10 +12,8 @@ distinct values. Interpolation is numpy's linear method (what pandas
 ``quantile`` uses), bit for bit; Spark's ``percentile`` interpolates with a
 different formula that can differ in the last bit.
 
-``method="percentile"`` uses Spark's ``percentile``: one pass, but the final
-merge of all distinct values happens in a single task, so only use it for
-columns with few distinct values. ``method="approx"`` uses
-``percentile_approx`` (bounded memory, rank error about n/accuracy).
+``method="approx"`` uses ``percentile_approx`` (bounded memory, rank error about
+n/accuracy).
 
 Fences are computed once per query as a scalar subquery and inlined into the
 filter on the big table, so the table is streamed through a plain ``Filter``
@@ -131,13 +129,9 @@ def _quartile_row(df: DataFrame, column: str, method: str, accuracy: int) -> Dat
         q = quantile_table(df, [column], [0.25, 0.75])
         # at most one row; the global aggregate yields exactly one (nulls when empty)
         return q.agg(F.max("_q0").alias("q1"), F.max("_q1").alias("q3"))
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    if method == "approx":
-        q = F.percentile_approx(column, probs, accuracy)
-    elif method == "percentile":
-        q = F.percentile(column, probs)
-    else:
+    if method != "approx":
         raise ValueError(f"unknown method {method!r}")
+    q = F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
     return df.agg(q.alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
 
 
@@ -165,7 +159,8 @@ def outliers(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
     if side == "low":
         return df.filter(F.col(column) < bounds.select("lb").scalar())
     if side == "high":
-        return df.filter(F.col(column) > bounds.select("ub").scalar())
+        # NaN is above every number here, but beyond no fence
+        return df.filter((F.col(column) > bounds.select("ub").scalar()) & ~F.isnan(F.col(column).cast("double")))
     raise ValueError(f"side must be 'low' or 'high', not {side!r}")
 
 

@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.functions.numeric import flag, money_avg, money_sum, money_units, rate, units_to_double
+from txnlens.functions.numeric import flag, merge_money, money_avg, money_state, money_sum, money_value, rate
 from txnlens.operators.binning import band_label
 from txnlens.operators.ranking import ntile
-from txnlens.schemas import DARK_WEB_YES, FRAUD_YES, NO_ERRORS, TIER_NAMES
+from txnlens.schemas import CREDIT_EDGES, CREDIT_LABELS, DARK_WEB_YES, FRAUD_YES, NO_ERRORS, TIER_NAMES
 
 CHANNELS = ("Chip Transaction", "Online Transaction", "Swipe Transaction")
 
@@ -41,8 +41,8 @@ def _with_rate(df: DataFrame, num: str = "errors", den: str = "transactions", na
 def overall_rate(per_key: DataFrame, num: str = "errors", den: str = "transactions"):
     """Scalar subquery: sum(num) / sum(den) over a per-key aggregate.
 
-    Computed from the aggregate rather than the raw rows, the subquery reuses
-    the aggregate's shuffle instead of scanning the transactions again.
+    The subquery has the aggregate's own plan, so its shuffle is reused as long as
+    nothing filters or prunes the aggregate before it.
     """
     return per_key.agg(rate(F.sum(num), F.sum(den))).scalar()
 
@@ -85,20 +85,23 @@ def revenue_growth(txn: DataFrame, approx: bool = False) -> DataFrame:
 def error_rate_by_type(txn: DataFrame) -> DataFrame:
     """Per error type: count, share of all errors, share of all transactions."""
     per_kind = txn.groupBy("errors").agg(F.count(F.lit(1)).alias("count"))
-    failed = per_kind.filter(F.col("errors") != NO_ERRORS)
-    n_errors = failed.agg(F.sum("count")).scalar()
-    n_txn = per_kind.agg(F.sum("count")).scalar()
-    return (failed
-            .withColumn("share_of_errors", rate("count", n_errors))
-            .withColumn("share_of_transactions", rate("count", n_txn))
-            .orderBy(F.desc("count"), "errors"))
+    # totals over one row per error type, before the filter, so the transactions are read once
+    everything = Window.partitionBy()
+    failed = F.col("errors") != NO_ERRORS
+    return (per_kind
+            .withColumn("share_of_errors", rate(F.col("count"), F.sum(F.when(failed, F.col("count"))).over(everything)))
+            .withColumn("share_of_transactions", rate(F.col("count"), F.sum("count").over(everything)))
+            .filter(failed).orderBy(F.desc("count"), "errors"))
 
 
-def high_risk_customers(txn: DataFrame, min_transactions: int = 50, n: int = 20) -> DataFrame:
-    """Customers with at least ``min_transactions``, highest error rate first."""
-    per_client = txn.groupBy("client_id").agg(*_error_stats())
-    return (_with_rate(per_client.filter(F.col("transactions") >= min_transactions))
-            .orderBy(F.desc("error_rate"), "client_id").limit(n))
+def high_risk_customers(txn: DataFrame, min_transactions: int = 50, n: int | None = None) -> DataFrame:
+    """Customers with at least ``min_transactions``, highest error rate first; the first ``n`` or all.
+
+    Transactions without a customer are nobody's.
+    """
+    per_client = txn.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(*_error_stats())
+    ranked = _with_rate(per_client.filter(F.col("transactions") >= min_transactions)).orderBy(F.desc("error_rate"), "client_id")
+    return ranked if n is None else ranked.limit(n)
 
 
 def high_value_errors(txn: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def high_value_errors(txn: DataFrame) -> DataFrame:
 def _per_card(txn: DataFrame) -> DataFrame:
     return txn.groupBy("card_id").agg(
         *_error_stats(),
-        money_units("amount").alias("_amount_units"),
+        money_state("amount").alias("_amount"),
         F.count("amount").alias("_amount_n"),
     )
 
@@ -128,16 +131,19 @@ def dark_web_cards(txn: DataFrame, cards: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cards"),
         F.sum("transactions").alias("transactions"),
         F.sum("errors").alias("errors"),
-        (units_to_double(F.sum("_amount_units")) / F.nullif(F.sum("_amount_n"), F.lit(0))).alias("avg_amount"),
+        (money_value(merge_money("_amount")) / F.nullif(F.sum("_amount_n"), F.lit(0))).alias("avg_amount"),
     )
     return _with_rate(out).orderBy("card_on_dark_web")
 
 
 def unmatched_card_transactions(txn: DataFrame, cards: DataFrame) -> DataFrame:
-    """Transactions whose card is missing from the cards table (left anti join)."""
+    """Transactions whose card is missing from the cards table (left anti join).
+
+    A transaction without a card number counts as a transaction, not as a card.
+    """
     per_card = txn.groupBy("card_id").agg(F.count(F.lit(1)).alias("transactions"))
     missing = per_card.join(cards.select(F.col("id").alias("card_id")), "card_id", "left_anti")
-    return missing.agg(F.count(F.lit(1)).alias("cards"),
+    return missing.agg(F.count("card_id").alias("cards"),
                        F.coalesce(F.sum("transactions"), F.lit(0)).alias("transactions"))
 
 
@@ -151,19 +157,26 @@ def channel_mix_by_year(txn: DataFrame) -> DataFrame:
     return counts.withColumn("share", rate(F.col("transactions"), year_total)).orderBy("year", "use_chip")
 
 
-def channel_mix_wide(txn: DataFrame, channels=CHANNELS) -> DataFrame:
-    """One row per year, one transaction-count column per listed channel."""
-    names = {c: c.split()[0].lower() for c in channels}
-    wide = (txn.filter(F.col("year").isNotNull()).groupBy("year")
-            .pivot("use_chip", list(channels)).agg(F.count(F.lit(1))))
-    return wide.select("year", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(names[c]) for c in channels]
-                       ).orderBy("year")
+def channel_mix_wide(txn: DataFrame, channels=CHANNELS, names=None) -> DataFrame:
+    """One row per year, one transaction-count column per listed channel, and ``other``.
+
+    ``other`` holds every other channel and transactions without one, so a row adds
+    up to its year. ``names`` are the column names (default: the channels' first
+    words, lower case; they must differ).
+    """
+    names = list(names or [c.split()[0].lower() for c in channels])
+    if len({*names, "other", "year"}) != len(channels) + 2:
+        raise ValueError(f"column names {names} are not distinct")
+    listed = F.coalesce(F.col("use_chip").isin(*channels), F.lit(False))
+    return txn.filter(F.col("year").isNotNull()).groupBy("year").agg(
+        *[F.count_if(F.col("use_chip") == c).alias(n) for c, n in zip(channels, names, strict=True)],
+        F.count_if(~listed).alias("other")).orderBy("year")
 
 
 # D-6 ------------------------------------------------------------------------
 def customer_tiers(txn: DataFrame, tiers=TIER_NAMES, partitions: int | None = None) -> DataFrame:
     """Customers by total spend in equal-count tiers (``ntile``), best tier first."""
-    spend = txn.groupBy("client_id").agg(money_sum("amount").alias("total_spent"))
+    spend = txn.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(money_sum("amount").alias("total_spent"))
     ranked = ntile(spend, [F.desc("total_spent"), F.asc("client_id")], len(tiers), "tier_rank",
                    partitions)
     names = F.array(*[F.lit(t) for t in tiers])
@@ -192,8 +205,8 @@ def geography(txn: DataFrame, approx: bool = False) -> DataFrame:
         money_sum("amount").alias("revenue"),
         distinct("merchant_id").alias("merchants"),
     )
-    n_txn = per_state.agg(F.sum("transactions")).scalar()
-    # one row per state
+    # windows over one row per state
+    n_txn = F.sum("transactions").over(Window.partitionBy())
     by_volume = Window.orderBy(F.desc("transactions"))
     return (per_state
             .withColumn("txn_per_merchant", rate("transactions", "merchants"))
@@ -203,10 +216,11 @@ def geography(txn: DataFrame, approx: bool = False) -> DataFrame:
 
 
 # D-8 ------------------------------------------------------------------------
-def merchant_categories(txn: DataFrame, mcc: DataFrame, min_transactions: int = 50) -> DataFrame:
+def merchant_categories(txn: DataFrame, mcc: DataFrame, min_transactions: int = 0) -> DataFrame:
     """Per merchant category code: description, transactions, errors, error rate.
 
-    Codes missing from the lookup are described as ``Unknown``. Transactions
+    ``min_transactions`` leaves out rarer codes (default: none is). Codes missing
+    from the lookup are described as ``Unknown``. Transactions
     are reduced to one row per code before the join; both sides are then small
     (one row per code), and the planner's size check picks the join.
     """
@@ -234,12 +248,12 @@ def refund_summary(txn: DataFrame) -> DataFrame:
 
 def refund_customers(txn: DataFrame, min_refunds: int = 5, factor: float = 2.0) -> DataFrame:
     """Customers with at least ``min_refunds`` refunds and a refund rate above
-    ``factor`` times the overall rate."""
+    ``factor`` times the rate of all transactions, those without a customer included."""
     per_client = txn.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("transactions"), F.sum("is_refund").alias("refunds"))
     overall = overall_rate(per_client, "refunds")
     return (_with_rate(per_client, "refunds", "transactions", "refund_rate")
-            .filter((F.col("refunds") >= min_refunds) & (F.col("refund_rate") > F.lit(factor) * overall))
+            .filter(F.col("client_id").isNotNull() & (F.col("refunds") >= min_refunds) & (F.col("refund_rate") > F.lit(factor) * overall))
             .orderBy(F.desc("refund_rate"), "client_id"))
 
 
@@ -282,7 +296,9 @@ def customer_risk(users: DataFrame, txn: DataFrame, cards: DataFrame,
                   rate_factor: float = 1.5) -> DataFrame:
     """Risk score per customer from credit band, error rate and compromised cards.
 
-    Points: credit band Poor 3, Fair 2, Good 1, otherwise 0; error rate above
+    Points: a credit score up to the Poor band's upper edge 3 (scores below the
+    band too), Fair 2, Good 1, otherwise 0, also when it is unknown (the band then
+    reads ``Unknown``); error rate above
     ``rate_factor`` x overall 2, above overall 1; any card on the dark web 2.
     Band: score >= 5 High, >= 3 Medium, else Low. All three inputs are one row
     per customer when joined.
@@ -293,7 +309,8 @@ def customer_risk(users: DataFrame, txn: DataFrame, cards: DataFrame,
     overall = overall_rate(per_client)
     base = users.select(F.col("id").alias("client_id"), "credit_score")
     j = base.join(per_client, "client_id", "left").join(compromised, "client_id", "left")
-    band = band_label("credit_score")
+    band = (F.when(F.col("credit_score").isNull(), "Unknown").when(F.col("credit_score") <= CREDIT_EDGES[1], CREDIT_LABELS[0])
+            .otherwise(F.coalesce(band_label("credit_score"), F.lit("Unknown"))))
     err = rate("errors", "transactions")
     credit_pts = F.when(band == "Poor", 3).when(band == "Fair", 2).when(band == "Good", 1).otherwise(0)
     rate_pts = F.when(err > F.lit(rate_factor) * overall, 2).when(err > overall, 1).otherwise(0)
@@ -315,8 +332,11 @@ def risk_band_counts(risk: DataFrame) -> DataFrame:
 
 # D-13 -----------------------------------------------------------------------
 def fraud_by_channel(labels: DataFrame, txn: DataFrame) -> DataFrame:
-    """Labelled transactions per channel and year: labelled, fraud, fraud rate."""
-    j = labels.join(txn.select("id", "use_chip", "year"), "id")
+    """Labelled transactions per channel and year: labelled, fraud, fraud rate.
+
+    A transaction whose label is null is not labelled.
+    """
+    j = labels.filter(F.col("Target").isNotNull()).join(txn.select("id", "use_chip", "year"), "id")
     out = j.groupBy("use_chip", "year").agg(
         F.count(F.lit(1)).alias("labelled"),
         F.sum(flag(F.col("Target") == FRAUD_YES)).alias("fraud"),

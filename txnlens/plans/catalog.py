@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.functions.numeric import round_half_even, round_significant
 from txnlens.operators import aggregates as agg
 from txnlens.operators import binning, correlation, profile, quantiles, risk
 from txnlens.operators.features import CARD_FEATURES, TXN_FEATURES, USER_FEATURES
@@ -25,6 +26,14 @@ def _both(report) -> Report:
     return lambda t: report(t.raw_transactions, "transactions").unionByName(report(t.raw_users, "users"))
 
 
+def _significant(report: DataFrame, columns) -> DataFrame:
+    """Float statistics to 11 significant digits: their last bits depend on how partial results merge."""
+    return report.withColumns({c: round_significant(c) for c in columns})
+
+
+MEANS = {"gender_means": ("per_capita_income", "yearly_income", "total_debt", "debt_to_income"),
+         "retired_means": ("yearly_income", "total_debt", "credit_score")}
+
 REPORTS: dict[str, Report] = {
     # profiling
     "table_shape": _both(profile.table_shape),
@@ -36,9 +45,10 @@ REPORTS: dict[str, Report] = {
     "card_features_head": lambda t: profile.table_head(t.cards, "id").select("id", *CARD_FEATURES),
     "null_counts": lambda t: profile.null_counts(t.clean_transactions, "transactions").unionByName(
         profile.null_counts(t.clean_users, "users")),
-    "duplicate_rows": lambda t: profile.duplicate_rows(t.clean_users, "users"),
-    "describe_users": lambda t: profile.describe(t.users),
-    "describe_credit_score": lambda t: profile.describe(t.users, ["credit_score"]),
+    "duplicate_rows": lambda t: profile.duplicate_rows(t.clean_users, "users").unionByName(
+        profile.duplicate_rows(t.clean_users.select("current_age", "retirement_age", "gender"), "users_age_gender")),
+    "describe_users": lambda t: _significant(profile.describe(t.users), ("mean", "std")),
+    "describe_credit_score": lambda t: _significant(profile.describe(t.users, ["credit_score"]), ("mean", "std")),
     # cleaning and features
     "clean_transactions": lambda t: t.clean_transactions,
     "clean_users": lambda t: t.clean_users,
@@ -66,10 +76,10 @@ REPORTS: dict[str, Report] = {
     "income_low_outliers": lambda t: quantiles.outliers(t.users, "yearly_income", "low"),
     # users
     "gender_counts": lambda t: agg.gender_counts(t.users),
-    "gender_means": lambda t: agg.gender_means(t.users),
+    "gender_means": lambda t: _significant(agg.gender_means(t.users), MEANS["gender_means"]),
     "credit_bands": lambda t: binning.credit_bands(t.users),
-    "retired_means": lambda t: agg.retired_means(t.users),
-    "user_correlations": lambda t: correlation.user_correlations(t.users),
+    "retired_means": lambda t: _significant(agg.retired_means(t.users), MEANS["retired_means"]),
+    "user_correlations": lambda t: correlation.user_correlations(t.users).withColumn("r", round_half_even("r", 9)),
     # labels
     "label_counts": lambda t: agg.label_counts(t.labels),
     "label_shares": lambda t: agg.label_shares(t.labels),

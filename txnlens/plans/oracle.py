@@ -9,7 +9,11 @@ as FIXTURES.md defines them (the four cards per customer are generated with
 
 from __future__ import annotations
 
-from txnlens.schemas import CREDIT_EDGES, CREDIT_LABELS, NUM_PATTERN, TIER_NAMES
+# Fixed values, written out a second time so that an error in the library's own shows.
+CREDIT_EDGES = (300, 579, 669, 739, 799, 850)
+CREDIT_LABELS = ("Poor", "Fair", "Good", "Very Good", "Exceptional")
+TIER_NAMES = ("Platinum", "Gold", "Silver", "Bronze", "Standard")
+NUM_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # ---------------------------------------------------------------------------
 # Adapter views (FIXTURES.md section 2)
@@ -19,8 +23,8 @@ _ADAPTERS = {
     "txn_raw": """
 SELECT e.event_id AS id,
        e.ts - INTERVAL '1' MONTH * CAST(e.event_id % 120 AS INT) AS date,
-       e.user_id AS client_id,
-       e.user_id * 10 + e.event_id % 4 AS card_id,
+       CASE WHEN e.event_id % 211 <> 0 THEN e.user_id END AS client_id,
+       e.user_id * 10 + e.event_id % 5 AS card_id,
        CASE WHEN e.event_id % 53 = 0 THEN 'n.a.'
             WHEN e.event_id % 11 = 0 THEN CONCAT('-', CAST(e.value AS STRING))
             ELSE CAST(2 * e.value AS STRING) END AS amount,
@@ -29,16 +33,15 @@ SELECT e.event_id AS id,
        CASE WHEN e.event_id % 3 = 2 THEN NULL ELSE r.r_name END AS merchant_state,
        CASE WHEN e.event_id % 7 = 0 THEN NULL ELSE CAST(10000 + n.n_nationkey AS DOUBLE) END AS zip,
        e.event_id % 97 AS merchant_id,
-       CAST(5000 + e.event_id % 17 AS INT) AS mcc,
+       CAST(4990 + e.event_id % 40 AS INT) AS mcc,
        CASE WHEN e.event_type = 'error' THEN CASE e.event_id % 4 WHEN 0 THEN 'Bad PIN' WHEN 1 THEN 'Insufficient Balance' WHEN 2 THEN 'Technical Glitch' ELSE 'Bad CVV' END END AS errors
-FROM events e JOIN customer c ON e.user_id = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
+FROM events e LEFT JOIN nation n ON e.event_id % 25 = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "users_raw": """
 SELECT c_custkey AS id,
        CAST(18 + c_custkey % 70 AS INT) AS current_age, CAST(60 + c_custkey % 11 AS INT) AS retirement_age,
        CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
        CONCAT('$', CAST(5000 + (c_custkey * 7919) % 40000 AS STRING)) AS per_capita_income,
-       CONCAT('$', CAST(CASE WHEN c_custkey % 97 = 0 THEN 0 WHEN c_custkey % 101 = 0 THEN 400000 ELSE 10000 + (c_custkey * 7919) % 80000 END AS STRING)) AS yearly_income,
+       CONCAT('$', CAST(CASE WHEN c_custkey % 97 = 0 THEN 0 WHEN c_custkey % 101 = 0 THEN 400000 WHEN c_custkey % 103 = 0 THEN -90000 ELSE 10000 + (c_custkey * 7919) % 80000 END AS STRING)) AS yearly_income,
        CONCAT('$', CAST((c_custkey * 104729) % 150000 AS STRING)) AS total_debt,
        CAST(300 + (c_custkey * 37) % 551 AS INT) AS credit_score
 FROM customer""",
@@ -51,9 +54,10 @@ SELECT c.c_custkey * 10 + c.k AS id, c.c_custkey AS client_id,
        CASE WHEN (c.c_custkey * 3 + c.k) % 19 = 0 THEN 'Yes' ELSE 'No' END AS card_on_dark_web
 FROM (SELECT c_custkey, unnest([0, 1, 2, 3]) AS k FROM customer) c""",
     "mcc_codes": """
-SELECT CAST(5000 + p_partkey AS INT) AS code, p_type AS description FROM part WHERE p_partkey < 15""",
+SELECT CAST(5000 + p_partkey AS INT) AS code, p_type AS description FROM part""",
     "fraud_labels": """
-SELECT event_id AS id, CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'Yes' ELSE 'No' END AS Target FROM events WHERE event_id % 3 <> 1""",
+SELECT event_id AS id, CASE WHEN event_id % 5 = 1 THEN NULL WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'Yes' ELSE 'No' END AS Target
+FROM events""",
 }
 
 TXN_RAW_COLUMNS = [
@@ -83,13 +87,17 @@ def mavg(x: str) -> str:
     return f"CAST(SUM(CAST({x} AS DECIMAL(24,6))) AS DOUBLE) / NULLIF(COUNT({x}), 0)"
 
 
+def significant(x: str, digits: int = 11) -> str:
+    return f"CASE WHEN ({x}) = 0 OR NOT isfinite({x}) THEN ({x}) ELSE CAST(printf('%.{digits - 1}e', {x}) AS DOUBLE) END"
+
+
 def fmean(x: str) -> str:
     v = f"(CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN CAST({x} AS DOUBLE) END)"
     fin = f"(CASE WHEN isfinite({v}) THEN {v} END)"
     pos = f"bool_or({v} = 'inf'::DOUBLE)"
     neg = f"bool_or({v} = '-inf'::DOUBLE)"
     return (f"CASE WHEN {pos} AND {neg} THEN 'nan'::DOUBLE WHEN {pos} THEN 'inf'::DOUBLE "
-            f"WHEN {neg} THEN '-inf'::DOUBLE ELSE {mavg(fin)} END")
+            f"WHEN {neg} THEN '-inf'::DOUBLE ELSE {significant(f'AVG({fin})')} END")
 
 
 def rnd(x: str, digits: int = 9) -> str:
@@ -108,7 +116,6 @@ def _band_case(x: str, values) -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
-_BAND_LABEL = _band_case("credit_score", [f"'{x}'" for x in CREDIT_LABELS])
 _BAND_INDEX = _band_case("credit_score", range(len(CREDIT_LABELS)))
 
 _DERIVED = {
@@ -210,7 +217,7 @@ def _describe(source: str, columns) -> str:
     for c in columns:
         v = f"(CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END)"
         std = (f"CASE WHEN bool_or(isinf({v})) THEN 'nan'::DOUBLE "
-               f"ELSE {rnd(f'stddev_samp({v})')} END")
+               f"ELSE {significant(f'stddev_samp({v})')} END")
         q = _quantiles_sql(source, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
         parts.append(
             f"SELECT '{c}' AS \"column\", COUNT({v}) AS count, {fmean(v)} AS mean, {std} AS std, "
@@ -242,7 +249,9 @@ pc AS (SELECT client_id, {ERR_STATS} FROM t GROUP BY client_id),
 cc AS (SELECT client_id, MAX(CASE WHEN card_on_dark_web = 'Yes' THEN 1 ELSE 0 END) AS compromised
        FROM cards GROUP BY client_id),
 ov AS (SELECT CAST(SUM({ERR}) AS DOUBLE) / COUNT(*) AS r FROM t),
-b AS (SELECT u.id AS client_id, u.credit_score, {_BAND_LABEL} AS credit_band,
+b AS (SELECT u.id AS client_id, u.credit_score,
+             CASE WHEN credit_score <= 579 THEN 'Poor' WHEN credit_score <= 669 THEN 'Fair' WHEN credit_score <= 739 THEN 'Good'
+                  WHEN credit_score <= 799 THEN 'Very Good' WHEN credit_score <= 850 THEN 'Exceptional' ELSE 'Unknown' END AS credit_band,
              COALESCE(pc.transactions, 0) AS transactions,
              CAST(pc.errors AS DOUBLE) / pc.transactions AS error_rate,
              COALESCE(cc.compromised, 0) AS compromised
@@ -263,7 +272,7 @@ def _tiers_sql() -> str:
 SELECT client_id, total_spent, tier_rank, [{names}][tier_rank] AS tier FROM (
   SELECT client_id, total_spent,
          CAST(NTILE({len(TIER_NAMES)}) OVER (ORDER BY total_spent DESC, client_id) AS INTEGER) AS tier_rank
-  FROM (SELECT client_id, {msum('amount')} AS total_spent FROM t GROUP BY client_id))"""
+  FROM (SELECT client_id, {msum('amount')} AS total_spent FROM t WHERE client_id IS NOT NULL GROUP BY client_id))"""
 
 
 def _build() -> dict[str, str]:
@@ -293,7 +302,9 @@ UNION ALL SELECT 'users', COUNT(*), {len(user_cols)} FROM users_raw""")
         + _per_column_union("users", "users_clean", user_cols, "COUNT(*) - COUNT({c})", "null_count")
         + ")")
     q["duplicate_rows"] = with_views(["users_clean"], """
-SELECT 'users' AS "table", (SELECT COUNT(*) FROM users_clean) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM users_clean)) AS duplicates""")
+SELECT 'users' AS "table", (SELECT COUNT(*) FROM users_clean) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM users_clean)) AS duplicates
+UNION ALL SELECT 'users_age_gender', (SELECT COUNT(*) FROM users_clean)
+  - (SELECT COUNT(*) FROM (SELECT DISTINCT current_age, retirement_age, gender FROM users_clean))""")
     q["describe_users"] = with_views(["u"], _describe("u", numeric_user_cols))
     q["describe_credit_score"] = with_views(["u"], _describe("u", ["credit_score"]))
 
@@ -382,8 +393,8 @@ SELECT errors, COUNT(*) AS "count",
 FROM t WHERE errors <> 'No Errors' GROUP BY errors ORDER BY "count" DESC, errors""")
     q["high_risk_customers"] = with_views(["t"], f"""
 SELECT client_id, transactions, errors, {RATE} FROM (
-  SELECT client_id, {ERR_STATS} FROM t GROUP BY client_id)
-WHERE transactions >= 50 ORDER BY error_rate DESC, client_id LIMIT 20""")
+  SELECT client_id, {ERR_STATS} FROM t WHERE client_id IS NOT NULL GROUP BY client_id)
+WHERE transactions >= 50 ORDER BY error_rate DESC, client_id""")
     q["high_value_errors"] = with_views(["t"], f"""
 SELECT is_high_value, transactions, errors, {RATE} FROM (
   SELECT is_high_value, {ERR_STATS} FROM t GROUP BY is_high_value) ORDER BY is_high_value""")
@@ -402,7 +413,8 @@ FROM t WHERE year IS NOT NULL AND use_chip IS NOT NULL GROUP BY year, use_chip O
     q["channel_mix_wide"] = with_views(["t"], """
 SELECT year, COUNT(*) FILTER (WHERE use_chip = 'Chip Transaction') AS chip,
        COUNT(*) FILTER (WHERE use_chip = 'Online Transaction') AS online,
-       COUNT(*) FILTER (WHERE use_chip = 'Swipe Transaction') AS swipe
+       COUNT(*) FILTER (WHERE use_chip = 'Swipe Transaction') AS swipe,
+       COUNT(*) FILTER (WHERE use_chip IS NULL OR use_chip NOT IN ('Chip Transaction', 'Online Transaction', 'Swipe Transaction')) AS other
 FROM t WHERE year IS NOT NULL GROUP BY year ORDER BY year""")
     q["customer_tiers"] = with_views(["t"], _tiers_sql())
     q["tier_summary"] = with_views(["t"], f"""
@@ -421,7 +433,7 @@ ORDER BY "rank", merchant_state""")
     q["merchant_categories"] = with_views(["t", "mcc_codes"], f"""
 SELECT p.mcc, COALESCE(m.description, 'Unknown') AS description, p.transactions, p.errors,
        CAST(p.errors AS DOUBLE) / p.transactions AS error_rate
-FROM (SELECT mcc, {ERR_STATS} FROM t GROUP BY mcc HAVING COUNT(*) >= 50) p
+FROM (SELECT mcc, {ERR_STATS} FROM t GROUP BY mcc) p
 LEFT JOIN mcc_codes m ON p.mcc = m.code ORDER BY error_rate DESC, p.mcc""")
     q["refund_summary"] = with_views(["t"], f"""
 SELECT year, CAST(GROUPING(year) AS INTEGER) AS is_total, COUNT(*) AS transactions,
@@ -435,7 +447,7 @@ SELECT client_id, transactions, refunds, refund_rate FROM (
   SELECT client_id, COUNT(*) AS transactions, CAST(SUM(is_refund) AS BIGINT) AS refunds,
          CAST(SUM(is_refund) AS DOUBLE) / COUNT(*) AS refund_rate
   FROM t GROUP BY client_id)
-WHERE refunds >= 5 AND refund_rate > 2.0 * (SELECT CAST(SUM(is_refund) AS DOUBLE) / COUNT(*) FROM t)
+WHERE client_id IS NOT NULL AND refunds >= 5 AND refund_rate > 2.0 * (SELECT CAST(SUM(is_refund) AS DOUBLE) / COUNT(*) FROM t)
 ORDER BY refund_rate DESC, client_id""")
     q["error_rate_by_hour"] = with_views(["t"], f"""
 SELECT hour, transactions, errors, {RATE}, CAST(hour >= 2 AND hour < 6 AS INTEGER) AS night FROM (
@@ -459,7 +471,7 @@ FROM (SELECT card_type, is_chip_enabled, COUNT(*) AS cards,
 SELECT t.use_chip, t.year, COUNT(*) AS labelled,
        CAST(SUM(CASE WHEN l.Target = 'Yes' THEN 1 ELSE 0 END) AS BIGINT) AS fraud,
        CAST(SUM(CASE WHEN l.Target = 'Yes' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS fraud_rate
-FROM fraud_labels l JOIN t ON l.id = t.id GROUP BY t.use_chip, t.year ORDER BY t.use_chip, t.year""")
+FROM fraud_labels l JOIN t ON l.id = t.id WHERE l.Target IS NOT NULL GROUP BY t.use_chip, t.year ORDER BY t.use_chip, t.year""")
     return q
 
 
