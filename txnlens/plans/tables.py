@@ -27,8 +27,10 @@ class Tables:
                  raw_cards: Callable[[], DataFrame] | None = None,
                  labels: Callable[[], DataFrame] | None = None,
                  mcc: Callable[[], DataFrame] | None = None,
-                 currency_symbol: str | None = None):
-        self._loaders = {"raw_transactions": raw_transactions, "raw_users": raw_users,
+                 currency_symbol: str | None = None,
+                 transactions_text: Callable[[], DataFrame] | None = None,
+                 label_text: Callable[[], DataFrame] | None = None):
+        self._loaders = {"transactions_text": transactions_text, "label_text": label_text, "raw_transactions": raw_transactions, "raw_users": raw_users,
                          "raw_cards": raw_cards, "labels": labels, "mcc": mcc}
         self._currency_symbol = currency_symbol
 
@@ -69,6 +71,16 @@ class Tables:
         """Cards with features."""
         return card_features(self._load("raw_cards"))
 
+    @cached_property
+    def transactions_text(self) -> DataFrame:
+        """The transactions as text columns, as a CSV gives them."""
+        return self._load("transactions_text")
+
+    @cached_property
+    def label_text(self) -> DataFrame:
+        """The labels as pieces of their JSON object."""
+        return self._load("label_text")
+
     @cached_property
     def labels(self) -> DataFrame:
         return self._load("labels")
@@ -88,7 +100,9 @@ class Tables:
         """The banking tables derived from the benchmark tables in ``sf_dir``."""
         return cls(lambda: adapters.txn_raw(spark, sf_dir), lambda: adapters.users_raw(spark, sf_dir),
                    lambda: adapters.cards(spark, sf_dir), lambda: adapters.fraud_labels(spark, sf_dir),
-                   lambda: adapters.mcc_codes(spark, sf_dir))
+                   lambda: adapters.mcc_codes(spark, sf_dir),
+                   transactions_text=lambda: adapters.transactions_text(spark, sf_dir),
+                   label_text=lambda: adapters.label_text(spark, sf_dir))
 
     @classmethod
     def from_files(cls, spark: SparkSession, transactions, users=None, cards=None, labels=None, mcc=None,

@@ -163,3 +163,24 @@ def fraud_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("event_type") == "error") & (eid % 5 == 0), F.lit("Yes"))
         .otherwise(F.lit("No")).alias("Target"),
     )
+
+
+def transactions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as a CSV's text columns, with missing markers, bad dates and bad ids by key."""
+    eid = F.col("id")
+    t = txn_raw(spark, sf_dir)
+    text = {c: F.col(c).cast("string") for c in t.columns}
+    text["date"] = (F.when(eid % 29 == 0, "soon").when(eid % 31 == 0, "NaN")
+                    .otherwise(F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")))
+    text["client_id"] = F.when(eid % 37 == 0, "x").when(F.col("client_id").isNull(), "n/a").otherwise(text["client_id"])
+    text["zip"] = F.when(F.col("zip").isNull(), "NA").otherwise(text["zip"])
+    text["errors"] = F.coalesce(F.col("errors"), F.lit(""))
+    return t.select(*[v.alias(c) for c, v in text.items()])
+
+
+def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fraud labels as pieces of one JSON object, split at commas (column ``value``)."""
+    labels = fraud_labels(spark, sf_dir)
+    label = F.when(F.col("Target").isNull(), "null").when(F.col("Target") == "Yes", '"\\u0059es"').otherwise('"No"')
+    pair = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": '), label)
+    return labels.select(F.when(F.col("id") == 0, F.concat(F.lit('{"target": {'), pair)).otherwise(pair).alias("value"))

@@ -1,12 +1,16 @@
 """Readers for the source files: transactions, users and cards CSV, category
 lookup, and the fraud-label JSON.
 
-CSV files are read with every column as text (``multiLine`` off, so files stay
-splittable), pandas' missing-value markers are turned into null, and each
-column is then cast **by name** to the fixed schema: a CSV schema given to the
-reader would be applied by position and silently misplace columns of a file
-with another column order. Columns keep the file's order; missing required
-columns raise; extra columns are kept as text.
+Reading has two halves. The first turns files into text columns (``multiLine`` off,
+so files stay splittable): every file's header is checked against the first one's,
+so a file with another column order raises instead of misplacing values, and
+``by_header=True`` reads files of different orders each by its own header. The
+second (``typed_columns``, ``label_pairs``) is a projection over text that also runs
+on text from elsewhere: pandas' missing-value markers become null and each column
+is cast **by name** to the fixed schema. Columns keep the file's order; missing
+required columns raise; extra columns are kept as text. A line with too many or too
+few fields, or a quoted line break, is counted by ``parse_failures`` and raises
+under ``strict``.
 """
 
 from __future__ import annotations
@@ -31,47 +35,102 @@ def _cast(c: Column, dtype: T.DataType, date_format: str | None, strict: bool) -
     return c.cast(dtype) if strict else c.try_cast(dtype)
 
 
-def read_typed_csv(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
-                   strict: bool = False, rename: dict[str, str] | None = None, **options) -> DataFrame:
-    """CSV with a header, cast by column name to ``schema``.
+#: Holds a line whose number of fields is not the header's.
+_BAD_LINE = "__bad_line"
+LINE = "(line)"
+
+
+def _text_columns(spark: SparkSession, path, by_header: bool = False, checked: bool = False, **options) -> DataFrame:
+    """The CSV files' columns as text, and ``_BAD_LINE``.
+
+    ``checked`` parses whole lines even where few columns are used, without which
+    the parser does not notice a malformed line.
+    """
+
+    def reader():
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", False).options(**options)
+
+    def one(files) -> DataFrame:
+        names = reader().csv(files).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _BAD_LINE)])
+        return (reader().schema(schema).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnPruning", not checked)
+                .option("columnNameOfCorruptRecord", _BAD_LINE).csv(files))
+
+    if not by_header:
+        return one(path)
+    groups: dict[tuple, list[str]] = {}
+    for file in reader().csv(path).inputFiles():
+        groups.setdefault(tuple(reader().csv(file).columns), []).append(file)
+    parts = [one(files) for files in groups.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def typed_columns(raw: DataFrame, schema: T.StructType, date_format: str | None = None, strict: bool = False,
+                  rename: dict[str, str] | None = None) -> DataFrame:
+    """Text columns to typed rows: missing markers to null, known columns cast by name.
 
     ``strict=False`` (default): a value that does not parse becomes null.
-    ``strict=True``: it fails the job (ANSI cast). ``rename`` maps the file's
-    column names to the schema's (e.g. ``{"on_dark_web": "card_on_dark_web"}``)
-    for sources whose headers differ.
+    ``strict=True``: it fails the job, as does a malformed line.
     """
-    raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", False)
-           .options(**options).csv(path))
     if rename:
         raw = raw.withColumnsRenamed(rename)
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
     if missing:
-        raise ValueError(f"missing columns {missing} in {path}")
-    raw = null_na_strings(raw)
+        raise ValueError(f"missing columns {missing}")
+    names = [c for c in raw.columns if c != _BAD_LINE]
+    raw = null_na_strings(raw, names)
     types = {f.name: f.dataType for f in schema.fields}
-    # the file's own column order, like pandas; known columns cast by name
-    return raw.select(*[
-        _cast(F.col(f"`{c}`"), types[c], date_format, strict).alias(c) if c in types else F.col(f"`{c}`")
-        for c in raw.columns
-    ])
 
+    def column(c: str) -> Column:
+        out = _cast(F.col(f"`{c}`"), types[c], date_format, strict) if c in types else F.col(f"`{c}`")
+        if strict and _BAD_LINE in raw.columns:
+            out = F.when(F.col(_BAD_LINE).isNull(), out).otherwise(
+                F.raise_error(F.concat(F.lit("malformed line: "), F.substring(_BAD_LINE, 1, 200))))
+        return out.alias(c)
 
-def parse_failures(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
+    # the file's own column order, like pandas
+    return raw.select(*[column(c) for c in names])
+
+
+def read_typed_csv(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
+                   strict: bool = False, rename: dict[str, str] | None = None, by_header: bool = False,
                    **options) -> DataFrame:
-    """Per typed column of ``schema``: values present in the CSV that did not parse.
+    """CSV with a header, cast by column name to ``schema`` (see ``typed_columns``).
 
-    The non-strict readers turn such values into null; this counts them (one
-    aggregation over the file), so bad dates or ids are reported, not lost.
-    Columns ``column``, ``failures``.
+    ``rename`` maps the file's column names to the schema's (e.g.
+    ``{"on_dark_web": "card_on_dark_web"}``) for sources whose headers differ.
+    """
+    return typed_columns(_text_columns(spark, path, by_header, strict, **options), schema, date_format, strict, rename)
+
+
+def text_failures(raw: DataFrame, schema: T.StructType, date_format: str | None = None) -> DataFrame:
+    """Per typed column of ``schema``: values present in the text that do not parse, and malformed lines.
+
+    Columns ``column``, ``failures``; the row ``(line)`` counts malformed lines where
+    the reader marks them, else 0.
     """
-    raw = null_na_strings(spark.read.option("header", True).option("escape", '"')
-                          .option("multiLine", False).options(**options).csv(path))
-    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType) and f.name in raw.columns]
+    names = [c for c in raw.columns if c != _BAD_LINE]
+    raw = null_na_strings(raw, names)
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType) and f.name in names]
+    bad_lines = F.count(_BAD_LINE) if _BAD_LINE in raw.columns else F.lit(0).cast("long")
     counts = raw.agg(*[
         F.count_if(F.col(f"`{f.name}`").isNotNull()
                    & _cast(F.col(f"`{f.name}`"), f.dataType, date_format, False).isNull()).alias(f.name)
-        for f in typed])
-    return counts.unpivot([], [f.name for f in typed], "column", "failures")
+        for f in typed], bad_lines.alias(LINE))
+    return counts.unpivot([], [*[f.name for f in typed], f"`{LINE}`"], "column", "failures")
+
+
+def parse_failures(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
+                   by_header: bool = False, **options) -> DataFrame:
+    """``text_failures`` of CSV files.
+
+    The non-strict readers turn such values into null; this counts them (one
+    aggregation over the files), so bad dates, ids and lines are reported, not lost.
+    """
+    return text_failures(_text_columns(spark, path, by_header, True, **options), schema, date_format)
 
 
 def read_transactions(spark: SparkSession, path, date_format: str | None = None,
@@ -99,28 +158,40 @@ def read_mcc(spark: SparkSession, path, rename: dict[str, str] | None = None, **
 
 # one "id": label pair at the end of a piece (the label a JSON string or a bare
 # number/boolean/null), followed only by closing braces and blanks
-_PAIR = r'"([^"]+)"\s*:\s*("[^"]*"|[^\s,"{}\[\]]+)[\s}]*$'
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_PAIR = rf'({_STRING}\s*:\s*(?:{_STRING}|[^\s,"{{}}\[\]]+))[\s}}]*$'
+_NO_PAIR = rf'^[\s{{}}]*(?:{_STRING}\s*:\s*\{{)?[\s{{}}]*$'
+
+
+def label_pairs(pieces: DataFrame, column: str = "value") -> DataFrame:
+    """Pieces of a label object, each with one ``"id": label`` pair at its end, to rows (id, Target).
+
+    The pair is decoded as JSON, so escapes in ids and labels are; a bare ``null`` is
+    null, other bare literals are their text. A piece of braces only (an empty
+    object) gives no row; anything else without a pair raises.
+    """
+    piece = F.col(column)
+    pair = F.regexp_extract(piece, _PAIR, 1)
+    decoded = F.from_json(F.concat(F.lit("{"), pair, F.lit("}")), "map<string,string>")
+    checked = F.when(piece.rlike(_PAIR), decoded).when(piece.rlike(_NO_PAIR), F.lit(None)).otherwise(
+        F.raise_error(F.concat(F.lit("not an id/label pair: "), F.substring(piece, 1, 200))))
+    return (pieces.select(F.explode(checked).alias("id", "Target"))
+            .select(F.col("id").cast(LABELS["id"].dataType).alias("id"), "Target"))
 
 
-def read_label_map(spark: SparkSession, path) -> DataFrame:
+def read_label_map(spark: SparkSession, path, whole: bool = False) -> DataFrame:
     """Fraud labels stored as one JSON object ``{"target": {"<id>": "<label>", ...}}``.
 
     A JSON reader would parse the single object in one task (and infer one
     struct field per id). The file is instead split on commas, which in this
-    layout only separate pairs: each piece holds one ``"id": "label"`` pair, and
-    the text reader splits the file across tasks. Requires an uncompressed
-    file with no comma or escaped quote inside ids or labels; a piece without
-    a pair raises. Labels may be JSON strings or bare literals (``null`` is
-    null). Columns ``id`` (bigint) and ``Target`` (text).
+    layout only separate pairs, and the text reader splits the file across tasks
+    (see ``label_pairs``). Requires an uncompressed file with no comma inside ids or
+    labels. ``whole=True`` reads other files: each is parsed as a map, by one task.
+    Columns ``id`` (bigint) and ``Target`` (text).
     """
-    pieces = spark.read.option("lineSep", ",").text(path)
-    piece = F.col("value")
-    pair_id = F.regexp_extract(piece, _PAIR, 1)
-    raw_label = F.regexp_extract(piece, _PAIR, 2)
-    label = F.when(raw_label != "null", F.regexp_replace(raw_label, r'^"|"$', ""))
-    matched = piece.rlike(_PAIR)
-    checked = F.when(matched, pair_id).when(piece.rlike(r"^[\s{}]*$"), F.lit(None)).otherwise(
-        F.raise_error(F.concat(F.lit("not an id/label pair: "), F.substring(piece, 1, 200))))
-    return (pieces.select(checked.alias("id"), label.alias("Target"))
-            .filter(F.col("id").isNotNull())
+    if not whole:
+        return label_pairs(spark.read.option("lineSep", ",").text(path))
+    text = spark.read.option("wholetext", True).text(path)
+    groups = F.map_values(F.from_json("value", "map<string,map<string,string>>", {"mode": "FAILFAST"}))
+    return (text.select(F.explode(groups).alias("group")).select(F.explode("group").alias("id", "Target"))
             .select(F.col("id").cast(LABELS["id"].dataType).alias("id"), "Target"))

@@ -42,4 +42,5 @@ def stage(df: DataFrame, path: str | None = None, partition_by: list[str] | None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    # the schema as written: a text partition column would else come back as a number
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,14 +4,13 @@ Files dropped into a folder are read with Structured Streaming, go through the
 same ``clean_transactions`` / ``txn_features`` projections as the batch jobs,
 and feed running aggregations whose state is one row per key (hour of day,
 channel and year), so state stays small however long the stream runs. The
-query's progress and state live under a checkpoint folder in the shared
-``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+query's progress and state live in the folder given to ``start_report``; with the
+same shared folder a restarted query, also of another application, resumes where
+it stopped.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +22,6 @@ from txnlens.operators.features import txn_features
 from txnlens.operators.risk import is_error
 from txnlens.functions.numeric import money_sum, rate
 from txnlens.schemas import TXN
-from txnlens.session import checkpoint_dir
 
 
 def read_transaction_stream(spark: SparkSession, folder: str, columns: list[str] | None = None,
@@ -59,15 +57,13 @@ def channel_volume(txn: DataFrame) -> DataFrame:
                                 money_sum("amount").alias("total_volume"))
 
 
-def start_report(report: DataFrame, name: str, checkpoint: str | None = None, sink: str = "memory",
+def start_report(report: DataFrame, name: str, checkpoint: str, sink: str = "memory",
                  path: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start a report in ``complete`` mode.
 
     ``sink='memory'`` exposes it as the table ``name``; other sinks (``parquet``
     via ``foreachBatch`` overwrite, for example) take ``path``.
     """
-    spark = report.sparkSession
-    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "streams", name)
     writer = report.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
