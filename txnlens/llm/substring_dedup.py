@@ -175,8 +175,8 @@ def _cover(window: int):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Windows that start in more than one document, with the smallest doc_id of each."""
-    return rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    """Windows that start in more than one document, with the smallest doc_id of each, written out so that the join can split one that very many documents have."""
+    return cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo"))
 
 
 def removed_words(docs: DataFrame, *, window_words: int = WINDOW_WORDS, start_words: int = START_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -196,11 +196,12 @@ def removed_words(docs: DataFrame, *, window_words: int = WINDOW_WORDS, start_wo
     signed = cut(text_rows(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(
         _signatures(start_words), "doc_id long, hash long, n_words long, digest binary, sha string, anchors array<long>"))
     long_rows = signed.filter((F.col("n_words") >= window_words) & F.col("doc_id").isNotNull())
-    firsts = long_rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    firsts = cut(long_rows.groupBy("digest").agg(F.min("doc_id").alias("first")))
 
     ids = cut(firsts.select(F.col("first").alias("doc_id")).distinct())
     anchors = only(signed.select("doc_id", "anchors"), ids).select("doc_id", F.explode("anchors").alias("gram"))
-    common = anchors.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
+    # cut, so that the join has an exchange on both sides and can split a gram that very many documents have
+    common = cut(anchors.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram"))
     hints = cut(anchors.join(common, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("hints")))
     texts = only(text_rows(docs), cut(hints.select("doc_id"))).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     # different texts under one doc_id are told apart by a number
