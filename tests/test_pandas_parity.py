@@ -78,7 +78,7 @@ def test_whole_days_matches_timedelta_days(spark, pairs):
 def test_quantiles_match_pandas(spark, xs):
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    rows = quantile_table(df, ["x"], probs, partitions=3).collect()
+    rows = quantile_table(df, ["x"], probs).collect()
     s = pd.Series([x for x in xs], dtype="float64")
     if s.count() == 0:
         assert rows == []

@@ -21,7 +21,7 @@ def test_matches_percentile(spark, n, distinct, parts):
     values = [7.0 if i % 3 == 0 else float(rnd.randint(0, distinct)) / 4 for i in range(n)]
     rows = [(v, -v * 2 if i % 5 else None) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "a double, b double")
-    got = {r.column: r for r in quantile_table(df, ["a", "b"], PROBS, parts).collect()}
+    got = {r.column: r for r in quantile_table(df.repartition(parts), ["a", "b"], PROBS).collect()}
     for c, col in (("a", 0), ("b", 1)):
         s = pd.Series([r[col] for r in rows], dtype="float64")
         if s.count() == 0:
@@ -64,5 +64,15 @@ def test_outlier_shape_equals_filtered_count(spark, seed):
     rows = [(float(rnd.choice([0, 1, 1, 2, 3, 50, -40])) if i % 9 else None, i) for i in range(800)]
     df = spark.createDataFrame(rows, "x double, i int")
     for side in ("low", "high"):
-        assert tuple(outlier_shape(df, "x", side, partitions=4).first()) == \
+        assert tuple(outlier_shape(df, "x", side).first()) == \
             tuple(shape(outliers(df, "x", side)).first())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 9_999, 10_001, 60_000])
+def test_quantiles_of_many_values(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.concatenate([rng.lognormal(0, 4, n - n // 3), np.full(n // 3, 7.0)])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
+    q = quantile_table(df, ["x"], PROBS).first()
+    for i, p in enumerate(PROBS):
+        assert q[f"_q{i}"] == float(np.quantile(values, p))

@@ -1,19 +1,18 @@
 """Exact quantiles, IQR fences and outlier selection.
 
-Exact quantiles (``method="exact"``, the default) never gather values into one
-task. Rows are first reduced to one row per distinct value with its count
-(map-side partial aggregation, so a value held by a third of the rows becomes
-one row per task). Those value counts are range-partitioned and sorted, and
-checkpointed so each row's partition and position are fixed. Cumulative counts
-then come from per-partition offsets (one row per partition and column) plus a
-running sum inside the few partitions that hold a wanted rank. The value at a rank is picked by a
-conditional aggregate, so memory per task is bounded by a partition of
-distinct values. Interpolation is numpy's linear method (what pandas
-``quantile`` uses), bit for bit; Spark's ``percentile`` interpolates with a
-different formula that can differ in the last bit.
-
-``method="approx"`` uses ``percentile_approx`` (bounded memory, rank error about
-n/accuracy).
+Exact quantiles (``method="exact"``, the default) narrow down where the wanted ranks
+lie and never order all values. One pass brackets each quantile between two
+approximate ones (``percentile_approx``, whose rank error is bounded). A second pass
+counts the rows between brackets and, inside them, the rows of each distinct value
+(map-side partial aggregation, so a value held by a third of the rows becomes one
+row per task). Cells of equal width divide the values of a bracket; running sums
+over the cells (a bounded number) say which cells hold the wanted ranks, and only
+the distinct values of those cells are ordered. Everything is one lazy plan: no
+checkpoint, and no job before the caller runs it. Interpolation is numpy's linear
+method (what pandas ``quantile`` uses), bit for bit; Spark's ``percentile``
+interpolates with a different formula that can differ in the last bit, and merges
+all distinct values in one task. ``method="approx"`` uses ``percentile_approx``
+alone (bounded memory, rank error about n/accuracy).
 
 Fences are computed once per query as a scalar subquery and inlined into the
 filter on the big table, so the table is streamed through a plain ``Filter``
@@ -27,69 +26,95 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.schemas import IQR_FACTOR
-from txnlens.session import reliable_checkpoint
 
-_PART_BITS = 33
+#: Accuracy of the bracketing pass, and cells per bracket.
+ACCURACY = 10_000
+CELLS = 4096
 
 
 def _prob_name(i: int) -> str:
     return f"_q{i}"
 
 
-def value_counts_of(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, v, n): rows per distinct value of each column, null and NaN included."""
+def _number(c) -> Column:
+    """The column as double, NaN as missing."""
+    v = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column, lows, highs): for each column, values a little below and above each quantile."""
+    margin = 2 / ACCURACY
+    around = [min(1.0, max(0.0, p + side)) for side in (-margin, margin) for p in sorted(probs)]
+    one = df.agg(*[F.percentile_approx(_number(c), F.array(*map(F.lit, around)), ACCURACY).alias(c) for c in columns])
+    k = len(probs)
+    return one.unpivot([], columns, "column", "q").select(
+        "column", F.slice("q", 1, k).alias("lows"), F.slice("q", k + 1, k).alias("highs"))
+
+
+def _counts(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column, part, cell, v, n, least, most): rows by distinct value inside the brackets, and by part between them.
+
+    ``part``, and in it ``cell``, grow with the value; ``v`` is null between brackets. Null values are
+    counted as n = 0 and dropped only after the aggregation: a filter before it would
+    be pushed below the projection that computes the value and evaluate that
+    (possibly costly) expression once more per condition.
+    """
+    brackets = _brackets(df, columns, probs)
     if len(columns) == 1:
-        # one column: count per value alone (cheaper hash key), name it afterwards
-        return (df.select(F.col(columns[0]).cast("double").alias("v"))
-                .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(columns[0]).alias("column"), "v", "n"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                      for c in columns])
-    return df.select(F.inline(pairs)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _ranked_value_counts(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
-    """Checkpointed (column, v, n, _rid, _part): one row per distinct non-null value,
-    range-partitioned and sorted, with fixed partition ids and positions."""
-    spark = df.sparkSession
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (value_counts_of(df, columns).repartitionByRange(nparts, "column", "v")
-              .sortWithinPartitions("column", "v")
-              .withColumn("_rid", F.monotonically_increasing_id()))
-    # Null and NaN are counted as groups and dropped only now: a filter on ``v``
-    # before the aggregation would be pushed below the projection that computes
-    # it and evaluate that (possibly costly) expression once more per condition.
-    present = F.col("v").isNotNull() & ~F.isnan("v")
-    return (reliable_checkpoint(ranged).filter(present)
-            .withColumn("_part", F.shiftright("_rid", _PART_BITS)))
-
-
-def _quantiles_from_counts(ranged: DataFrame, probs: list[float]) -> DataFrame:
-    sizes = ranged.groupBy("column", "_part").agg(F.sum("n").alias("_pn"))
-    before = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (column, partition): bounded by columns x partitions
-    offsets = sizes.select("column", "_part", "_pn",
-                           F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"),
-                           F.sum("_pn").over(Window.partitionBy("column")).alias("_total"))
-    # only the partitions holding a wanted rank (at most two per probability and
-    # column) go through the running-sum window
+        values = df.select(F.lit(columns[0]).alias("column"), _number(columns[0]).alias("x"))
+    else:
+        values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _number(c).alias("x")) for c in columns])))
+    if len(columns) == 1:
+        bounds = [brackets.select(c).scalar().alias(c) for c in ("lows", "highs")]
+        values = values.select("*", *bounds)
+    else:
+        values = values.join(F.broadcast(brackets), "column")  # one row for each column
+    x = F.col("x")
+    above = sum((F.when(x >= F.get("lows", i), 1).otherwise(0) for i in range(len(probs))), F.lit(0))
+    beyond = sum((F.when(x > F.get("highs", i), 1).otherwise(0) for i in range(len(probs))), F.lit(0))
+    # inside a bracket more lower than upper bounds have been passed
+    placed = values.select("column", "x", "lows", "highs", above.alias("above"), beyond.alias("beyond"))
+    inside = F.col("above") > F.col("beyond")
+    low, width = F.get("lows", F.col("beyond")), F.get("highs", F.col("beyond")) - F.get("lows", F.col("beyond"))
+    cell = F.when(inside & (width > 0) & (width < F.lit(float("inf"))),
+                  F.least(F.lit(CELLS - 1), F.floor((x - low) / width * CELLS).cast("int"))).otherwise(0)
+    keyed = placed.select("column", "x", (F.col("above") + F.col("beyond")).alias("part"), cell.alias("cell"), F.when(inside, x).alias("v"))
+    return (keyed.groupBy("column", "part", "cell", "v").agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+            .filter("n > 0"))
+
+
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
+
+    Nulls and NaN are skipped. Exact: the values at ranks floor((n - 1) p) and
+    the next one, interpolated as numpy does.
+    """
+    counts = _counts(df, columns, probs)
+    # at most CELLS rows a bracket
+    sizes = counts.groupBy("column", "part", "cell").agg(F.sum("n").alias("size"))
+    order = Window.partitionBy("column").orderBy("part", "cell")
+    sizes = sizes.withColumn("_off", F.sum("size").over(order) - F.col("size")).withColumn(
+        "_total", F.sum("size").over(Window.partitionBy("column")))
     holds = None
     for p in probs:
         for rank in _positions(F.col("_total"), p)[:2]:
-            inside = (F.col("_off") <= rank) & (rank < F.col("_off") + F.col("_pn"))
+            inside = (F.col("_off") <= rank) & (rank < F.col("_off") + F.col("size"))
             holds = inside if holds is None else holds | inside
-    wanted = offsets.filter(holds).select("column", "_part", "_off", "_total")
-    upto = Window.partitionBy("_part", "column").orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (ranged.join(F.broadcast(wanted), ["column", "_part"])
-           .withColumn("_cum", F.col("_off") + F.sum("n").over(upto)))
+    wanted = sizes.filter(holds).select("column", "part", "cell", "_off", "_total")
+    upto = Window.partitionBy("column", "part", "cell").orderBy("least").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.join(F.broadcast(wanted), ["column", "part", "cell"]).withColumn("_cum", F.col("_off") + F.sum("n").over(upto))
 
-    total = F.col("_total")
     aggs = [F.max("_total").alias("n")]
     for i, p in enumerate(probs):
-        prev, nxt, _ = _positions(total, p)
+        prev, nxt, _ = _positions(F.col("_total"), p)
         for side, rank in (("lo", prev), ("hi", nxt)):
-            hit = (F.col("_cum") - F.col("n") <= rank) & (rank < F.col("_cum"))
-            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}{i}"))
+            first = F.col("_cum") - F.col("n")
+            hit = (first <= rank) & (rank < F.col("_cum"))
+            # between brackets only the first and the last value are known, and only they can be wanted
+            value = (F.when((F.col("least") == F.col("most")) | (rank == first), F.col("least")).when(rank == F.col("_cum") - 1, F.col("most"))
+                     .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
+            aggs.append(F.max(F.when(hit, value)).alias(f"_{side}{i}"))
     picked = cum.groupBy("column").agg(*aggs)
 
     out = [F.col("column"), F.col("n")]
@@ -99,16 +124,6 @@ def _quantiles_from_counts(ranged: DataFrame, probs: list[float]) -> DataFrame:
     return picked.select(*out)
 
 
-def quantile_table(df: DataFrame, columns: list[str], probs: list[float],
-                   partitions: int | None = None) -> DataFrame:
-    """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
-
-    Nulls and NaN are skipped. Exact: the values at ranks floor((n - 1) p) and
-    the next one, interpolated as numpy does.
-    """
-    return _quantiles_from_counts(_ranked_value_counts(df, columns, partitions), probs)
-
-
 def _positions(n: Column, p: float):
     """0-based ranks around (n - 1) * p and the fraction between them (numpy 'linear')."""
     pos = (n - 1) * F.lit(float(p))
@@ -164,27 +179,9 @@ def outliers(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
     raise ValueError(f"side must be 'low' or 'high', not {side!r}")
 
 
-def outlier_shape(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR,
-                  partitions: int | None = None) -> DataFrame:
-    """One row: rows and columns of ``outliers(df, column, side)`` without a second scan.
-
-    The quartiles are computed from per-value row counts; the number of rows
-    beyond the fence is the sum of those counts over the values beyond it, so
-    ``df`` is read once.
-    """
-    if side not in ("low", "high"):
-        raise ValueError(f"side must be 'low' or 'high', not {side!r}")
-    ranged = _ranked_value_counts(df, [column], partitions)
-    q = _quantiles_from_counts(ranged, [0.25, 0.75]).agg(F.max("_q0").alias("q1"), F.max("_q1").alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    if side == "low":
-        fence = q.select(F.col("q1") - F.lit(factor) * iqr).scalar()
-        beyond = F.col("v") < fence
-    else:
-        fence = q.select(F.col("q3") + F.lit(factor) * iqr).scalar()
-        beyond = F.col("v") > fence
-    return ranged.filter(beyond).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows")).select(
-        "rows", F.lit(len(df.columns)).alias("columns"))
+def outlier_shape(df: DataFrame, column: str, side: str, factor: float = IQR_FACTOR) -> DataFrame:
+    """One row: rows and columns of ``outliers(df, column, side)``."""
+    return shape(outliers(df, column, side, factor))
 
 
 def shape(df: DataFrame) -> DataFrame:
