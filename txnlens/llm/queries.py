@@ -78,4 +78,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_surrogates": op10_surrogates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""
+w AS (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
+
+#: The operators that SQL can express; the others are tested against plain versions, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": "WITH RECURSIVE" + _WORDS.format(
+        text="translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """,
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS t
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT w.doc_id, COUNT(s.t) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * p.c >= 90 * (x.n + y.n - p.c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT a, MIN(b) AS component_id FROM r GROUP BY a) m ON n.doc_id = m.a""",
+    "op7_substring_doubling": "WITH" + _WORDS.format(text="COALESCE(text, '')") + """,
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS t
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT t, MIN(doc_id) AS first FROM v GROUP BY t),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM v JOIN f USING (t) WHERE first < doc_id),
+k AS (SELECT doc_id, ws[i] AS x, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM g))
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(c.n, 0) AS n_removed, sha256(COALESCE(j.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY doc_id) c ON w.doc_id = c.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id) j ON w.doc_id = j.doc_id""",
+}
