@@ -57,7 +57,15 @@ PATTERNS = [
     ("card", r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"),
     ("person", rf"(?<!\p{{L}})(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME})?"),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+
+
+def _any(*kinds: str) -> str:
+    return "|".join(f"(?:{p})" for k, p in PATTERNS if k in kinds)
+
+
+# what can begin at a letter is tried at the beginnings of words only, the rest at digits, brackets and signs
+ANY = (rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}_%+-])(?:{_any('email', 'credential', 'key', 'ip', 'iban', 'person')})"
+       rf"|(?=[\d(+])(?:{_any('email', 'key', 'ip', 'phone', 'ssn', 'card')})")
 _CREDENTIAL_HEAD = r"^(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth) {0,3}[=:] {0,3}[\"']?"
 _PERSON_HEAD = rf"^(?:{_TITLE})\.? "
 DEFAULT_KEY = "change-this-key"
