@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,10 +177,12 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: fl
 
 def keep_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    text = docs.columns.index("text")
 
-    def score(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, folded = Hasher(), Hasher(fold=True)
-        out = [model.score(model.inputs(part, raw, folded)) for _, part in raw.slices(pa.array(texts, pa.string()))]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        for batch in batches:
+            for at, part in raw.slices(batch.column(text)):
+                yield batch.slice(at, len(part)).filter(pa.array(model.score(model.inputs(part, raw, folded)) >= threshold))
 
-    return docs.filter(F.pandas_udf(score, "double")(F.col("text").cast("string")) >= threshold)
+    return docs.mapInArrow(run, docs.schema)
