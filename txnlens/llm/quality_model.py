@@ -45,7 +45,8 @@ class Rows:
     def take(self, rows: np.ndarray) -> Rows:
         size = self.start[rows + 1] - self.start[rows]
         stop = np.cumsum(size)
-        at = np.arange(stop[-1]) + np.repeat(self.start[rows] - (stop - size), size)
+        at = np.arange(stop[-1], dtype=np.int32 if stop[-1] < 2**31 else np.int64)
+        at += np.repeat((self.start[rows] - (stop - size)).astype(at.dtype), size)
         return Rows(np.concatenate(([0], stop)), self.index[at], self.value[at])
 
 
@@ -142,17 +143,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", l
         model = _blank(np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)))
         model.factor[:] = 0
         return model
-    got = got.sort_by("doc_id").combine_chunks()
-    stats = np.array(got["stats"].to_pylist(), dtype=np.float64)
+    # as few and as small copies of the sample as can be: it is the largest thing the driver holds
+    got = got.combine_chunks()
+    stats = got["stats"].chunk(0).flatten().to_numpy().reshape(-1, len(STRUCTURE))
     model = _blank(stats.mean(axis=0), stats.std(axis=0) + 1e-6)
-    dense = np.clip((stats - model.centre) / model.scale, -4, 4) / 2
-    index, value, sizes = [], [], []
-    for i in range(len(stats)):
-        bucket = got["bucket"][i].values.to_numpy().astype(np.int64)
-        index += [bucket, (1 << WORD_BITS) + np.arange(dense.shape[1])]
-        value += [got["value"][i].values.to_numpy().astype(np.float64), dense[i]]
-        sizes.append(len(bucket) + dense.shape[1])
-    model.fit(Rows(np.concatenate(([0], np.cumsum(sizes))), np.concatenate(index), np.concatenate(value)), got["target"].to_numpy())
+    dense = (np.clip((stats - model.centre) / model.scale, -4, 4) / 2).astype(np.float32)
+    words = got["bucket"].chunk(0)
+    size = np.diff(words.offsets.to_numpy())
+    ends = np.cumsum(size + dense.shape[1])
+    begin = ends - size - dense.shape[1]
+    index, value = np.empty(ends[-1], dtype=np.int32), np.empty(ends[-1], dtype=np.float32)
+    of_words = np.ones(len(index), dtype=bool)
+    for j in range(dense.shape[1]):
+        at = begin + size + j
+        of_words[at], index[at], value[at] = False, (1 << WORD_BITS) + j, dense[:, j]
+    index[of_words], value[of_words] = words.flatten().to_numpy(), got["value"].chunk(0).flatten().to_numpy()
+    order, target = np.argsort(got["doc_id"].to_numpy(), kind="stable"), got["target"].to_numpy()
+    del got, words, of_words
+    model.fit(Rows(np.concatenate(([0], ends)), index, value).take(order), target[order])
     return model
 
 
