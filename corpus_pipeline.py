@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.llm.ngram_join import one_of_each_group
-from txnlens.llm.packing import pack_documents
+from txnlens.llm.packing import added_tokens, pack_documents
 from txnlens.llm.pii import replace_pii
 from txnlens.llm.quality_model import fit_quality, keep_quality
 from txnlens.llm.substring_dedup import without_repeats
@@ -40,7 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 1024."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                          special=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

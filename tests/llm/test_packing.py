@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 from llm_inputs import corpus, no_docs  # noqa: F401
 
-from txnlens.llm.packing import Levels, pack, pack_documents, powers_of_two
+from txnlens.llm.packing import Levels, added_tokens, pack, pack_documents, powers_of_two
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -88,3 +88,31 @@ def test_rows_without_id_or_text_and_empty_table(spark, no_docs):
     got = pack_documents(docs, PATH, PATTERN).collect()
     assert sum(r["length"] for r in got) == 1 + 2 * 3
     assert pack_documents(no_docs, PATH, PATTERN).count() == 0
+
+
+def test_added_tokens_are_read_out_of_the_text(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    end, tokenizer = "<|endoftext|>", Tokenizer.from_file(path)
+    special = added_tokens(path)
+    assert special == {end: 50256}
+    r = random.Random(9)
+    texts = ["one doc<|endoftext|>next", end, end * 3, f" {end} ", f"a  {end}\n\n{end}b", "<|endoftext|", "<|ENDOFTEXT|>", "<<|endoftext|>>", "plain",
+             *("".join(r.choice([end, "<|", "|>", " ", "  ", "\n", "word", " é", "12", "'s", "!"]) for _ in range(r.randint(1, 60))) for _ in range(200))]
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for i, t in enumerate(texts)}
+    assert ids[0].tolist() == [505, 2205, 50256, 19545, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pack_documents(docs, PATH, PATTERN, special=special, size=64)
+    assert check([tuple(x) for x in out.collect()], ids, 64) == 0
+
+
+def test_the_query_and_the_stage_take_the_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from txnlens.llm.queries import op9_sum_of_squares_packing
+
+    docs = spark.createDataFrame([(1, "one doc<|endoftext|>next")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (op9_sum_of_squares_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        rows = out.collect()
+        assert {x["doc_tokens"] for x in rows} == {5} and sum(x["length"] for x in rows) == 5
+        # five ids end as sequences of four and of one
+        assert sorted(x["ids_crc32"] for x in rows) == sorted([zlib.crc32(np.array([505, 2205, 50256, 19545], dtype="<u4").tobytes()), zlib.crc32(b"\0\0\0\0")])

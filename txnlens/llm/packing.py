@@ -11,6 +11,7 @@ lengths that are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -133,10 +134,22 @@ def pack(documents: Iterator[tuple[int | None, np.ndarray]], size: int = SEQUENC
     yield from powers_of_two(rest)
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, *, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """Text -> id of the added tokens of the tokenizer file at ``path``, which are read out of a text before it is split."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    tokens = {t["content"]: t["id"] for t in found}
+    if any(t.get(flag) for t in found for flag in ("single_word", "lstrip", "rstrip")) or any(a != b and b.startswith(a) for a in tokens for b in tokens):
+        raise ValueError(f"{path}: added tokens that match more or less than their text, or begin with another one")
+    return tokens
+
+
+def pack_documents(docs: DataFrame, path: str, pattern: str, *, special: dict[str, int] | None = None, size: int = SEQUENCE,
+                   end_id: int = END_ID) -> DataFrame:
     """One row for each piece of each row of ``docs`` (doc_id, text).
 
-    A document is its ids by the vocabulary at ``path`` and then ``end_id``. Rows:
+    A document is its ids by the vocabulary at ``path``, with those of ``special``
+    (text -> id) wherever their text stands, and then ``end_id``. Rows:
     doc_id, start (ids of the document before the piece), length, ids_crc32 (of the
     ids as little-endian unsigned 32-bit numbers), doc_tokens, sequence_id and offset
     in the sequence. sequence_id holds the partition and a count, so tasks need not
@@ -150,7 +163,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, *, size: int = SEQU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(raw), special_tokens={})
+        encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(raw), special_tokens=special or {})
         base = TaskContext.get().partitionId() << 33
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
@@ -158,7 +171,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, *, size: int = SEQU
                 keys = batch.column(0)
                 for at, texts in text_slices(batch.column(1)):
                     for i, text in enumerate(texts, at):
-                        yield keys[i].as_py(), np.append(encoding.encode_to_numpy(text, disallowed_special=()), np.uint32(end_id)).astype("<u4")
+                        yield keys[i].as_py(), np.append(encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()), np.uint32(end_id)).astype("<u4")
 
         def rows(block: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*block, strict=True)],

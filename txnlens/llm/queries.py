@@ -11,7 +11,7 @@ from txnlens.llm.bpe import encoding_report
 from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.html_text import extract_pages
 from txnlens.llm.ngram_join import ngram_jaccard_groups
-from txnlens.llm.packing import pack_documents
+from txnlens.llm.packing import added_tokens, pack_documents
 from txnlens.llm.pii import surrogate_report
 from txnlens.llm.quality_model import fit_quality, score_quality
 from txnlens.llm.quality_rules import compression_rules
@@ -56,9 +56,9 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the same vocabulary as byte_bpe_50k.json, as ranks
-    return pack_documents(table(spark, sf_dir, "documents"),
-                          public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # the same vocabulary as byte_bpe_50k.json, as ranks, and that file's added tokens
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                          special=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
