@@ -79,3 +79,28 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
     plan = replace_entities(docs)[0]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_only_numbers_with_a_check_digit_are_cards(spark):
+    other = ["2021 2022 2023 2024", "9807915762804490", "4529603461135147", "41 11 11 11 11 11 11 11", "1.4111111111111111", "4111111111111111a",
+             "4" * 40, "0123456789 " * 300, "1-2-3-4-5-6-7-8-9-10-11-12"]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005", "3056 930902 5904", "4222222222222",
+             "6304 0000 0000 0000 000"]
+    beside = ["12 4111 1111 1111 1111 2024", "1234 4111 1111 1111 1111", "9807915762804490 4111111111111111", "4111 1111 1111 1111 12a", "2021-4111 1111 1111 1111",
+              "4111111111111111 and 4111-1111-1111-1111, 123 415-555-2671 10.1.2.3"]
+    texts = [*other, *cards, *beside]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r["doc_id"]]: r for r in surrogate_report(docs).collect()}
+    for t in other:
+        assert got[t]["text"] == t and got[t]["n_entities"] == 0 and not got[t]["changed"], t
+    digits = {}
+    for t in cards:
+        new = got[t]["text"]
+        assert got[t]["n_entities"] == 1 and new != t and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t) and new[0] == t[0], t
+        bare = re.sub(r"\D", "", new)
+        assert luhn(bare) and digits.setdefault(re.sub(r"\D", "", t), bare) == bare
+    one = digits["4111111111111111"]
+    spaced = " ".join(one[i:i + 4] for i in range(0, 16, 4))
+    assert [got[t]["text"] for t in beside[:5]] == [f"12 {spaced} 2024", f"1234 {spaced}", f"9807915762804490 {one}", f"{spaced} 12a", f"2021-{spaced}"]
+    assert got[beside[5]]["text"].startswith(f"{one} and {spaced.replace(' ', '-')}, 123 ") and got[beside[5]]["n_entities"] == 4
+    assert "415" not in got[beside[5]]["text"] and "10.1.2.3" not in got[beside[5]]["text"]

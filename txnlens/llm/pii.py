@@ -3,7 +3,8 @@
 Detected entities (e-mail, telephone, IP, card, IBAN and social-security numbers,
 credentials, and persons named after a title) are replaced by made-up ones of the
 same type and format: letters stay letters of the same case, digits digits,
-separators stay. Card numbers keep their first digit and a valid check digit, names
+separators stay. A number is a card only with a valid check digit and in the groups
+in which cards are written, other numbers stay. Card numbers keep their first digit and a valid check digit, names
 keep gender (from the title) and script, e-mail domains become example domains.
 
 A surrogate is a function of a secret key and the normalised entity, so an entity
@@ -54,7 +55,7 @@ PATTERNS = [
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\d(])(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
-    ("card", r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"),
+    ("card", r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"),  # its check digit and groups: _pattern
     ("person", rf"(?<!\p{{L}})(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME})?"),
 ]
 
@@ -63,15 +64,37 @@ def _any(*kinds: str) -> str:
     return "|".join(f"(?:{p})" for k, p in PATTERNS if k in kinds)
 
 
-# what can begin at a letter is tried at the beginnings of words only, the rest at digits, brackets and signs
-ANY = (rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}_%+-])(?:{_any('email', 'credential', 'key', 'ip', 'iban', 'person')})"
-       rf"|(?=[\d(+])(?:{_any('email', 'key', 'ip', 'phone', 'ssn', 'card')})")
+# what can begin at a letter is tried at the beginnings of words only, the rest at digits, brackets and signs; a text's own cards come last
+_ANY = (rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}_%+-])(?:{_any('email', 'credential', 'key', 'ip', 'iban', 'person')})"
+        rf"|(?=[\d(+])(?:{_any('email', 'key', 'ip', 'phone', 'ssn')}")
+#: Numbers joined by single spaces or hyphens, and whether a text can have a card at all.
+_RUN = r"(?<![\p{L}\p{N}.])\d++(?![\p{L}\p{N}])(?:[ -]\d++(?![\p{L}\p{N}]))*+"
+_MAY_HAVE_CARD = r"\d(?:[ -]?\d){12}"
+#: Digits of the groups in which cards are written.
+CARD_GROUPS = [("13,19",), ("4", "4", "4", "4", "1,3"), ("6", "13"), ("4", "4", "4", "4"), ("8", "8"), ("4", "6", "5"), ("4", "5", "6"),
+               ("4", "4", "4", "1,3"), ("4", "6", "4"), ("4", "4", "5")]
 _CREDENTIAL_HEAD = r"^(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth) {0,3}[=:] {0,3}[\"']?"
 _PERSON_HEAD = rf"^(?:{_TITLE})\.? "
 DEFAULT_KEY = "change-this-key"
 TYPES = ("email", "phone", "ip", "card", "iban", "ssn", "credential", "key", "person")
 
 
+def _pattern(text: Column) -> Column:
+    """The pattern of the mentions in ``text``.
+
+    Its cards stand in it as they are written, the longest first: a pattern cannot tell
+    a check digit, and a number beside a card must neither hide it nor go with it.
+    """
+    # by looking ahead, numbers that overlap are all found
+    shapes = [r"(?<!\d)(?=(" + "[ -]".join(rf"\d{{{n}}}" for n in groups) + r")(?!\d))" for groups in CARD_GROUPS]
+    found = F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), lambda run: F.concat(
+        *[F.regexp_extract_all(run, F.lit(shape), F.lit(1)) for shape in shapes]))
+    cards = F.filter(F.array_distinct(F.flatten(found)), lambda c: F.pmod(_luhn_sum(F.regexp_replace(c, "[ -]", "")), F.lit(10)) == 0)
+    longest = F.transform(F.sort_array(F.transform(cards, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))), asc=False), lambda x: x["c"])
+    either = F.concat(F.lit(r"|(?<![\p{L}\p{N}.])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.concat(F.lit(_ANY), F.when(text.rlike(_MAY_HAVE_CARD), F.when(F.size(longest) > 0, either).otherwise("")).otherwise(""), F.lit(")"))
+
+
 def _type(raw: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS:
@@ -243,8 +266,9 @@ def replace_entities(docs: DataFrame, *, key: str = DEFAULT_KEY, text: str = "te
     empty table gives an empty table.
     """
     here = F.col(text).cast("string")
+    pattern = _pattern(here)
     mentions = (docs.select(F.col(doc_id).cast("string").alias("row"), F.xxhash64(here).alias("hash"),
-                            F.regexp_extract_all(here, F.lit(ANY), F.lit(0)).alias("raw")).filter(F.size("raw") > 0))
+                            F.regexp_extract_all(here, pattern, F.lit(0)).alias("raw")).filter(F.size("raw") > 0))
     # rows with the same id and text have the same mentions
     mentions = mentions.groupBy("row", "hash", "raw").agg(F.count("*").alias("copies")).select(
         "row", "hash", F.posexplode("raw").alias("place", "raw"))
@@ -262,7 +286,7 @@ def replace_entities(docs: DataFrame, *, key: str = DEFAULT_KEY, text: str = "te
             .select(F.col("row").alias("__row"), F.col("hash").alias("__hash"), F.col("news.new").alias("__new"), F.col("names").alias("__names")))
     joined = docs.join(rows, F.col(doc_id).cast("string").eqNullSafe(F.col("__row")) & (F.xxhash64(here) == F.col("__hash")), "left")
     # the text between mentions, each followed by its surrogate; names are replaced there too
-    between = F.transform(F.split(here, ANY, -1), lambda part: F.aggregate("__names", part, lambda t, n: F.regexp_replace(
+    between = F.transform(F.split(here, pattern, -1), lambda part: F.aggregate("__names", part, lambda t, n: F.regexp_replace(
         t, F.concat(F.lit(r"(?<!\p{L})\Q"), n["old"], F.lit(r"\E(?!\p{L})")), n["new"])))
     whole = F.array_join(F.zip_with(between, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     columns = [F.when(F.col("__new").isNull(), F.col(c)).otherwise(whole).alias(c) if c == text else docs[c] for c in docs.columns]
