@@ -104,3 +104,39 @@ def test_only_numbers_with_a_check_digit_are_cards(spark):
     assert [got[t]["text"] for t in beside[:5]] == [f"12 {spaced} 2024", f"1234 {spaced}", f"9807915762804490 {one}", f"{spaced} 12a", f"2021-{spaced}"]
     assert got[beside[5]]["text"].startswith(f"{one} and {spaced.replace(' ', '-')}, 123 ") and got[beside[5]]["n_entities"] == 4
     assert "415" not in got[beside[5]]["text"] and "10.1.2.3" not in got[beside[5]]["text"]
+
+
+def test_secrets_of_any_length_go_whole(spark):
+    texts = []
+    for n in (64, 65, 128, 256, 257, 400, 2000, 50_000):
+        texts += [("token=", ("aB3." * n)[:n]), ("", ("9f0b" * n)[:n]), ("", ("0123456789" * n)[:n - 1] + "c"), ("", "sk-" + ("Zx9_" * n)[:n - 3])]
+    docs = spark.createDataFrame([(i, f"see {head}{secret} end") for i, (head, secret) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in surrogate_report(docs).collect()}
+    for i, (head, secret) in enumerate(texts):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and new.startswith(f"see {head}") and new.endswith(" end"), (i, len(secret))
+        new = new[4 + len(head):-4]
+        assert len(new) == len(secret) and not any(secret[at:at + 20] == new[at:at + 20] for at in range(0, len(secret) - 20, 20)), (i, len(secret))
+
+
+def test_redrawn_text_is_as_before(spark):
+    (r,) = surrogate_table(spark.createDataFrame([("key", "sk-é😀9")], "kind string, norm string")).collect()
+    assert re.fullmatch("[a-z]{2}-[a-z]😀[0-9]", r["made"])
+
+
+def test_compressed_ipv6(spark):
+    addresses = ["2001:db8::1", "2001:DB8::", "fe80::a:b", "::ffff:c000:201", "2001:db8:1:2:3:4:5::", "2001:0db8:85a3::8a2e:0370:7334", "dead:beef::cafe",
+                 "2001:db8:0:0:0:0:0:1"]
+    other = ["a::b", "dead::beef", "std::vector", "x[::2]", "x[1::2]", "12:30:45", "Face::add", "::", "1:2", "2001::1::2"]
+    texts = [f"at [{t}]/64, {t}. {t}" for t in addresses] + other
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r["doc_id"]]: r for r in surrogate_report(docs).collect()}
+    for a, t in zip(addresses, texts, strict=False):
+        one = re.fullmatch(r"at \[(\S+)\]/64, (\S+)\. (\S+)", got[t]["text"])
+        assert got[t]["n_entities"] == 3 and one[1] == one[2] == one[3] != a, a
+        assert re.sub("[0-9a-fA-F]", "0", one[1]) == re.sub("[0-9a-fA-F]", "0", a)
+    for t in other:
+        assert got[t]["text"] == t, t
+    mapped = spark.createDataFrame([(1, "::ffff:192.0.2.1")], "doc_id long, text string")
+    (r,) = surrogate_report(mapped).collect()
+    assert re.fullmatch(r"::ffff:\d+\.\d+\.\d+\.\d+", r["text"]) and "192.0.2.1" not in r["text"]

@@ -44,13 +44,20 @@ ENDINGS = {"latin": "ck der dt lan ler man mer nd ner rd sen son ston tz well ye
 
 _TITLE = "|".join(re_part for group in TITLES.values() for re_part in sorted(group, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_HEX = "[0-9A-Fa-f]"
+#: At most seven groups on both sides of the two colons.
+_COMPRESSED = "|".join([f"(?:{_HEX}{{1,4}}:){{1,7}}:", *(f"(?:{_HEX}{{1,4}}:){{1,{7 - n}}}(?::{_HEX}{{1,4}}){{1,{n}}}" for n in range(1, 7)),
+                        f":(?::{_HEX}{{1,4}}){{1,7}}"])
 #: (type, pattern), in the order in which they are tried at a place.
 PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"),
-    ("credential", r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ ]{0,3}[=:][ ]{0,3}[\"']?)[^\s\"']{8,256}"),
-    ("key", r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,64}|(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64})(?![\p{L}\p{N}])"),
+    ("credential", r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[ ]{0,3}[=:][ ]{0,3}[\"']?)[^\s\"']{8,}+"),
+    ("key", r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}|(?=[0-9]*+[a-f])[0-9a-f]{32,}+)(?![\p{L}\p{N}])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"),
     ("ip", r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
+    # compressed: some group has four digits (so no slice such as [::2]), and a decimal digit or a third group tells it from a::b in code
+    ("ip", rf"(?<![\p{{L}}\p{{N}}:])(?=[0-9A-Fa-f:]*?(?<![0-9A-Fa-f]){_HEX}{{4}}(?!{_HEX}))(?=[A-Fa-f:]*+\d|[A-Fa-f:]*?[A-Fa-f]:[A-Fa-f])"
+           rf"(?:{_COMPRESSED})(?![\p{{L}}\p{{N}}:]|\.\d)"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -66,7 +73,7 @@ def _any(*kinds: str) -> str:
 
 # what can begin at a letter is tried at the beginnings of words only, the rest at digits, brackets and signs; a text's own cards come last
 _ANY = (rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}_%+-])(?:{_any('email', 'credential', 'key', 'ip', 'iban', 'person')})"
-        rf"|(?=[\d(+])(?:{_any('email', 'key', 'ip', 'phone', 'ssn')}")
+        rf"|(?=[\d(+]|::)(?:{_any('email', 'key', 'ip', 'phone', 'ssn')}")
 #: Numbers joined by single spaces or hyphens, and whether a text can have a card at all.
 _RUN = r"(?<![\p{L}\p{N}.])\d++(?![\p{L}\p{N}])(?:[ -]\d++(?![\p{L}\p{N}]))*+"
 _MAY_HAVE_CARD = r"\d(?:[ -]?\d){12}"
@@ -139,14 +146,18 @@ def _letters(alphabet: str, at: Column) -> Column:
 def _redraw(text: Column, seed: Column, hexadecimal: Column) -> Column:
     """Every letter and digit drawn anew, kind by kind; hexadecimal text stays hexadecimal."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        return (F.when(hexadecimal & c.rlike("[0-9a-f]"), _letters("0123456789abcdef", _pick(seed, i, 16)))
-                .when(c.rlike("[0-9]"), _letters("0123456789", _pick(seed, i, 10)))
+    def plain(c: Column, i: Column) -> Column:
+        i = i + 1
+        return (F.when(c.rlike("[0-9]"), _letters("0123456789", _pick(seed, i, 10)))
                 .when(c.rlike(r"\p{Lu}"), _letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _pick(seed, i, 26)))
                 .when(c.rlike(r"\p{L}"), _letters("abcdefghijklmnopqrstuvwxyz", _pick(seed, i, 26))).otherwise(c))
 
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise("")
+    def digit(c: Column, i: Column) -> Column:
+        return F.when(c.rlike("[0-9a-f]"), _letters("0123456789abcdef", _pick(seed, i + 1, 16))).otherwise(plain(c, i))
+
+    # what holds for the whole text is asked outside of the functions, which run for each character
+    chars = F.split(text, "")
+    return F.when(F.length(text) > 0, F.array_join(F.when(hexadecimal, F.transform(chars, digit)).otherwise(F.transform(chars, plain)), "")).otherwise("")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -169,7 +180,7 @@ def with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     # an e-mail's domain depends on the domain alone, so that addresses of one host stay together
     domain = F.substring_index(norm, "@", -1)
     secret = kind.isin("credential", "key")
-    hexadecimal = (secret & norm.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")) | ((kind == "ip") & norm.contains(":"))
+    hexadecimal = (secret & norm.rlike("^[0-9]*+[a-f][0-9a-f]*+$")) | ((kind == "ip") & norm.contains(":"))
     steps = (entities.withColumn("seed", F.sha2(F.concat_ws("|", F.lit(key), kind, norm, counter.cast("string")), 256))
              .withColumn("place", F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256))
              .withColumn("source", F.when(kind == "email", F.substring_index(norm, "@", 1)).otherwise(norm))
