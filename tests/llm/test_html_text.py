@@ -63,3 +63,30 @@ def test_odd_rows_and_clashing_columns(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text long, n_chars string")).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, TEXT, len(TEXT)), (1, "", 0), *[(1, TEXT, len(TEXT))] * 2]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BODY = ARTICLE.replace("article>", "div>")
+SIDEBAR = "<div class=sidebar><p>Some words about the author that go on for quite a while, as they do.</p></div>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='page has-sidebar'>{}</div>", "<div class=no-sidebar>{}</div>", "<section class=share-enabled>{}</section>", "<div id='content-with-comments'>{}</div>",
+    "<div class=has-header>{}</div>", "<div class='page has-sidebar'><div id=with-comments>{}</div></div>", "<main><div class=has-sidebar>{}</div></main>",
+    "<main class=has-comments>{}</main>"])
+@pytest.mark.parametrize("inner", [ARTICLE, BODY, ARTICLE.replace("article", "main")])
+@pytest.mark.parametrize("beside", ["", SIDEBAR])
+def test_a_wrapper_named_like_boilerplate_keeps_the_text(wrapper, inner, beside):
+    if inner is BODY and beside:
+        inner = BODY.replace("prose.", "prose. " + "And a second sentence with as many words again. " * 3)
+    want = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    for page in (wrapper.format(inner + beside), wrapper.format(inner) + beside):
+        assert page_text(f"<html><body><nav><a href=/>Home</a></nav>{page}</body></html>")[0] == want
+
+
+@pytest.mark.parametrize("around", [
+    "{}<div class=related><article><p>Another story with some words to read on.</p></article></div>",
+    "<main>{}<div id=comments><p>" + "A long comment with many words in it. " * 20 + "</p></div></main>",
+    "{}<div id=comments>" + "<article><p>A comment with words in it.</p></article>" * 9 + "</div>",
+    "<div class=has-sidebar>{}<div class=related><article><p>Another story to read.</p></article></div></div>"])
+def test_boilerplate_beside_an_article_still_goes(around):
+    assert page_text(f"<html><body>{around.format(ARTICLE)}</body></html>")[0] == TEXT

@@ -7,7 +7,8 @@ smoothed with a Gaussian over neighbouring lines, and the standard deviation of
 smoothed ratios parts content lines from the rest. The content lines select a
 region: the article or main element (or, where a page has none, the innermost
 container) that holds them; all lines of the region that are not boilerplate by
-their element are the text, so short paragraphs between long ones stay.
+their element are the text, so short paragraphs between long ones stay. A class or id
+makes an element boilerplate only if it does not hold the page's text.
 """
 
 from __future__ import annotations
@@ -51,21 +52,24 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class PageLines(HTMLParser):
-    """Lines of a page: text, tags, characters of link text, enclosing containers, and whether boilerplate."""
+    """Lines of a page: text, tags, characters of link text, whether boilerplate, and the enclosing region, container, named element and article."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        #: open elements: (tag, boilerplate, region, container)
-        self.open: list[tuple[str, bool, int, int]] = []
+        #: open elements: (tag, boilerplate, region, container, innermost element with a boilerplate name, innermost article)
+        self.open: list[tuple[str, bool, int, int, int, int]] = []
         self.parent: list[int] = [-1]  # of containers
-        self.lines: list[tuple[str, int, int, bool, int, int]] = []
-        self.regions = 0
+        self.lines: list[tuple[str, int, int, bool, int, int, int, int]] = []
+        #: of each region, the named element around it; of each named element, the next one, the articles and the region around it
+        self.regions: list[int] = [0]
+        self.named: list[tuple[int, frozenset[int], int]] = [(0, frozenset(), 0)]
+        self.articles = 0
         self.links = 0
         self.pieces: list[str] = []
         self.tags = self.link_chars = 0
 
-    def state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, 0)
+    def state(self) -> tuple[bool, int, int, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0, 0, 0)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -75,17 +79,22 @@ class PageLines(HTMLParser):
         self.pieces, self.link_chars = [], 0
 
     def boilerplate(self, tag: str, attrs: dict[str, str], region: int) -> bool:
+        """By tag, role or style, which is final."""
         if tag in _DROPPED or attrs.get("role", "").lower() in _DROPPED_ROLES or "hidden" in attrs:
             return True
         if attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
             return True
-        if tag in ("html", "body") or tag in _INLINE:
+        return tag == "header" and not region
+
+    def boilerplate_name(self, tag: str, attrs: dict[str, str], region: int) -> bool:
+        """By a word of class or id, which holds unless the element has the page's text (``lifted``)."""
+        if tag in ("html", "body", "header") or tag in _INLINE:
             return False
         names = set(_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
         if tag in ("article", "main"):
             return bool(names & _DROPPED_ARTICLES)
-        if tag == "header" or "header" in names:
-            return not region or tag not in ("header", "div", *_HEADINGS)
+        if "header" in names:
+            return not region or tag not in ("div", *_HEADINGS)
         return bool(names & _DROPPED_NAMES)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -101,17 +110,23 @@ class PageLines(HTMLParser):
                     break
                 if self.open[i][0] in _CONTAINERS or self.open[i][0] in ("ul", "ol", "dl"):
                     break
-        dropped, region, container = self.state()
+        dropped, region, container, named, article = self.state()
         values = {k: v or "" for k, v in attrs}
         dropped = dropped or self.boilerplate(tag, values, region)
-        if not region and not dropped and (tag in ("article", "main") or values.get("role") in ("main", "article")):
-            self.regions += 1
-            region = self.regions
+        if not dropped and self.boilerplate_name(tag, values, region):
+            self.named.append((named, frozenset(e[5] for e in self.open if e[5]), region))
+            named = len(self.named) - 1
+        elif not dropped and (tag in ("article", "main") or values.get("role") in ("main", "article")):
+            self.articles += 1
+            article = self.articles
+            if not region:
+                self.regions.append(named)
+                region = len(self.regions) - 1
         if tag in _CONTAINERS:
             self.parent.append(container)
             container = len(self.parent) - 1
         self.links += tag == "a"
-        self.open.append((tag, dropped, region, container))
+        self.open.append((tag, dropped, region, container, named, article))
 
     def close_from(self, i: int) -> None:
         self.links -= sum(e[0] == "a" for e in self.open[i:])
@@ -147,12 +162,51 @@ def content_lines(lines: list[tuple]) -> np.ndarray:
     return s >= min(s.std(), s.max())
 
 
-def select(lines: list[tuple], parent: list[int]) -> tuple[list[str], int]:
+def lifted(page: PageLines, content: np.ndarray) -> set[int]:
+    """Elements with a boilerplate name that are none, as they hold the page's text.
+
+    Those are the ones around the article with the most content text, if that is most of
+    the page's or no other article stands outside of such elements, and each that holds
+    most content text of the region around it, or else the page, while no article beside
+    it has any.
+    """
+    def around(n: int) -> Iterator[int]:
+        while n:
+            yield n
+            n = page.named[n][0]
+
+    seeds = [(len(line[0]), *line[4:]) for line, c in zip(page.lines, content, strict=True) if c and not line[3] and line[2] <= 0.5 * len(line[0])]
+    whole = sum(size for size, *_ in seeds)
+    of_region: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for size, region, _, named, _ in seeds:
+        of_region[region] = of_region.get(region, 0) + size
+        for n in around(named):
+            held[n] = held.get(n, 0) + size
+    of_region.pop(0, None)
+    out: set[int] = set()
+    if of_region:
+        best = max(of_region, key=of_region.__getitem__)
+        if 2 * of_region[best] > whole or all(page.regions[r] for r in of_region):
+            out.update(around(page.regions[best]))
+    for n, size in held.items():
+        region = page.named[n][2]
+        if 2 * size > of_region.get(region, whole) and not any(article and article not in page.named[n][1] and n not in around(named) for _, at, _, named, article in seeds if not region or at == region):
+            out.add(n)
+    return out
+
+
+def select(page: PageLines) -> tuple[list[str], int]:
     """(blocks of the main text in page order, content lines of the page)."""
+    lines, parent = page.lines, page.parent
     if not lines:
         return [], 0
     content = content_lines(lines)
-    usable = [not line[3] for line in lines]
+    kept = lifted(page, content) if len(page.named) > 1 else set()
+    drops = [False]  # of named elements, with those around them
+    for n, (outer, *_) in enumerate(page.named[1:], 1):
+        drops.append(drops[outer] or n not in kept)
+    usable = [not line[3] and not drops[line[6]] for line in lines]
     size = [len(line[0]) for line in lines]
     inside = [i for i in range(len(lines)) if usable[i] and lines[i][4]]
     if inside:
@@ -190,7 +244,7 @@ def page_text(html: str | None) -> tuple[str, int, int]:
     page.feed(html or "")
     page.close()
     page.end_line()
-    blocks, content = select(page.lines, page.parent)
+    blocks, content = select(page)
     return " ".join(blocks), len(page.lines), content
 
 
