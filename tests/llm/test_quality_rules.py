@@ -52,3 +52,17 @@ def test_bands_widen(size):
 
 def test_empty_table(no_docs):
     assert compression_rules(no_docs).count() == 0
+
+
+def test_short_texts_and_the_rest_of_a_text_are_judged():
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(r.choice(vocabulary) for _ in range(6000)).encode()
+    noise = base64.b85encode(bytes(r.randrange(256) for _ in range(14000)))
+    same = b"the same words again and again " * 300
+    for bad in (noise, same):
+        for text in (prose[:4000] + bad[:3900], bad[:3900] + prose[:4000], prose[:4096] + bad[:4090], prose[:5000] + bad[:3900], prose[:1500] + bad[:1500]):
+            assert judge(text, SQUEEZE)[3] != "ok", len(text)
+        assert judge(prose[:8192] + bad[:4095], SQUEEZE)[1:3] == (3, 1)
+    for size in (100, 511, 512, 1000, 4096, 8191, 8192, 8193, 12_287, 12_289, 20_000):
+        assert judge(prose[:size], SQUEEZE)[2:] == (0, "ok"), size

@@ -31,7 +31,7 @@ BANDS = (
     (65536, 1.40, 7.5),
 )
 CHUNK_BYTES = 4096
-#: A document goes if more than this share of its whole chunks is outside the band.
+#: A document goes if chunks with more than this share of their bytes are outside their bands.
 BAD_CHUNK_SHARE = 0.34
 LEVEL = 3
 
@@ -47,23 +47,30 @@ def band(size: int, bands: tuple = BANDS) -> tuple[float, float]:
 
 def judge(raw: bytes, squeeze: zstandard.ZstdCompressor, bands: tuple = BANDS, chunk: int = CHUNK_BYTES,
           bad_share: float = BAD_CHUNK_SHARE) -> tuple[float, int, int, str]:
-    """(ratio, whole chunks, chunks outside their band, verdict) of one text."""
+    """(ratio, chunks, chunks outside their band, verdict) of one text.
+
+    What is left after the whole chunks is a chunk of its own size, if there is a band
+    for it. A text of less than two chunks is judged in halves.
+    """
     if not raw:
         return 0.0, 0, 0, "empty"
     ratio = len(raw) / len(squeeze.compress(raw))
     low, high = band(len(raw), bands)
-    n = len(raw) // chunk
-    bad = 0
-    if n > 1:
-        chunk_low, chunk_high = band(chunk, bands)
-        for i in range(n):
-            r = chunk / len(squeeze.compress(raw[i * chunk:(i + 1) * chunk]))
-            bad += not chunk_low <= r <= chunk_high
+    if len(raw) < 2 * chunk:
+        chunk = (len(raw) + 1) // 2
+    n = bad = judged = bad_bytes = 0
+    for at in range(0, len(raw), chunk):
+        part = raw[at:at + chunk]
+        if len(part) < bands[0][0]:
+            continue
+        part_low, part_high = band(len(part), bands)
+        outside = not part_low <= len(part) / len(squeeze.compress(part)) <= part_high
+        n, bad, judged, bad_bytes = n + 1, bad + outside, judged + len(part), bad_bytes + outside * len(part)
     if ratio > high:
         return ratio, n, bad, "repetitive"
     if ratio < low:
         return ratio, n, bad, "incompressible"
-    return ratio, n, bad, "bad_chunks" if bad > bad_share * n else "ok"
+    return ratio, n, bad, "bad_chunks" if bad_bytes > bad_share * judged else "ok"
 
 
 def line_repeats(part: Slice, hasher: Hasher) -> np.ndarray:
