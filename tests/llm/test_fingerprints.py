@@ -83,3 +83,13 @@ def test_parts_merge_to_the_whole(spark):
         for s in sketches(pa.array(texts[i::3]), hasher):
             whole = merge(whole, s)
         assert got[i] == whole.tolist()
+
+
+def test_merging_gathers_no_whole_sketches(spark):
+    rows = [("one", [5, -7, i]) for i in range(300)] + [("one", [5, -7])] * 300 + [("none", None), ("empty", []), (None, [3, 1]), (None, None)]
+    merged = merge_sketches(spark.createDataFrame(rows, "id string, sketch array<long>").repartition(5), "id", k=128)
+    got = {r["id"]: r["sketch"] for r in merged.collect()}
+    assert got == {"one": [-7, *range(127)], "none": [], "empty": [], None: [1, 3]}
+    # arrays are made of values that a rank has cut to k a group, not of the sketches of a group
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and plan.index("collect_list") < plan.index("row_number")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.llm.tables import text_rows
@@ -101,14 +101,16 @@ def document_sketches(docs: DataFrame, *, k: int = K, shingle_words: int = SHING
 def merge_sketches(parts: DataFrame, key: str, *, k: int = K, salts: int = 64) -> DataFrame:
     """One (key, sketch) from the sketches of its parts; null sketches count as empty.
 
-    Works in two steps, over salted groups and then over keys, and each step keeps
-    k values a group, so a key with very many parts is spread out.
+    Works on the distinct values of each key, so copies end where they are read, in
+    two steps: over groups salted by the value (at least ``salts``, and as many as there
+    are shuffle partitions) and then over keys. Each step keeps k values a group, and no
+    more are ever gathered in an array.
     """
-    smallest = lambda c: F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), 1, k)
-    salted = parts.select(F.col(key).alias("k"), F.coalesce("sketch", F.array().cast("array<long>")).alias("s"))
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(salts)))
-    return (salted.groupBy("k", "salt").agg(smallest("s").alias("s"))
-            .groupBy("k").agg(smallest("s").alias("sketch")).select(F.col("k").alias(key), "sketch"))
+    salts = max(salts, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = parts.select(F.col(key).alias("k"), F.explode_outer("sketch").alias("s")).distinct().withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(salts)))
+    for group in (["k", "salt"], ["k"]):
+        values = values.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("s").asc_nulls_last()))).filter(F.col("n") <= k)
+    return values.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("sketch")).select(F.col("k").alias(key), "sketch")
 
 
 def _ranges(rows: DataFrame, n: int) -> list[int]:
