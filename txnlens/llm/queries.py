@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.llm.bpe import encoding_report
+from txnlens.llm.filter_audit import filter_audit
 from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.html_text import extract_pages
 from txnlens.llm.ngram_join import ngram_jaccard_groups
@@ -65,6 +66,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate_report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_to_tag_ratio": op1_text_to_tag_ratio,
     "op2_classifier_chain": op2_classifier_chain,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bottom_k": op8_bottom_k,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_surrogates": op10_surrogates,
+    "op11_filter_folds": op11_filter_folds,
 }
 
 _WORDS = r"""
@@ -102,4 +108,25 @@ k AS (SELECT doc_id, ws[i] AS x, i FROM (SELECT doc_id, ws, unnest(range(1, len(
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(c.n, 0) AS n_removed, sha256(COALESCE(j.kept, '')) AS kept_sha256
 FROM w LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY doc_id) c ON w.doc_id = c.doc_id
 LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id) j ON w.doc_id = j.doc_id""",
+    "op11_filter_folds": r"""WITH t AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM t),
+l AS (SELECT doc_id, bool_or(COALESCE(quality = 1, false)) AS good, bool_or(COALESCE(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, COALESCE(good, false) AS good, COALESCE(toxic, false) AS toxic,
+      map {'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws),
+           'C': 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x), 'D': regexp_matches(x, '[#$%&*|]'),
+           'E': COALESCE(w.doc_id > MIN(w.doc_id) OVER (PARTITION BY x), false)} AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+c AS (SELECT part, fails, good, toxic, COUNT(*) AS n FROM d GROUP BY ALL),
+s AS (SELECT part, filter_order, step, good, toxic, n, fails[filter_order[step]] AS now,
+      len(list_filter(range(1, step), lambda i: fails[filter_order[i]])) > 0 AS gone,
+      len(list_filter(range(1, 6), lambda i: fails[filter_order[i]])) = 1 AS one
+      FROM c, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, COALESCE(SUM(n) FILTER (NOT now AND NOT gone), 0)::BIGINT AS kept,
+      COALESCE(SUM(n) FILTER (now AND NOT gone), 0)::BIGINT AS removed, COALESCE(SUM(n) FILTER (now AND gone), 0)::BIGINT AS redundant,
+      COALESCE(SUM(n) FILTER (now AND one), 0)::BIGINT AS unique_fails, COALESCE(SUM(n) FILTER (now AND NOT gone AND good), 0)::BIGINT AS good_lost,
+      COALESCE(SUM(n) FILTER (now AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT *, SUM(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM r""",
 }
