@@ -11,6 +11,7 @@ from txnlens.llm.bpe import encoding_report
 from txnlens.llm.filter_audit import filter_audit
 from txnlens.llm.fingerprints import fingerprint_edits
 from txnlens.llm.html_text import extract_pages
+from txnlens.llm.language_model import score_language
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.packing import added_tokens, pack_documents
 from txnlens.llm.pii import surrogate_report
@@ -70,6 +71,10 @@ def op11_filter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_text_to_tag_ratio": op1_text_to_tag_ratio,
     "op2_classifier_chain": op2_classifier_chain,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_surrogates": op10_surrogates,
     "op11_filter_folds": op11_filter_folds,
+    "op13_log_bilinear": op13_log_bilinear,
 }
 
 _WORDS = r"""
