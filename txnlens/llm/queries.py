@@ -15,6 +15,7 @@ from txnlens.llm.language_model import score_language
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.packing import added_tokens, pack_documents
 from txnlens.llm.pii import surrogate_report
+from txnlens.llm.prefix_trie import conversation_trie
 from txnlens.llm.quality_model import fit_quality, score_quality
 from txnlens.llm.quality_rules import compression_rules
 from txnlens.llm.substring_dedup import substring_report
@@ -71,6 +72,10 @@ def op11_filter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vertical_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_surrogates": op10_surrogates,
     "op11_filter_folds": op11_filter_folds,
+    "op12_vertical_bitmaps": op12_vertical_bitmaps,
     "op13_log_bilinear": op13_log_bilinear,
 }
 
@@ -135,4 +141,25 @@ r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, COALESCE(SUM(n)
       COALESCE(SUM(n) FILTER (now AND one), 0)::BIGINT AS unique_fails, COALESCE(SUM(n) FILTER (now AND NOT gone AND good), 0)::BIGINT AS good_lost,
       COALESCE(SUM(n) FILTER (now AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
 SELECT *, SUM(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM r""",
+    # crc32 by its table; a node is known by the hash of its turns' hashes
+    "op12_vertical_bitmaps": r"""WITH z AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+        CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS x,
+      ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda a: ascii(a)::BIGINT), lambda s, a:
+        xor(s // 256, (SELECT t FROM z)[xor(s, a) % 256 + 1]), 4294967295), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+p AS (SELECT c.conv_id, 0 AS own, t.i, role, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= h
+      UNION ALL SELECT c.conv_id, 1, t.i, role, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > h),
+d AS (SELECT conv_id, ROW_NUMBER() OVER w AS depth, md5(string_agg(md5(len(role) || ':' || role || x), '') OVER w) AS k,
+      len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+r AS (SELECT conv_id, 0 AS depth, '' AS k, 0 AS words FROM c UNION ALL SELECT * FROM d),
+m AS (SELECT *, LAG(k) OVER w AS up, LEAD(k) OVER w IS NULL AS last FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT k, MIN(conv_id) AS conv_id, MIN(depth) AS depth, MIN(up) AS up, COUNT(*) AS n_convs, (COUNT(*) - 1) * MIN(words) AS saved,
+      sha256(COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM m GROUP BY k),
+b AS (SELECT up, COUNT(*) AS n FROM n WHERE depth > 0 GROUP BY up),
+s AS (SELECT a.k, SUM(n.saved) AS saved, COUNT(*) FILTER (n.k NOT IN (SELECT up FROM b)) AS leaves
+      FROM n JOIN m a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, COALESCE(b.n, 0) AS n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.k = n.k LEFT JOIN n u ON n.up = u.k LEFT JOIN b ON b.up = n.k""",
 }
