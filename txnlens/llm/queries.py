@@ -143,11 +143,11 @@ r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, COALESCE(SUM(n)
 SELECT *, SUM(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM r""",
     # crc32 by its table; a node is known by the hash of its turns' hashes
     "op12_vertical_bitmaps": r"""WITH z AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
-        CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+        CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crcs),
 t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS x,
       ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda a: ascii(a)::BIGINT), lambda s, a:
-        xor(s // 256, (SELECT t FROM z)[xor(s, a) % 256 + 1]), 4294967295), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        xor(s // 256, crcs[xor(s, a) % 256 + 1]), 4294967295), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), z),
 p AS (SELECT c.conv_id, 0 AS own, t.i, role, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= h
       UNION ALL SELECT c.conv_id, 1, t.i, role, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > h),
 d AS (SELECT conv_id, ROW_NUMBER() OVER w AS depth, md5(string_agg(md5(len(role) || ':' || role || x), '') OVER w) AS k,
