@@ -56,12 +56,38 @@ def test_channel_report_shuffles_only_partial_sums(spark):
     assert "hashpartitioning" not in below and "rangepartitioning" not in below
 
 
-@pytest.mark.parametrize("key", ["geography", "error_rate_by_type"])
-def test_events_are_read_once(spark, key):
-    df = QUERIES[key](spark, SF_SMALL)
+def scans(df, table):
+    """Scans of a table in the plan that ran, subqueries included; what is reused counts once."""
     df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet [event_id") == 1
+    found, todo, seen = set(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo and seen < 5000:
+        node, seen = todo.pop(), seen + 1
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind in ("ReusedExchangeExec", "ReusedSubqueryExec"):
+            todo.append(node.child())
+        elif kind == "FileSourceScanExec" and f"{table}.parquet" in node.toString():
+            found.add(node.id())
+        for of in (node.children(), node.subqueries()):
+            todo += [of.apply(i) for i in range(of.size())]
+    return len(found)
+
+
+ONE_SCAN = ["geography", "error_rate_by_type", "refund_customers", "customer_risk", "risk_band_counts", "customer_tiers", "tier_summary", "txn_by_channel"]
+TWO_SCANS = ["amount_quantiles", "iqr_bounds"]
+
+
+@pytest.mark.parametrize("key", [*ONE_SCAN, *TWO_SCANS, "amount_low_outliers", "amount_high_outliers"])
+def test_scans_of_events(spark, key):
+    assert scans(QUERIES[key](spark, SF_SMALL), "events") == (1 if key in ONE_SCAN else 2 if key in TWO_SCANS else 3)
+
+
+@pytest.mark.parametrize("key", ["describe_users", "describe_credit_score", "income_quantiles"])
+def test_scans_of_customers(spark, key):
+    assert scans(QUERIES[key](spark, SF_SMALL), "customer") == 2
 
 
 def test_user_scan_pruned(spark):
@@ -102,12 +128,13 @@ def test_amount_is_parsed_once_per_row(spark):
     from txnlens.schemas import NUM_PATTERN
     # every report: at most one parse site, except where a scalar subquery
     # re-plans the same aggregate (its shuffle is reused at run time), and the
-    # quantiles, which read the column in two passes, and outliers in a third
+    # quantiles, which read the column in two passes, and outliers in a third; the passes
+    # of the tiers share the exchange of the customers' totals (test_scans_of_events)
     over = {k for k, q in QUERIES.items() if plan(q(spark, SF_SMALL)).count(NUM_PATTERN) > 1}
-    assert over <= {"refund_customers", "amount_quantiles", "iqr_bounds", "amount_low_outliers", "amount_high_outliers"}, over
+    assert over <= {"refund_customers", "customer_tiers", "tier_summary", "amount_quantiles", "iqr_bounds", "amount_low_outliers", "amount_high_outliers"}, over
 
 
-@pytest.mark.parametrize("key", ["amount_quantiles", "iqr_bounds", "describe_users", "income_high_outliers"])
+@pytest.mark.parametrize("key", ["amount_quantiles", "iqr_bounds", "describe_users", "income_high_outliers", "customer_tiers", "tier_summary"])
 def test_quantiles_run_no_job_while_the_plan_is_built(spark, key):
     group = f"build-{key}"
     spark.sparkContext.setJobGroup(group, key)

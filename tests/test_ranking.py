@@ -52,3 +52,29 @@ def test_ntile_property(spark, totals, tiles, parts):
     want = {r.client_id: r.t for r in df.select(
         "client_id", F.ntile(tiles).over(Window.orderBy(*order)).alias("t")).collect()}
     assert got == want
+
+
+from txnlens.operators.ranking import tiles_by_rank  # noqa: E402
+
+
+def _tiles(spark, rows, tiles):
+    df = spark.createDataFrame(rows, "client_id long, total double").repartition(3)
+    order = [F.desc("total"), F.asc("client_id")]
+    want = {r.client_id: r.t for r in df.select("client_id", F.ntile(tiles).over(Window.orderBy(*order)).alias("t")).collect()}
+    return {r.client_id: r.t for r in tiles_by_rank(df, "total", "client_id", tiles, "t").collect()}, want
+
+
+@pytest.mark.parametrize("n,tiles", [(0, 5), (1, 5), (4, 5), (5, 5), (103, 5), (1000, 7), (50, 1)])
+def test_tiles_by_rank_match_the_window(spark, n, tiles):
+    rnd = random.Random(n)
+    got, want = _tiles(spark, [(i * 37 - 400, float(rnd.randint(-9, 9)) / 4) for i in range(n)], tiles)
+    assert got == want
+
+
+def test_tiles_of_one_value_and_of_odd_values(spark):
+    one = [(i * 10**9, 0.0) for i in range(500)]
+    assert (lambda p: p[0] == p[1])(_tiles(spark, one, 5))
+    odd = [(0, float("nan")), (1, float("inf")), (2, -float("inf")), (3, 1e308), (4, -0.0), (5, 0.0), (6, 1e-300), (7, -1e-300), (2**62, 1.0), (-2**62, 1.0)]
+    got, want = _tiles(spark, [r for r in odd if r[0]], 4)
+    assert got == want
+    assert _tiles(spark, odd[:1] + odd[2:], 3)[0][0] == 1  # NaN counts as the largest

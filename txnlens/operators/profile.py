@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlens.functions.numeric import float_mean
 from txnlens.operators.quantiles import quantile_columns, quantile_table
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -74,27 +73,13 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """pandas ``describe()`` per numeric column, one row per column.
 
     count, mean, std (sample), min, 25%, 50%, 75% (linear interpolation), max;
-    NaN is skipped like a missing value. The moments come from one aggregation
-    over all columns; the quartiles from one distributed exact quantile job
-    over all columns (``quantile_table``); the two are joined on the column
-    name (one row per column on each side).
+    NaN is skipped like a missing value. All from the two passes of the exact
+    quantiles over all columns (``quantile_table``).
     """
     columns = columns or numeric_columns(df)
-    stats = {}
-    for c in columns:
-        v = F.col(c).cast("double")
-        v = F.when(~F.isnan(v), v)
-        stats[c] = F.struct(
-            F.count(v).alias("count"),
-            float_mean(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-        )
-    one = df.agg(*[s.alias(c) for c, s in stats.items()])
-    moments = one.unpivot([], columns, "column", "s").select("column", "s.*")
-    q = quantile_table(df, columns, [0.25, 0.5, 0.75]).select(
-        "column", *quantile_columns([0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
-    # both sides hold one row per described column
-    return moments.join(F.broadcast(q), "column", "left").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    stats = quantile_table(df, columns, [0.25, 0.5, 0.75], moments=True)
+    # a column without values has a row too
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(F.broadcast(stats), "column", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("count"), "mean", "std", "min",
+        *quantile_columns([0.25, 0.5, 0.75], ["p25", "p50", "p75"]), "max")

@@ -1,18 +1,19 @@
 """Exact quantiles, IQR fences and outlier selection.
 
-Exact quantiles (``method="exact"``, the default) narrow down where the wanted ranks
-lie and never order all values. One pass brackets each quantile between two
-approximate ones (``percentile_approx``, whose rank error is bounded). A second pass
-counts the rows between brackets and, inside them, the rows of each distinct value
-(map-side partial aggregation, so a value held by a third of the rows becomes one
-row per task). Cells of equal width divide the values of a bracket; running sums
-over the cells (a bounded number) say which cells hold the wanted ranks, and only
-the distinct values of those cells are ordered. Everything is one lazy plan: no
-checkpoint, and no job before the caller runs it. Interpolation is numpy's linear
-method (what pandas ``quantile`` uses), bit for bit; Spark's ``percentile``
-interpolates with a different formula that can differ in the last bit, and merges
-all distinct values in one task. ``method="approx"`` uses ``percentile_approx``
-alone (bounded memory, rank error about n/accuracy).
+Exact quantiles (``method="exact"``, the default) look up values by rank and never
+order all values (``values_at_ranks``). One pass counts the rows of each bucket, a
+range of values of about equal ratio, with its least and greatest value; the counts say
+which buckets hold the wanted ranks, so a rank cannot fall beside them. A second pass
+counts the rows of each distinct value in those buckets only (map-side partial
+aggregation, so a value held by a third of the rows becomes one row per task). Cells
+of equal width divide a bucket; running sums over the cells (a bounded number) say
+which cells hold the ranks, and only the distinct values of those are ordered. Both
+uses of the counts share one exchange, so the column is read twice. Everything is one
+lazy plan: no checkpoint, and no job before the caller runs it. Interpolation is
+numpy's linear method (what pandas ``quantile`` uses), bit for bit; Spark's
+``percentile`` interpolates with a different formula that can differ in the last bit,
+and merges all distinct values in one task. ``method="approx"`` uses
+``percentile_approx`` alone (bounded memory, rank error about n/accuracy).
 
 Fences are computed once per query as a scalar subquery and inlined into the
 filter on the big table, so the table is streamed through a plain ``Filter``
@@ -22,14 +23,19 @@ being tested.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.schemas import IQR_FACTOR
 
-#: Accuracy of the bracketing pass, and cells per bracket.
-ACCURACY = 10_000
+#: Buckets a factor of e, and the magnitude below which values share the buckets around 0.
+STEPS, SMALL = 256, 1e-4
+#: Cells per bucket.
 CELLS = 4096
+#: Buckets of infinities (and of what overflows), and of missing values.
+_LAST, _NONE = 1 << 40, -(1 << 62)
 
 
 def _prob_name(i: int) -> str:
@@ -42,108 +48,128 @@ def _number(c) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def _brackets(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """(column, lows, highs): for each column, values a little below and above each quantile."""
-    margin = 2 / ACCURACY
-    around = [min(1.0, max(0.0, p + side)) for side in (-margin, margin) for p in sorted(probs)]
-    one = df.agg(*[F.percentile_approx(_number(c), F.array(*map(F.lit, around)), ACCURACY).alias(c) for c in columns])
-    k = len(probs)
-    return one.unpivot([], columns, "column", "q").select(
-        "column", F.slice("q", 1, k).alias("lows"), F.slice("q", k + 1, k).alias("highs"))
+def bucket_sql(x: str = "x") -> str:
+    """SQL of a bucket number that never falls when the value grows.
+
+    Not null, also where the value is: an equality on it then adds no filter on the
+    value, which would be pushed below the projection that computes it and evaluate
+    that (possibly costly) expression once more.
+    """
+    size = f"least(floor(ln(1 + abs(cast({x} as double)) / {SMALL}D) * {STEPS}), {_LAST})"
+    return f"coalesce(case when {x} < 0 then -{size} - 1 else {size} end, {_NONE})"
+
+
+def cell_sql(x: str, least: str, most: str) -> str:
+    """SQL of the cell of ``x`` among CELLS equal parts of [least, most]."""
+    width = f"(cast({most} as double) - cast({least} as double))"
+    return (f"case when {width} > 0 and {width} < cast('inf' as double) then "
+            f"least({CELLS - 1}, cast(floor((cast({x} as double) - cast({least} as double)) / {width} * {CELLS}) as int)) else 0 end")
 
 
-def _counts(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """(column, part, cell, v, n, least, most): rows by distinct value inside the brackets, and by part between them.
+def _histogram(values: DataFrame, *extra: str) -> DataFrame:
+    """(column, buckets): a row a column with the bucket, n, least, most (and extra aggregates) of its buckets.
 
-    ``part``, and in it ``cell``, grow with the value; ``v`` is null between brackets. Null values are
-    counted as n = 0 and dropped only after the aggregation: a filter before it would
-    be pushed below the projection that computes the value and evaluate that
-    (possibly costly) expression once more per condition.
+    As one array a column (its length is bounded by the buckets), so that several
+    readers prune nothing from the aggregate and share its exchange.
     """
-    brackets = _brackets(df, columns, probs)
-    if len(columns) == 1:
-        values = df.select(F.lit(columns[0]).alias("column"), _number(columns[0]).alias("x"))
-    else:
-        values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _number(c).alias("x")) for c in columns])))
+    aggs = [F.expr(e) for e in ("count(x) as n", "min(x) as least", "max(x) as most", *extra)]
+    per = values.groupBy("column", F.expr(bucket_sql()).alias("bucket")).agg(*aggs).filter("n > 0")
+    return per.groupBy("column").agg(F.expr(f"collect_list(struct({', '.join(per.columns[1:])})) as buckets"))
+
+
+def values_at_ranks(values: DataFrame, ranks: Callable[[DataFrame], DataFrame], count: int, *, by_column: bool = True,
+                    histogram: DataFrame | None = None) -> DataFrame:
+    """One row per column with a value: ``column``, ``total`` and, for each of ``count`` ranks, ``_v0, …`` and ``_below0, …``.
+
+    ``values`` has ``column`` (not null) and ``x``, whose nulls are skipped. ``ranks``
+    adds an array ``ranks`` of 0-based positions in ascending order of ``x`` to a
+    DataFrame with ``column`` and ``total``, its number of values. ``_v`` is the value
+    there, null without one; ``_below`` the number of smaller values. With
+    ``by_column=False`` there is one column and one row, also without a value.
+    """
+    histogram = _histogram(values) if histogram is None else histogram
+    per = histogram.select("column", F.inline("buckets")).selectExpr(
+        "column", "bucket", "n", "least", "most", "sum(n) over (partition by column) as total",
+        "sum(n) over (partition by column order by bucket) - n as off")
+    holds = "exists(ranks, r -> r >= off and r < off + n)"
+    # at most a row for each rank and column
+    wanted = ranks(per).filter(holds).select("column", "bucket", "least", "most", "total", "off")
+    cells = ["column", "bucket", "cell"]
+    counts = (values.selectExpr("column", "x", f"{bucket_sql()} as bucket").join(F.broadcast(wanted), ["column", "bucket"])
+              .groupBy("column", "bucket", F.expr(cell_sql("x", "least", "most")).alias("cell"), "total", "off", "x").agg(F.expr("count(1) as n")))
+    # at most CELLS rows a bucket
+    sizes = counts.groupBy(*cells, "total", "off").agg(F.expr("sum(n) as n")).selectExpr(
+        *cells, "total", "n", "off + sum(n) over (partition by column, bucket order by cell) - n as off")
+    few = ranks(sizes).filter(holds).selectExpr(*cells, "off as cell_off", "ranks")
+    ordered = counts.join(F.broadcast(few), cells).selectExpr(
+        "column", "x", "n", "total", "ranks", "cell_off + sum(n) over (partition by column, bucket, cell order by x "
+        "rows between unbounded preceding and current row) as upto")
+    aggs = ["max(total) as total"]
+    for i in range(count):
+        hit = f"case when ranks[{i}] >= upto - n and ranks[{i}] < upto then"
+        aggs += [f"max({hit} x end) as _v{i}", f"max({hit} upto - n end) as _below{i}"]
+    return (ordered.groupBy("column") if by_column else ordered).agg(*map(F.expr, aggs))
+
+
+def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x): the numbers of each column, one row a value."""
     if len(columns) == 1:
-        bounds = [brackets.select(c).scalar().alias(c) for c in ("lows", "highs")]
-        values = values.select("*", *bounds)
-    else:
-        values = values.join(F.broadcast(brackets), "column")  # one row for each column
-    x = F.col("x")
-    above = sum((F.when(x >= F.get("lows", i), 1).otherwise(0) for i in range(len(probs))), F.lit(0))
-    beyond = sum((F.when(x > F.get("highs", i), 1).otherwise(0) for i in range(len(probs))), F.lit(0))
-    # inside a bracket more lower than upper bounds have been passed
-    placed = values.select("column", "x", "lows", "highs", above.alias("above"), beyond.alias("beyond"))
-    inside = F.col("above") > F.col("beyond")
-    low, width = F.get("lows", F.col("beyond")), F.get("highs", F.col("beyond")) - F.get("lows", F.col("beyond"))
-    cell = F.when(inside & (width > 0) & (width < F.lit(float("inf"))),
-                  F.least(F.lit(CELLS - 1), F.floor((x - low) / width * CELLS).cast("int"))).otherwise(0)
-    keyed = placed.select("column", "x", (F.col("above") + F.col("beyond")).alias("part"), cell.alias("cell"), F.when(inside, x).alias("v"))
-    return (keyed.groupBy("column", "part", "cell", "v").agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
-            .filter("n > 0"))
-
-
-def quantile_table(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+        return df.select(F.lit(columns[0]).alias("column"), _number(columns[0]).alias("x"))
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _number(c).alias("x")) for c in columns])))
+
+
+def _ranks(total: str, probs: list[float]) -> str:
+    """SQL of the array of both ranks around each quantile."""
+    return "array(" + ", ".join(r for p in probs for r in _positions(total, p)[:2]) + ")"
+
+
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float], *, moments: bool = False, by_column: bool = True) -> DataFrame:
     """One row per column that has a value: ``column``, ``n`` and ``_q0, _q1, …`` (one per prob).
 
     Nulls and NaN are skipped. Exact: the values at ranks floor((n - 1) p) and
-    the next one, interpolated as numpy does.
+    the next one, interpolated as numpy does. ``moments`` adds ``mean``, ``std``
+    (sample), ``min`` and ``max`` from the same two passes. With ``by_column=False``
+    there is one column and always one row, without a name.
     """
-    counts = _counts(df, columns, probs)
-    # at most CELLS rows a bracket
-    sizes = counts.groupBy("column", "part", "cell").agg(F.sum("n").alias("size"))
-    order = Window.partitionBy("column").orderBy("part", "cell")
-    sizes = sizes.withColumn("_off", F.sum("size").over(order) - F.col("size")).withColumn(
-        "_total", F.sum("size").over(Window.partitionBy("column")))
-    holds = None
-    for p in probs:
-        for rank in _positions(F.col("_total"), p)[:2]:
-            inside = (F.col("_off") <= rank) & (rank < F.col("_off") + F.col("size"))
-            holds = inside if holds is None else holds | inside
-    wanted = sizes.filter(holds).select("column", "part", "cell", "_off", "_total")
-    upto = Window.partitionBy("column", "part", "cell").orderBy("least").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.join(F.broadcast(wanted), ["column", "part", "cell"]).withColumn("_cum", F.col("_off") + F.sum("n").over(upto))
-
-    aggs = [F.max("_total").alias("n")]
-    for i, p in enumerate(probs):
-        prev, nxt, _ = _positions(F.col("_total"), p)
-        for side, rank in (("lo", prev), ("hi", nxt)):
-            first = F.col("_cum") - F.col("n")
-            hit = (first <= rank) & (rank < F.col("_cum"))
-            # between brackets only the first and the last value are known, and only they can be wanted
-            value = (F.when((F.col("least") == F.col("most")) | (rank == first), F.col("least")).when(rank == F.col("_cum") - 1, F.col("most"))
-                     .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
-            aggs.append(F.max(F.when(hit, value)).alias(f"_{side}{i}"))
-    picked = cum.groupBy("column").agg(*aggs)
-
-    out = [F.col("column"), F.col("n")]
-    for i, p in enumerate(probs):
-        _, _, gamma = _positions(F.col("n"), p)
-        out.append(_lerp(F.col(f"_lo{i}"), F.col(f"_hi{i}"), gamma).alias(_prob_name(i)))
-    return picked.select(*out)
-
-
-def _positions(n: Column, p: float):
-    """0-based ranks around (n - 1) * p and the fraction between them (numpy 'linear')."""
-    pos = (n - 1) * F.lit(float(p))
-    prev = F.floor(pos)
-    nxt = F.least(prev + 1, n - 1)
-    return prev, nxt, pos - prev
-
-
-def _lerp(a: Column, b: Column, t: Column) -> Column:
-    """numpy's interpolation: a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5."""
-    diff = b - a
-    return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
+    values = column_values(df, columns)
+    finite = "case when abs(x) < cast('inf' as double) then x end"
+    histogram = _histogram(values, f"count({finite}) as finite", f"avg({finite}) as avg", f"var_pop({finite}) as var") if moments else None
+    picked = values_at_ranks(values, lambda d: d.withColumn("ranks", F.expr(_ranks("total", probs))), 2 * len(probs),
+                             by_column=by_column, histogram=histogram)
+    quantiles = picked.selectExpr(*["column"] * by_column, "total as n", *[
+        f"{_lerp(f'_v{2 * i}', f'_v{2 * i + 1}', _positions('total', p)[2])} as {_prob_name(i)}" for i, p in enumerate(probs)])
+    # a row a column on both sides
+    return quantiles.join(F.broadcast(_moments(histogram)), "column") if moments else quantiles
+
+
+def _moments(histogram: DataFrame) -> DataFrame:
+    """(column, mean, std, min, max) from the buckets' moments; infinities propagate as floats do."""
+    per = histogram.select("column", F.inline("buckets")).selectExpr(
+        "*", "sum(avg * finite) over (partition by column) / nullif(sum(finite) over (partition by column), 0) as centre")
+    one = per.groupBy("column").agg(*map(F.expr, (
+        "max(centre) as centre", "sum(n) as n", "sum(var * finite + (avg - centre) * (avg - centre) * finite) as squares", "min(least) as min", "max(most) as max")))
+    inf, nan = "cast('inf' as double)", "cast('nan' as double)"
+    return one.selectExpr(
+        "column", f"case when min = -{inf} and max = {inf} then {nan} when min = -{inf} then min when max = {inf} then max else centre end as mean",
+        f"case when n > 1 then case when min = -{inf} or max = {inf} then {nan} else sqrt(squares / (n - 1)) end end as std", "min", "max")
+
+
+def _positions(n: str, p: float) -> tuple[str, str, str]:
+    """SQL of the 0-based ranks around (n - 1) * p and the fraction between them (numpy 'linear')."""
+    pos = f"(({n} - 1) * {float(p)!r}D)"
+    prev = f"floor({pos})"
+    return prev, f"least({prev} + 1, {n} - 1)", f"({pos} - {prev})"
+
+
+def _lerp(a: str, b: str, t: str) -> str:
+    """SQL of numpy's interpolation: a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5."""
+    return f"case when {t} >= 0.5D then {b} - ({b} - {a}) * (1.0D - {t}) else {a} + ({b} - {a}) * {t} end"
 
 
 def _quartile_row(df: DataFrame, column: str, method: str, accuracy: int) -> DataFrame:
     """One row with q1, q3 (null when the column has no value)."""
     if method == "exact":
-        q = quantile_table(df, [column], [0.25, 0.75])
-        # at most one row; the global aggregate yields exactly one (nulls when empty)
-        return q.agg(F.max("_q0").alias("q1"), F.max("_q1").alias("q3"))
+        return quantile_table(df, [column], [0.25, 0.75], by_column=False).select(F.col("_q0").alias("q1"), F.col("_q1").alias("q3"))
     if method != "approx":
         raise ValueError(f"unknown method {method!r}")
     q = F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), accuracy)

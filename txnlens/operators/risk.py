@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.numeric import flag, merge_money, money_avg, money_state, money_sum, money_value, rate
 from txnlens.operators.binning import band_label
-from txnlens.operators.ranking import ntile
+from txnlens.operators.ranking import tiles_by_rank
 from txnlens.schemas import CREDIT_EDGES, CREDIT_LABELS, DARK_WEB_YES, FRAUD_YES, NO_ERRORS, TIER_NAMES
 
+#: Stands for a user without an id in a null-safe join: no client has it.
+_NO_USER = -(1 << 63)
+
 CHANNELS = ("Chip Transaction", "Online Transaction", "Swipe Transaction")
 
 
@@ -42,11 +45,20 @@ def overall_rate(per_key: DataFrame, num: str = "errors", den: str = "transactio
     """Scalar subquery: sum(num) / sum(den) over a per-key aggregate.
 
     The subquery has the aggregate's own plan, so its shuffle is reused as long as
-    nothing filters or prunes the aggregate before it.
+    no filter is pushed below the aggregate beside it; see ``_of_known``.
     """
     return per_key.agg(rate(F.sum(num), F.sum(den))).scalar()
 
 
+def _of_known(per_key: DataFrame, key: str, column: str):
+    """``column`` where the key is not null, as a condition that can't be pushed below the aggregate.
+
+    A plain ``key is not null`` would be, and the aggregate would then differ from the
+    one of ``overall_rate`` and be computed from a second scan.
+    """
+    return F.get(F.array(F.col(column)), F.when(F.col(key).isNull(), 1).otherwise(0))
+
+
 # D-1 ------------------------------------------------------------------------
 def overview(txn: DataFrame, approx: bool = False) -> DataFrame:
     """Size, date range and distinct customers, cards and merchants."""
@@ -174,11 +186,10 @@ def channel_mix_wide(txn: DataFrame, channels=CHANNELS, names=None) -> DataFrame
 
 
 # D-6 ------------------------------------------------------------------------
-def customer_tiers(txn: DataFrame, tiers=TIER_NAMES, partitions: int | None = None) -> DataFrame:
+def customer_tiers(txn: DataFrame, tiers=TIER_NAMES) -> DataFrame:
     """Customers by total spend in equal-count tiers (``ntile``), best tier first."""
     spend = txn.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(money_sum("amount").alias("total_spent"))
-    ranked = ntile(spend, [F.desc("total_spent"), F.asc("client_id")], len(tiers), "tier_rank",
-                   partitions)
+    ranked = tiles_by_rank(spend, "total_spent", "client_id", len(tiers), "tier_rank")
     names = F.array(*[F.lit(t) for t in tiers])
     return ranked.withColumn("tier", F.element_at(names, F.col("tier_rank"))).select(
         "client_id", "total_spent", "tier_rank", "tier")
@@ -253,7 +264,7 @@ def refund_customers(txn: DataFrame, min_refunds: int = 5, factor: float = 2.0)
         F.count(F.lit(1)).alias("transactions"), F.sum("is_refund").alias("refunds"))
     overall = overall_rate(per_client, "refunds")
     return (_with_rate(per_client, "refunds", "transactions", "refund_rate")
-            .filter(F.col("client_id").isNotNull() & (F.col("refunds") >= min_refunds) & (F.col("refund_rate") > F.lit(factor) * overall))
+            .filter((_of_known(per_client, "client_id", "refunds") >= min_refunds) & (F.col("refund_rate") > F.lit(factor) * overall))
             .orderBy(F.desc("refund_rate"), "client_id"))
 
 
@@ -308,7 +319,9 @@ def customer_risk(users: DataFrame, txn: DataFrame, cards: DataFrame,
         F.max(flag(F.col("card_on_dark_web") == DARK_WEB_YES)).alias("compromised"))
     overall = overall_rate(per_client)
     base = users.select(F.col("id").alias("client_id"), "credit_score")
-    j = base.join(per_client, "client_id", "left").join(compromised, "client_id", "left")
+    # null-safe, so that no filter on the key is pushed below the aggregate; no user has the null key's row
+    known = per_client.select(F.col("client_id").alias("_client"), "transactions", "errors")
+    j = base.join(known, F.coalesce("client_id", F.lit(_NO_USER)).eqNullSafe(F.col("_client")), "left").join(compromised, "client_id", "left")
     band = (F.when(F.col("credit_score").isNull(), "Unknown").when(F.col("credit_score") <= CREDIT_EDGES[1], CREDIT_LABELS[0])
             .otherwise(F.coalesce(band_label("credit_score"), F.lit("Unknown"))))
     err = rate("errors", "transactions")

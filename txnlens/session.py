@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -13,8 +12,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one already
     set on the context). Only a local-mode session without one (tests, a
-    laptop) gets a fresh temporary folder; a cluster session without one is an
-    error, because executors cannot share a machine-local folder.
+    laptop) gets a folder below its own ``spark.local.dir``; a cluster session without
+    one is an error, because executors cannot share a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -24,7 +23,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="txnlens-checkpoint-")
+        configured = f"{sc.getConf().get('spark.local.dir', '/tmp')}/txnlens-checkpoint-{sc.applicationId}"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
