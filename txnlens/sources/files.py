@@ -9,13 +9,13 @@ second (``typed_columns``, ``label_pairs``) is a projection over text that also
 on text from elsewhere: pandas' missing-value markers become null and each column
 is cast **by name** to the fixed schema. Columns keep the file's order; missing
 required columns raise; extra columns are kept as text. A line with too many or too
-few fields, or a quoted line break, is counted by ``parse_failures`` and raises
-under ``strict``.
+few fields is counted by ``parse_failures`` and raises under ``strict``; so is a quoted
+line break, unless ``quoted_breaks=True`` has such records put together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,9 +40,59 @@ _BAD_LINE = "__bad_line"
 LINE = "(line)"
 
 
-def _text_columns(spark: SparkSession, path, by_header: bool = False, checked: bool = False, **options) -> DataFrame:
+def _records(spark: SparkSession, path) -> DataFrame:
+    """(file, first, value): the records of CSV files whose quoted fields may hold line breaks, one row each.
+
+    The files are read split by split as lines. A line has an odd number of quotes
+    where a quoted field is left open or closed, so the parity of the quotes before it
+    says whether it begins a record: summed within a split, and over the splits before
+    it (one row a split). The lines are shuffled once, by split, for the running sum;
+    then records of one line go straight on, and only the lines of longer ones are
+    brought together and joined. ``first`` marks a file's first record. A quote that
+    is never closed makes the rest of its file one record, as in other readers.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), "value", (F.regexp_count("value", F.lit('"')) % 2).alias("odd"))
+    splits = lines.groupBy("file", "split").agg(F.sum("odd").alias("odds"))
+    order = Window.partitionBy("file").orderBy("split")
+    splits = splits.select("file", "split", F.coalesce(F.sum("odds").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    in_split = Window.partitionBy("file", "split").orderBy("place")
+    open_ = (F.col("before") + F.sum("odd").over(in_split) - F.col("odd")) % 2 == 1
+    placed = lines.join(splits, ["file", "split"]).withColumn("open", open_)
+    # (split, number in it) of the record's first line, if it is in this split
+    at = placed.withColumn("begun", F.sum(F.when(F.col("open"), 0).otherwise(1)).over(in_split)).withColumn(
+        "whole", ~F.col("open") & (F.col("odd") == 0))
+    single = at.filter("whole").select("file", ((F.col("split") == 0) & (F.col("begun") == 1)).alias("first"), "value")
+    # the lines of longer records; those before a split's first record belong to the last one of the splits before
+    long = at.filter("not whole")
+    last = long.groupBy("file", "split").agg(F.max(F.when(~F.col("open"), F.col("begun"))).alias("opened")).withColumn(
+        "from", F.last(F.when(F.col("opened").isNotNull(), F.struct("split", F.col("opened").alias("begun"))), True).over(
+            order.rowsBetween(Window.unboundedPreceding, -1))).select("file", "split", "from")
+    owned = long.join(last, ["file", "split"]).withColumn(
+        "record", F.when(F.col("begun") > 0, F.struct("split", "begun")).otherwise(F.col("from")))
+    joined = owned.groupBy("file", "record").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("split", "place", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return single.unionByName(joined.select("file", ((F.col("record.split") == 0) & (F.col("record.begun") == 1)).alias("first"), "value"))
+
+
+def _joined_text(spark: SparkSession, path, names: list[str], **options) -> DataFrame:
+    """The columns of ``_records`` as text, and ``_BAD_LINE``; a file with another header raises."""
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD_LINE, **options}
+    value = F.regexp_replace("value", "\r$", "")
+    row = _records(spark, path).withColumn("value", value).filter(F.length("value") > 0).withColumn(
+        "row", F.from_csv("value", ", ".join(f"`{n}` string" for n in (*names, _BAD_LINE)), options))
+    same = F.array(*[F.col("row").getField(n) for n in names]) == F.array(*map(F.lit, names))
+    checked = F.when(~F.col("first"), True).when(same, False).otherwise(
+        F.raise_error(F.concat(F.lit("another header in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))))
+    return row.filter(checked).select("row.*")
+
+
+def _text_columns(spark: SparkSession, path, by_header: bool = False, checked: bool = False, quoted_breaks: bool = False, **options) -> DataFrame:
     """The CSV files' columns as text, and ``_BAD_LINE``.
 
+    ``quoted_breaks`` reads files whose quoted fields hold line breaks (see ``_records``).
+
     ``checked`` parses whole lines even where few columns are used, without which
     the parser does not notice a malformed line.
     """
@@ -56,6 +106,10 @@ def _text_columns(spark: SparkSession, path, by_header: bool = False, checked: b
         return (reader().schema(schema).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnPruning", not checked)
                 .option("columnNameOfCorruptRecord", _BAD_LINE).csv(files))
 
+    if quoted_breaks:
+        if by_header:
+            raise ValueError("quoted_breaks needs one header in all files")
+        return _joined_text(spark, path, reader().csv(path).columns, **options)
     if not by_header:
         return one(path)
     groups: dict[tuple, list[str]] = {}
@@ -97,13 +151,13 @@ def typed_columns(raw: DataFrame, schema: T.StructType, date_format: str | None
 
 def read_typed_csv(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
                    strict: bool = False, rename: dict[str, str] | None = None, by_header: bool = False,
-                   **options) -> DataFrame:
+                   quoted_breaks: bool = False, **options) -> DataFrame:
     """CSV with a header, cast by column name to ``schema`` (see ``typed_columns``).
 
     ``rename`` maps the file's column names to the schema's (e.g.
     ``{"on_dark_web": "card_on_dark_web"}``) for sources whose headers differ.
     """
-    return typed_columns(_text_columns(spark, path, by_header, strict, **options), schema, date_format, strict, rename)
+    return typed_columns(_text_columns(spark, path, by_header, strict, quoted_breaks, **options), schema, date_format, strict, rename)
 
 
 def text_failures(raw: DataFrame, schema: T.StructType, date_format: str | None = None) -> DataFrame:
@@ -124,13 +178,13 @@ def text_failures(raw: DataFrame, schema: T.StructType, date_format: str | None
 
 
 def parse_failures(spark: SparkSession, path, schema: T.StructType, date_format: str | None = None,
-                   by_header: bool = False, **options) -> DataFrame:
+                   by_header: bool = False, quoted_breaks: bool = False, **options) -> DataFrame:
     """``text_failures`` of CSV files.
 
     The non-strict readers turn such values into null; this counts them (one
     aggregation over the files), so bad dates, ids and lines are reported, not lost.
     """
-    return text_failures(_text_columns(spark, path, by_header, True, **options), schema, date_format)
+    return text_failures(_text_columns(spark, path, by_header, True, quoted_breaks, **options), schema, date_format)
 
 
 def read_transactions(spark: SparkSession, path, date_format: str | None = None,
