@@ -5,6 +5,8 @@ import os
 import subprocess
 import sys
 
+import pytest
+
 from txnlens.plans.catalog import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -19,3 +21,16 @@ def test_bench_prints_one_json_line():
     assert {"metric", "value", "unit", "queries", "sf"} <= d.keys()
     assert d["unit"] == "sec" and d["sf"] == 0.001 and d["failed"] == {}
     assert set(d["queries"]) == set(QUERIES) and abs(sum(d["queries"].values()) - d["value"]) < 0.01
+
+
+@pytest.mark.parametrize("missing", ["zstandard", "txnlens.llm", "public_tokenizers"])
+def test_entry_without_what_the_operators_need(missing):
+    """The reports are there without the operators' package or libraries."""
+    code = f"""
+import sys
+sys.modules[{missing!r}] = None
+import __spark_entry__ as e
+assert not [k for k in e.queries() if k.startswith("op") or k == "pipeline"], e.queries().keys()
+assert "txn_by_channel" in e.queries() and set(e.oracle_sql()) == set(e.queries())
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=False).returncode == 0
