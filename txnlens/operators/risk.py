@@ -87,7 +87,11 @@ def revenue_growth(txn: DataFrame, approx: bool = False) -> DataFrame:
         money_avg("amount").alias("avg_amount"),
         distinct("client_id").alias("customers"),
     )
-    # one row per calendar year
+    return with_growth(per_year)
+
+
+def with_growth(per_year: DataFrame) -> DataFrame:
+    """Adds ``growth_pct`` of the revenue against the year before; one row per calendar year."""
     prev = F.lag("revenue").over(Window.orderBy("year"))
     return per_year.withColumn(
         "growth_pct", F.try_divide(F.lit(100) * (F.col("revenue") - prev), prev)).orderBy("year")
@@ -216,7 +220,11 @@ def geography(txn: DataFrame, approx: bool = False) -> DataFrame:
         money_sum("amount").alias("revenue"),
         distinct("merchant_id").alias("merchants"),
     )
-    # windows over one row per state
+    return with_volume_rank(per_state)
+
+
+def with_volume_rank(per_state: DataFrame) -> DataFrame:
+    """Adds transactions per merchant, share and rank by volume; windows over one row per state."""
     n_txn = F.sum("transactions").over(Window.partitionBy())
     by_volume = Window.orderBy(F.desc("transactions"))
     return (per_state

@@ -11,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txnlens.functions.numeric import round_half_even, round_significant
 from txnlens.operators import aggregates as agg
 from txnlens.operators import binning, correlation, profile, quantiles, risk
+from txnlens.operators import states as st
 from txnlens.operators.features import CARD_FEATURES, TXN_FEATURES, USER_FEATURES
 from txnlens.plans.tables import Tables
-from txnlens.schemas import TXN
+from txnlens.schemas import CARDS, MCC, TXN, USERS
 from txnlens.sources.files import label_pairs, text_failures, typed_columns
 
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -139,10 +141,28 @@ def _bind(report: Report) -> Query:
 PARSING: dict[str, Report] = {
     "parse_transactions": lambda t: typed_columns(t.transactions_text, TXN, DATE_FORMAT),
     "parse_failures": lambda t: text_failures(t.transactions_text, TXN, DATE_FORMAT),
+    "parse_users": lambda t: typed_columns(t.text("users"), USERS),
+    "parse_cards": lambda t: typed_columns(t.text("cards"), CARDS, "MM/yyyy"),
+    "parse_mcc": lambda t: typed_columns(t.text("mcc"), MCC),
     "parse_labels": lambda t: label_pairs(t.label_text),
 }
 
-QUERIES: dict[str, Query] = {name: _bind(report) for name, report in {**REPORTS, **PARSING}.items()}
+
+
+def _merged(t: Tables) -> st.States:
+    """The states of three batches of the transactions, put together."""
+    batches = [st.states(t.transactions.filter(F.col("id") % 3 == i)) for i in range(3)]
+    return batches[0].union(batches[1]).union(batches[2])
+
+
+# reports from merged states of batches: the same rows as from all transactions
+MERGED: dict[str, Report] = {
+    "overview_merged": lambda t: _merged(t).overview(),
+    "revenue_growth_merged": lambda t: _merged(t).revenue_growth(),
+    "geography_merged": lambda t: _merged(t).geography(),
+}
+
+QUERIES: dict[str, Query] = {name: _bind(report) for name, report in {**REPORTS, **PARSING, **MERGED}.items()}
 
 
 # Shortcuts used by tests and scripts.

@@ -291,6 +291,17 @@ FROM txn_raw""")
 SELECT c."column", CASE c."column" WHEN 'date' THEN f.dates WHEN 'client_id' THEN f.clients ELSE 0 END AS failures
 FROM (SELECT COUNT(*) FILTER (WHERE id % 29 = 0) AS dates, COUNT(*) FILTER (WHERE id % 37 = 0) AS clients FROM txn_raw) f,
      (VALUES ('id'), ('date'), ('client_id'), ('card_id'), ('merchant_id'), ('zip'), ('mcc'), ('(line)')) c("column")""")
+    q["parse_users"] = with_views(["users_raw"], """
+SELECT id, CASE WHEN id % 41 <> 0 AND id % 43 <> 0 THEN current_age END AS current_age, retirement_age, gender, per_capita_income, yearly_income,
+       total_debt, CASE WHEN id % 47 <> 0 AND id % 53 <> 0 THEN credit_score END AS credit_score
+FROM users_raw""")
+    q["parse_cards"] = with_views(["cards"], """
+SELECT id, client_id, CAST(date_trunc('month', acct_open_date) AS TIMESTAMP) AS acct_open_date,
+       CASE WHEN id % 23 <> 0 THEN CAST(date_trunc('month', expires) AS TIMESTAMP) END AS expires,
+       has_chip, card_type, CASE WHEN id % 29 <> 0 THEN card_on_dark_web END AS card_on_dark_web
+FROM cards""")
+    q["parse_mcc"] = with_views(["mcc_codes"], """
+SELECT CASE WHEN code % 19 <> 0 THEN code END AS code, CASE WHEN code % 17 <> 0 THEN description END AS description FROM mcc_codes""")
     q["parse_labels"] = with_views(["fraud_labels"], "SELECT id, Target FROM fraud_labels")
 
     q["table_shape"] = with_views(["txn_raw", "users_raw"], f"""
@@ -397,6 +408,7 @@ FROM (SELECT *, LAG(revenue) OVER (ORDER BY year) AS prev FROM (
              COUNT(DISTINCT client_id) AS customers
       FROM t WHERE year IS NOT NULL GROUP BY year))
 ORDER BY year""")
+    q["overview_merged"], q["revenue_growth_merged"] = q["overview"], q["revenue_growth"]
     q["error_rate_by_type"] = with_views(["t"], """
 SELECT errors, COUNT(*) AS "count",
        COUNT(*) / (SELECT COUNT(*) FROM t WHERE errors <> 'No Errors') AS share_of_errors,
@@ -441,6 +453,7 @@ FROM (SELECT merchant_state, COUNT(*) AS transactions, {msum('amount')} AS reven
              COUNT(DISTINCT merchant_id) AS merchants
       FROM t WHERE merchant_state IS NOT NULL GROUP BY merchant_state)
 ORDER BY "rank", merchant_state""")
+    q["geography_merged"] = q["geography"]
     q["merchant_categories"] = with_views(["t", "mcc_codes"], f"""
 SELECT p.mcc, COALESCE(m.description, 'Unknown') AS description, p.transactions, p.errors,
        CAST(p.errors AS DOUBLE) / p.transactions AS error_rate

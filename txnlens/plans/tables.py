@@ -29,13 +29,14 @@ class Tables:
                  mcc: Callable[[], DataFrame] | None = None,
                  currency_symbol: str | None = None,
                  transactions_text: Callable[[], DataFrame] | None = None,
-                 label_text: Callable[[], DataFrame] | None = None):
-        self._loaders = {"transactions_text": transactions_text, "label_text": label_text, "raw_transactions": raw_transactions, "raw_users": raw_users,
+                 label_text: Callable[[], DataFrame] | None = None,
+                 texts: dict[str, Callable[[], DataFrame]] | None = None):
+        self._loaders = {**(texts or {}), "transactions_text": transactions_text, "label_text": label_text, "raw_transactions": raw_transactions, "raw_users": raw_users,
                          "raw_cards": raw_cards, "labels": labels, "mcc": mcc}
         self._currency_symbol = currency_symbol
 
     def _load(self, name: str) -> DataFrame:
-        loader = self._loaders[name]
+        loader = self._loaders.get(name)
         if loader is None:
             raise ValueError(f"no {name.replace('raw_', '')} table was given")
         return loader()
@@ -81,6 +82,10 @@ class Tables:
         """The labels as pieces of their JSON object."""
         return self._load("label_text")
 
+    def text(self, name: str) -> DataFrame:
+        """Users, cards or codes (``mcc``) as text columns, as a CSV gives them."""
+        return self._load(f"{name}_text")
+
     @cached_property
     def labels(self) -> DataFrame:
         return self._load("labels")
@@ -102,7 +107,9 @@ class Tables:
                    lambda: adapters.cards(spark, sf_dir), lambda: adapters.fraud_labels(spark, sf_dir),
                    lambda: adapters.mcc_codes(spark, sf_dir),
                    transactions_text=lambda: adapters.transactions_text(spark, sf_dir),
-                   label_text=lambda: adapters.label_text(spark, sf_dir))
+                   label_text=lambda: adapters.label_text(spark, sf_dir),
+                   texts={"users_text": lambda: adapters.users_text(spark, sf_dir), "cards_text": lambda: adapters.cards_text(spark, sf_dir),
+                          "mcc_text": lambda: adapters.mcc_text(spark, sf_dir)})
 
     @classmethod
     def from_files(cls, spark: SparkSession, transactions, users=None, cards=None, labels=None, mcc=None,

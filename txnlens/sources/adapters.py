@@ -178,6 +178,36 @@ def transactions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*[v.alias(c) for c, v in text.items()])
 
 
+def users_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users as a CSV's text columns, with missing markers, bad ages and bad scores by key."""
+    c = F.col("id")
+    u = users_raw(spark, sf_dir)
+    text = {n: F.col(n).cast("string") for n in u.columns}
+    text["current_age"] = F.when(c % 41 == 0, "unknown").when(c % 43 == 0, "NaN").otherwise(text["current_age"])
+    text["credit_score"] = F.when(c % 47 == 0, "n/a").when(c % 53 == 0, "7e2x").otherwise(text["credit_score"])
+    return u.select(*[v.alias(n) for n, v in text.items()])
+
+
+def cards_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards as a CSV's text columns, with dates as month and year, bad dates and missing flags by key."""
+    c = F.col("id")
+    k = cards(spark, sf_dir)
+    text = {n: F.col(n).cast("string") for n in k.columns}
+    for n in ("acct_open_date", "expires"):
+        text[n] = F.date_format(F.col(n).cast("timestamp"), "MM/yyyy")
+    text["expires"] = F.when(c % 23 == 0, "never").otherwise(text["expires"])
+    text["card_on_dark_web"] = F.when(c % 29 == 0, "null").otherwise(text["card_on_dark_web"])
+    return k.select(*[v.alias(n) for n, v in text.items()])
+
+
+def mcc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category codes as a CSV's text columns, with bad codes and missing descriptions by key."""
+    c = F.col("code")
+    return mcc_codes(spark, sf_dir).select(
+        F.when(c % 19 == 0, F.concat(F.lit("#"), c.cast("string"))).otherwise(c.cast("string")).alias("code"),
+        F.when(c % 17 == 0, "None").otherwise(F.col("description")).alias("description"))
+
+
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fraud labels as pieces of one JSON object, split at commas (column ``value``)."""
     labels = fraud_labels(spark, sf_dir)
