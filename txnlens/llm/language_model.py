@@ -10,8 +10,8 @@ last two bytes, and the end of a text. It predicts a symbol's vector from those
 the symbols before it, r = sum_j C_j * R[w_j] with diagonal C_j, and scores symbol s
 by <r, Q[s]> + b[s]. Noise-contrastive estimation fits it without a normaliser:
 logistic regression tells true symbols from shared noise symbols of the unigram
-distribution. Scores are normalised over all symbols by matrix products, one row a
-distinct context. A word of a class has its class's probability times its share of
+distribution. Scores are normalised over all symbols by matrix products, each
+context once a task. A word of a class has its class's probability times its share of
 the class's counts, smoothed like the base score.
 
 Words are told apart by 64-bit hashes. Counts of frequent words, a bounded number,
@@ -220,19 +220,23 @@ class LogBilinear:
             top = s.max(axis=1)
             s -= top[:, None]
             np.exp(s, out=s)
-            out[at:at + ROWS] = (np.log(s.sum(axis=1, dtype=np.float64)) + top)[:len(part)]
+            out[at:at + ROWS] = (np.log(s.sum(axis=1).astype(np.float64)) + top)[:len(part)]
         return out
 
-    def log_probabilities(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probability of each symbol after its context."""
+    def no_totals(self) -> np.ndarray:
+        """Room for the normaliser of every context, not known yet (8 MB at the defaults)."""
+        return np.full(len(self.bias) ** len(self.place), np.nan)
+
+    def log_probabilities(self, context: np.ndarray, symbol: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probability of each symbol after its context; ``totals`` keeps normalisers from call to call."""
         n = len(self.bias)
         key = context[:, 0].astype(np.int64)
         for j in range(1, context.shape[1]):
             key = key * n + context[:, j]
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        distinct = context[first]
-        score = np.einsum("ij,ij->i", _on_grid(self.predicted(distinct))[inverse], _on_grid(self.after)[symbol]) + self.bias[symbol]
-        return score - self.log_totals(distinct)[inverse]
+        new = np.unique(key[np.isnan(totals[key])])
+        totals[new] = self.log_totals(np.stack(np.unravel_index(new, (n,) * context.shape[1]), axis=1))
+        score = np.einsum("ij,ij->i", _on_grid(self.predicted(context)), _on_grid(self.after)[symbol]) + self.bias[symbol]
+        return score - totals[key]
 
 
 class Trainer:
@@ -391,12 +395,12 @@ def score_language(docs: DataFrame, *, alpha: float = ALPHA) -> DataFrame:
         hasher = Hasher(fold=True)
         log_count, class_total = np.log10(counts.counts + alpha), counts.class_log_total()
         log_end = np.log10(counts.texts + alpha)
-        n_own = len(symbols.own)
+        n_own, totals = len(symbols.own), model.no_totals()
         for batch in batches:
             for at, part in hasher.slices(batch.column(1)):
                 words = hasher.of_words(part)
                 symbol, row, context = symbols.stream(part, words)
-                chance = model.log_probabilities(context, symbol) / np.log(10)
+                chance = model.log_probabilities(context, symbol, totals) / np.log(10)
                 kind = symbol - n_own
                 inside = (kind >= 0) & (symbol != symbols.end)
                 chance[inside] -= class_total[kind[inside]]
