@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from llm_inputs import SF_SMALL
@@ -90,3 +91,37 @@ def test_a_wrapper_named_like_boilerplate_keeps_the_text(wrapper, inner, beside)
     "<div class=has-sidebar>{}<div class=related><article><p>Another story to read.</p></article></div></div>"])
 def test_boilerplate_beside_an_article_still_goes(around):
     assert page_text(f"<html><body>{around.format(ARTICLE)}</body></html>")[0] == TEXT
+
+
+@pytest.mark.parametrize("name", ["class=commentlist", "class=commentList", "id=userComments", "class=cookieConsent", "class=relatedPosts", "id=sitefooter",
+                                  "class=responses", "class='post-1 usercomments'", "class=adslot", "id=sidebarWidget"])
+@pytest.mark.parametrize("page", ["<article>{0}{1}</article>", "<div>{0}</div>{1}", "<main>{0}</main>{1}", "{1}<article>{0}</article>"])
+def test_names_written_together_mark_boilerplate(name, page):
+    inner = "<h1>Title</h1><p>First paragraph with enough words to look like prose, and some more.</p><p>Short.</p>"
+    beside = f"<div {name}><p>Anna, 3 May</p><p>I liked this a lot, thank you.</p></div>"
+    want = "Title First paragraph with enough words to look like prose, and some more. Short."
+    assert page_text(f"<html><body>{page.format(inner, beside)}</body></html>")[0] == want
+
+
+@pytest.mark.parametrize("name", ["class=commentary", "class=Article_body__x1Ad3", "class=navigator", "id=adaptation", "class=shareholders", "class=articleHeader",
+                                  "class=sc-hAdFgx", "class=socialism"])
+def test_names_that_only_begin_like_boilerplate_stay(name):
+    page = f"<article><p>First paragraph with enough words to look like prose.</p><div {name}><p>And a second one.</p></div></article>"
+    assert page_text(page)[0] == "First paragraph with enough words to look like prose. And a second one."
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 60000 + "</i>" * 60000, "<div>" * 60000 + "</p>" * 60000, "<i><div>" + "<b>" * 60000 + "</i>" * 60000, "<span>" * 60000 + "<p>" * 60000,
+    "<article>" * 20000 + "<div class=menu>x</div>" * 20000, "<div class=menu>word word" * 30000, "<article><div class=menu>word word" * 20000,
+    "<div>word word " * 40000, "<!--" * 100000, "<!--x>" * 80000, "</" * 200000, "<?" * 200000, "<![CDATA[>" * 50000, "<a " + "x='" * 100000])
+def test_unbalanced_pages_take_linear_time(page):
+    begun = time.process_time()
+    assert isinstance(page_text(page)[0], str)
+    assert time.process_time() - begun < 10  # one second or less; a scan of the open elements a tag takes minutes
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>a<![foo[x]]>b", "ab"), ("<p>a<![if !IE]>b<![endif]>c", "abc"), ("<p>a<![CDATA[<i>x</i>]]>b", "ab"), ("<p>a <! b > c", "a c"), ("<p>a &am", "a &am"),
+    ("<p>a<script>b", "a"), ("<p>a < b", "a < b")])
+def test_declarations_and_open_ends(page, want):
+    assert page_text(page)[0] == want
