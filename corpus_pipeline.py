@@ -34,8 +34,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data and credentials."""
-    return replace_pii(docs)
+    """Texts with surrogates for personal data and credentials, keyed by the session's setting (a test key where it has none)."""
+    return replace_pii(docs, key=spark.conf.get("txnlens.surrogates.key", "key-for-tests"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
