@@ -4,7 +4,24 @@ import pytest
 from pyspark.sql import functions as F
 from llm_inputs import no_docs  # noqa: F401
 
-from txnlens.llm.pii import GIVEN, replace_entities, replace_pii, surrogate_report, surrogate_table
+from txnlens.llm import pii
+from txnlens.llm.pii import COMMON_GIVEN, GIVEN, TEST_KEY, surrogate_key
+
+
+def replace_entities(docs):
+    return pii.replace_entities(docs, key=TEST_KEY)
+
+
+def replace_pii(docs):
+    return pii.replace_pii(docs, key=TEST_KEY)
+
+
+def surrogate_report(docs, key=TEST_KEY):
+    return pii.surrogate_report(docs, key=key)
+
+
+def surrogate_table(entities):
+    return pii.surrogate_table(entities, TEST_KEY)
 
 TEXTS = {
     1: "Dear Mr. John Smith, mail john.smith@acme.co.uk or JOHN.SMITH@ACME.CO.UK. Smith met Mrs. Anna Smith; Smithson did not.",
@@ -140,3 +157,79 @@ def test_compressed_ipv6(spark):
     mapped = spark.createDataFrame([(1, "::ffff:192.0.2.1")], "doc_id long, text string")
     (r,) = surrogate_report(mapped).collect()
     assert re.fullmatch(r"::ffff:\d+\.\d+\.\d+\.\d+", r["text"]) and "192.0.2.1" not in r["text"]
+
+
+def test_names_of_persons_go_whole(spark):
+    # title(s), initials, particles and names as they are written; what is put in braces must go, all else stay
+    cases = [
+        "met Prof. Dr. {Müller} today", "Herr Dr. {Weber} kam", "saw Dr. {Anna} {Maria} {Schulz}, who", "Mr {John} {Paul} {Smith} went", "for Mr {Vincent} van {Gogh}.",
+        "to Mr. J. {Smith}:", "by Mr J.R.R. {Tolkien} and", "Frau Prof. Dr. med. {Becker-Lang} sagt", "weil Frau {Vogel} den Brief schrieb", "Herrn Dr. {Otto} von der {Heide} an",
+        "M. {Dupont} est venu", "Mme {Claire} de la {Tour} dit", "Monsieur {Jean} {Lefèvre} part", "le Dr {Étienne} {Roux} a", "Sr. {García} {Márquez} vino", "la Sra. {Lucía} {Pérez} y",
+        "Señor {López} dijo", "Doña {Inés} de {Castro} murió", "{Maria} {Schneider} wrote to {Peter} {Meier}", "here {Thomas} A. {Edison} worked", "{Sophie} {Laurent} et {Michel} {Petit}",
+        "{Carlos} {Ruiz} y otros", "Mrs {O'Brien} left", "Mr {Smith}'s car", "Rev. Dr. {King}, I", "Lady {Ada} {Lovelace} wrote",
+    ]
+    docs = spark.createDataFrame(list(enumerate(c.replace("{", "").replace("}", "") for c in cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogate_report(docs).collect()}
+    for i, case in enumerate(cases):
+        # initials become other initials of the same form
+        form = re.sub(r"(?<!\w)[A-Z]\\\.", lambda m: m[0] if m[0][0] == "M" and "Dupont" in case else r"[A-Z]\.", re.escape(re.sub(r"\{[^}]*\}", "\0", case)))
+        form = form.replace(re.escape("J.R.R."), r"[A-Z]\.[A-Z]\.[A-Z]\.").replace("\0", r"([\w-]+)").replace("\x00", r"([\w-]+)")
+        one = re.fullmatch(form, got[i])
+        assert one, (case, got[i], form)
+        for old, new in zip(re.findall(r"\{([^}]*)\}", case), one.groups(), strict=True):
+            assert old.lower() != new.lower(), (case, got[i])
+    assert "J." not in got[5] and "J.R.R." not in got[6]
+    (anna,) = re.findall(r"Dr\. (\w+) ", got[2])
+    assert anna in GIVEN["latin", "f"] and got[19].split()[1] in GIVEN["latin", "m"]
+
+
+def test_no_names_where_none_are(spark):
+    texts = ["The Mayor met the General Public in May", "Miss. is a state", "Paris and Rome", "Anna", "maria schneider", "A. B. C.", "Peter in May", "On Monday Thomas left",
+             "v1.2.3.4 and version 10.20.30.40, release 1.1.1.1", "Invoice AB12 3456 7890 1234 5678", "DE89 3704 0044 0532 0100 00", "GB82 WEST 1234 5698 7654 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(texts[r["doc_id"]], r["text"]) for r in surrogate_report(docs).collect() if r["changed"]] == []
+
+
+def remainder(iban):
+    iban = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_ibans_are_valid_before_and_after(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "ES9121000418450200051332"]
+    docs = spark.createDataFrame([(i, f"pay {a} AB12 now") for i, a in enumerate(accounts)], "doc_id long, text string")
+    for r in surrogate_report(docs).collect():
+        old, new = accounts[r["doc_id"]], re.fullmatch(r"pay (.*) AB12 now", r["text"])[1]
+        assert new != old and remainder(old) == remainder(new) == 1 and new[:2] == old[:2]
+        assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", old))
+
+
+def test_names_elsewhere_are_replaced_once(spark):
+    names = [*GIVEN["latin", "m"], *COMMON_GIVEN["f"]]
+    text = "; ".join(f"Mr {n} Kowalski" for n in names) + ". " + ", ".join(names) + ", Kowalski. Mrs May went home in May."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = surrogate_report(docs).collect()
+    new = re.findall(r"Mr ([\w-]+) ([\w-]+)", r["text"])
+    assert len({n for n, _ in new}) == len(names) and len({s for _, s in new}) == 1
+    assert r["text"].split(". ")[1] == ", ".join(n for n, _ in new) + f", {new[0][1]}"
+    assert not {n.lower() for n, _ in new} & {n.lower() for n in names}
+    assert r["text"].endswith(" went home in May.") and "Mrs May" not in r["text"]
+
+
+def test_very_many_names_in_a_row(spark):
+    syllables = ["ba", "ko", "ri", "mu", "te", "sa", "ne", "lo", "vi", "du"]
+    names = [(a + b + c).capitalize() for a in syllables for b in syllables for c in syllables]
+    docs = spark.createDataFrame([(1, " and ".join(f"Mr {n}" for n in names) + " " + " ".join(n + "," for n in names))], "doc_id long, text string")
+    (r,) = surrogate_report(docs).collect()
+    first, second = r["text"].split(" and ")[:-1], r["text"].split(",")
+    assert r["n_entities"] == 1000 and len({x for x in first}) == 999 and len(second) == 1001
+    assert not set(re.findall(r"\w+", r["text"])) & set(names)
+
+
+def test_the_key_comes_from_the_session(spark):
+    assert surrogate_key(spark) == TEST_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert surrogate_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

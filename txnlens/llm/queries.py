@@ -14,7 +14,7 @@ from txnlens.llm.html_text import extract_pages
 from txnlens.llm.language_model import score_language
 from txnlens.llm.ngram_join import ngram_jaccard_groups
 from txnlens.llm.packing import added_tokens, pack_documents
-from txnlens.llm.pii import surrogate_report
+from txnlens.llm.pii import surrogate_key, surrogate_report
 from txnlens.llm.prefix_trie import conversation_trie
 from txnlens.llm.quality_model import fit_quality, score_quality
 from txnlens.llm.quality_rules import compression_rules
@@ -65,7 +65,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate_report(table(spark, sf_dir, "documents"))
+    return surrogate_report(table(spark, sf_dir, "documents"), key=surrogate_key(spark))
 
 
 def op11_filter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
