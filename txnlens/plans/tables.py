@@ -115,20 +115,21 @@ class Tables:
     def from_files(cls, spark: SparkSession, transactions, users=None, cards=None, labels=None, mcc=None,
                    date_format: str | None = None, card_date_format: str | None = None,
                    currency_symbol: str | None = None, strict: bool = False,
-                   renames: dict[str, dict[str, str]] | None = None) -> Tables:
+                   renames: dict[str, dict[str, str]] | None = None, quoted_breaks: bool = False, quoted_commas: bool = False) -> Tables:
         """Source files: CSV for transactions, users, cards and categories, the JSON label map.
 
         ``renames`` maps a table name (``transactions``, ``users``, ``cards``,
         ``mcc``) to ``{file column: schema column}`` for sources whose headers differ.
+        ``quoted_breaks``: CSV fields may hold line breaks; ``quoted_commas``: labels may hold commas.
         """
         renames = renames or {}
 
         def opt(path, read):
             return None if path is None else (lambda: read(path))
         return cls(lambda: read_transactions(spark, transactions, date_format, strict,
-                                             renames.get("transactions")),
-                   opt(users, lambda p: read_users(spark, p, strict, renames.get("users"))),
-                   opt(cards, lambda p: read_cards(spark, p, card_date_format, strict, renames.get("cards"))),
-                   opt(labels, lambda p: read_label_map(spark, p)),
-                   opt(mcc, lambda p: read_mcc(spark, p, renames.get("mcc"))),
+                                             renames.get("transactions"), quoted_breaks=quoted_breaks),
+                   opt(users, lambda p: read_users(spark, p, strict, renames.get("users"), quoted_breaks=quoted_breaks)),
+                   opt(cards, lambda p: read_cards(spark, p, card_date_format, strict, renames.get("cards"), quoted_breaks=quoted_breaks)),
+                   opt(labels, lambda p: read_label_map(spark, p, quoted_commas=quoted_commas)),
+                   opt(mcc, lambda p: read_mcc(spark, p, renames.get("mcc"), quoted_breaks=quoted_breaks)),
                    currency_symbol)

@@ -11,10 +11,14 @@ is cast **by name** to the fixed schema. Columns keep the file's order; missing
 required columns raise; extra columns are kept as text. A line with too many or too
 few fields is counted by ``parse_failures`` and raises under ``strict``; so is a quoted
 line break, unless ``quoted_breaks=True`` has such records put together.
+``write_checked`` keeps what does not parse: good rows and rejected ones, with their
+reasons and text, are written in one pass.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +44,11 @@ _BAD_LINE = "__bad_line"
 LINE = "(line)"
 
 
-def _records(spark: SparkSession, path) -> DataFrame:
-    """(file, first, value): the records of CSV files whose quoted fields may hold line breaks, one row each.
+def _records(spark: SparkSession, path, separator: str = "\n", escape: str | None = None) -> DataFrame:
+    """(file, first, value): the records of files whose quoted strings may hold the separator, one row each.
+
+    In CSV files the separator ends a line; below, a line is a piece between two of them.
+    ``escape`` begins a pair of characters that is no quote.
 
     The files are read split by split as lines. A line has an odd number of quotes
     where a quoted field is left open or closed, so the parity of the quotes before it
@@ -51,9 +58,10 @@ def _records(spark: SparkSession, path) -> DataFrame:
     brought together and joined. ``first`` marks a file's first record. A quote that
     is never closed makes the rest of its file one record, as in other readers.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    bare = F.regexp_replace("value", re.escape(escape) + "(?s:.)", "") if escape else F.col("value")
+    lines = spark.read.option("lineSep", separator).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("place"), "value", (F.regexp_count("value", F.lit('"')) % 2).alias("odd"))
+        F.monotonically_increasing_id().alias("place"), "value", (F.regexp_count(bare, F.lit('"')) % 2).alias("odd"))
     splits = lines.groupBy("file", "split").agg(F.sum("odd").alias("odds"))
     order = Window.partitionBy("file").orderBy("split")
     splits = splits.select("file", "split", F.coalesce(F.sum("odds").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -72,7 +80,7 @@ def _records(spark: SparkSession, path) -> DataFrame:
     owned = long.join(last, ["file", "split"]).withColumn(
         "record", F.when(F.col("begun") > 0, F.struct("split", "begun")).otherwise(F.col("from")))
     joined = owned.groupBy("file", "record").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("split", "place", "value"))), lambda x: x["value"]), "\n").alias("value"))
+        F.sort_array(F.collect_list(F.struct("split", "place", "value"))), lambda x: x["value"]), separator).alias("value"))
     return single.unionByName(joined.select("file", ((F.col("record.split") == 0) & (F.col("record.begun") == 1)).alias("first"), "value"))
 
 
@@ -187,6 +195,74 @@ def parse_failures(spark: SparkSession, path, schema: T.StructType, date_format:
     return text_failures(_text_columns(spark, path, by_header, True, quoted_breaks, **options), schema, date_format)
 
 
+#: Columns beside the typed ones in what ``checked_columns`` returns.
+STATUS, REASONS, SOURCE = "status", "reasons", "source"
+
+
+def checked_columns(raw: DataFrame, schema: T.StructType, date_format: str | None = None, rename: dict[str, str] | None = None,
+                    required: list[str] | None = None) -> DataFrame:
+    """Text columns to typed rows, good and rejected ones, without loss.
+
+    A row is rejected if a value that is there does not parse, if a ``required``
+    column is missing in it, or if the reader marks its line as malformed. Adds
+    ``reasons`` (the columns, or ``(line)``; empty for good rows), ``source`` (a rejected
+    row's text: its line if malformed, else its fields as JSON) and ``status`` (``good``
+    or ``rejected``). Rejected rows keep the values that do parse.
+    """
+    if rename:
+        raw = raw.withColumnsRenamed(rename)
+    names = [c for c in raw.columns if c != _BAD_LINE]
+    if clash := {STATUS, REASONS, SOURCE}.intersection(names):
+        raise ValueError(f"columns {sorted(clash)} would be overwritten; rename them")
+    marked = _BAD_LINE in raw.columns
+    bad_line = F.col(_BAD_LINE).isNotNull() if marked else F.lit(False)
+    fields = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))
+    kept = raw.select("*", fields.alias("__fields"))
+    text = null_na_strings(kept, names)
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType) and f.name in names]
+    reasons = [F.when(F.col(f"`{f.name}`").isNotNull() & _cast(F.col(f"`{f.name}`"), f.dataType, date_format, False).isNull(), f.name) for f in typed]
+    reasons += [F.when(F.col(f"`{c}`").isNull(), c) for c in required or []]
+    # a malformed line's fields are not where they belong, so the line is its only reason
+    listed = F.when(bad_line, F.array(F.lit(LINE))).otherwise(F.array_distinct(F.array_compact(F.array(*reasons))) if reasons else F.array().cast("array<string>"))
+    told = text.withColumn(REASONS, listed)
+    line = F.coalesce(_BAD_LINE, "__fields") if marked else F.col("__fields")
+    told = told.withColumn(SOURCE, F.when(F.size(REASONS) > 0, line)).withColumn(STATUS, F.when(F.size(REASONS) > 0, "rejected").otherwise("good"))
+    types = {f.name: f.dataType for f in schema.fields}
+    if missing := [c for c in types if c not in names]:
+        raise ValueError(f"missing columns {missing}")
+    values = [(_cast(F.col(f"`{c}`"), types[c], date_format, False) if c in types else F.col(f"`{c}`")).alias(c) for c in names]
+    return told.select(*values, REASONS, SOURCE, STATUS)
+
+
+def write_checked(spark: SparkSession, path, out: str, schema: T.StructType, date_format: str | None = None, rename: dict[str, str] | None = None,
+                  required: list[str] | None = None, by_header: bool = False, quoted_breaks: bool = False, **options) -> DataFrame:
+    """CSV files to Parquet at ``out`` in one pass: good and rejected rows in a folder each (see ``checked_columns``).
+
+    Returns the written table (later: ``spark.read.parquet(out)``) for ``good_rows``,
+    ``rejected_rows`` and ``rejection_counts``, which do not read the sources again.
+    Without any row no file is written, and the table returned is empty.
+    """
+    raw = _text_columns(spark, path, by_header, True, quoted_breaks, **options)
+    checked = checked_columns(raw, schema, date_format, rename, required)
+    checked.write.mode("overwrite").partitionBy(STATUS).parquet(out)
+    return spark.read.schema(checked.schema).parquet(out)
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    """The good rows of a table of ``write_checked``; only their files are read."""
+    return checked.filter(F.col(STATUS) == "good").drop(STATUS, REASONS, SOURCE)
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    """The rejected rows of a table of ``write_checked`` with their reasons and text; only their files are read."""
+    return checked.filter(F.col(STATUS) == "rejected").drop(STATUS)
+
+
+def rejection_counts(checked: DataFrame) -> DataFrame:
+    """(reason, rows) of the rejected rows; a row with several reasons counts for each."""
+    return rejected_rows(checked).select(F.explode(REASONS).alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+
+
 def read_transactions(spark: SparkSession, path, date_format: str | None = None,
                       strict: bool = False, rename: dict[str, str] | None = None, **options) -> DataFrame:
     """Transactions CSV; ``amount`` stays text for ``clean_transactions``."""
@@ -233,16 +309,21 @@ def label_pairs(pieces: DataFrame, column: str = "value") -> DataFrame:
             .select(F.col("id").cast(LABELS["id"].dataType).alias("id"), "Target"))
 
 
-def read_label_map(spark: SparkSession, path, whole: bool = False) -> DataFrame:
+def read_label_map(spark: SparkSession, path, whole: bool = False, quoted_commas: bool = False) -> DataFrame:
     """Fraud labels stored as one JSON object ``{"target": {"<id>": "<label>", ...}}``.
 
     A JSON reader would parse the single object in one task (and infer one
     struct field per id). The file is instead split on commas, which in this
     layout only separate pairs, and the text reader splits the file across tasks
-    (see ``label_pairs``). Requires an uncompressed file with no comma inside ids or
-    labels. ``whole=True`` reads other files: each is parsed as a map, by one task.
-    Columns ``id`` (bigint) and ``Target`` (text).
+    (see ``label_pairs``). Requires an uncompressed file. A comma inside an id or label
+    raises, unless ``quoted_commas=True`` puts such strings together again: whether a
+    piece begins inside a string follows from the quotes before it, in its split and in
+    the splits before (see ``_records``; one shuffle of the text, a file is still read by
+    many tasks). ``whole=True`` reads other layouts: each file is parsed as a map, by one
+    task. Columns ``id`` (bigint) and ``Target`` (text).
     """
+    if quoted_commas:
+        return label_pairs(_records(spark, path, ",", "\\"))
     if not whole:
         return label_pairs(spark.read.option("lineSep", ",").text(path))
     text = spark.read.option("wholetext", True).text(path)
