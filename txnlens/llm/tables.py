@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +21,15 @@ def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share.
 
-    Only a session whose executors are threads of the driver may leave the setting out.
+    Only a session whose executors are threads of the driver may leave the setting out;
+    its folder is below ``spark.local.dir``.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="txnlens-")
+        base = f"{sc.getConf().get('spark.local.dir', '/tmp')}/txnlens-{sc.applicationId}"
     return f"{base.rstrip('/')}/txnlens-{uuid.uuid4().hex}"
 
 
