@@ -11,11 +11,14 @@ Every report is a lazy DataFrame; the cleaned tables are built once and shared.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.plans.catalog import REPORTS
 from txnlens.plans.tables import Tables
-from txnlens.sources.staging import stage
+from txnlens.sources.staging import stage, stage_by_id
 
 # which inputs each report reads (transactions are always given)
 _NEEDS = {
@@ -60,6 +63,17 @@ class FraudAnalysis:
         self.tables.use("transactions", staged)
         return self
 
+    def stage_by_id(self, buckets: int, path: str | None = None) -> FraudAnalysis:
+        """Write cleaned transactions and labels once, bucketed by id; their joins then need no exchange.
+
+        ``path``: a folder for both, by default one under ``spark.checkpoint.dir``.
+        """
+        for name in ("transactions", *(["labels"] if "labels" in self._given else [])):
+            folder = os.path.join(path, name) if path else None
+            table = f"txnlens_{name}_{uuid.uuid4().hex}"
+            self.tables.use(name, stage_by_id(getattr(self.tables, name), table, "id", buckets, folder))
+        return self
+
     def available(self) -> list[str]:
         """Names of the reports the given inputs allow."""
         missing = {n for need, names in _NEEDS.items() if need not in self._given for n in names}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.numeric import round_half_even, round_significant
 from txnlens.operators import aggregates as agg
-from txnlens.operators import binning, correlation, profile, quantiles, risk
+from txnlens.operators import binning, correlation, heavy, profile, quantiles, risk
 from txnlens.operators import states as st
 from txnlens.operators.features import CARD_FEATURES, TXN_FEATURES, USER_FEATURES
 from txnlens.plans.tables import Tables
@@ -162,7 +162,15 @@ MERGED: dict[str, Report] = {
     "geography_merged": lambda t: _merged(t).geography(),
 }
 
-QUERIES: dict[str, Query] = {name: _bind(report) for name, report in {**REPORTS, **PARSING, **MERGED}.items()}
+# top-k reports that shuffle only the keys that can be among the first: the same rows as the plain ones
+HEAVY: dict[str, Report] = {
+    "heavy_spenders": lambda t: heavy.heavy_spenders(t.transactions),
+    "heavy_customers": lambda t: heavy.heavy_customers(t.transactions),
+    "heavy_states": lambda t: heavy.heavy_places(t.transactions, "merchant_state"),
+    "heavy_cities": lambda t: heavy.heavy_places(t.transactions, "merchant_city"),
+}
+
+QUERIES: dict[str, Query] = {name: _bind(report) for name, report in {**REPORTS, **PARSING, **MERGED, **HEAVY}.items()}
 
 
 # Shortcuts used by tests and scripts.

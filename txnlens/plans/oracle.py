@@ -408,6 +408,8 @@ FROM (SELECT *, LAG(revenue) OVER (ORDER BY year) AS prev FROM (
              COUNT(DISTINCT client_id) AS customers
       FROM t WHERE year IS NOT NULL GROUP BY year))
 ORDER BY year""")
+    q["heavy_spenders"], q["heavy_customers"] = q["top_spenders"], q["most_active_customers"]
+    q["heavy_states"], q["heavy_cities"] = q["top_states"], q["top_cities"]
     q["overview_merged"], q["revenue_growth_merged"] = q["overview"], q["revenue_growth"]
     q["error_rate_by_type"] = with_views(["t"], """
 SELECT errors, COUNT(*) AS "count",
