@@ -51,8 +51,20 @@ class Rows:
 
 
 def _row_sums(start: np.ndarray, x: np.ndarray) -> np.ndarray:
-    total = np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)))
-    return total[start[1:]] - total[start[:-1]]
+    """Sums of the rows of ``x`` between offsets, each added up from 0 in order, so that they do not depend on the rows beside them."""
+    n = len(start) - 1
+    row = np.repeat(np.arange(n), np.diff(start))
+    if x.ndim == 1:
+        return np.bincount(row, x, minlength=n)
+    return np.stack([np.bincount(row, x[:, k], minlength=n) for k in range(x.shape[1])], axis=1)
+
+
+def _across(x: np.ndarray) -> np.ndarray:
+    """The sum of the columns, added from left to right."""
+    total = x[:, 0].copy()
+    for k in range(1, x.shape[1]):
+        total += x[:, k]
+    return total
 
 
 @dataclass
@@ -81,7 +93,7 @@ class FactorisationMachine:
     def margin(self, rows: Rows) -> np.ndarray:
         vx = self.factor[rows.index] * rows.value[:, None]
         sums = _row_sums(rows.start, vx)
-        pairs = 0.5 * ((sums**2).sum(axis=1) - _row_sums(rows.start, (vx**2).sum(axis=1)))
+        pairs = 0.5 * (_across(sums**2) - _row_sums(rows.start, _across(vx**2)))
         return self.bias + _row_sums(rows.start, self.weight[rows.index] * rows.value) + pairs
 
     def score(self, rows: Rows) -> np.ndarray:
@@ -168,7 +180,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: fl
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
 
     A null text is an empty one, which has a score too; a null doc_id is passed on
-    (not held out); repeated rows score alike; an empty table gives an empty result;
+    (not held out); repeated rows score alike, bit for bit, wherever they stand; an empty table gives an empty result;
     other columns are not read. The model is a bounded table sent with the tasks.
     """
 
@@ -184,7 +196,11 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: fl
 
 
 def keep_quality(docs: DataFrame, model: FactorisationMachine, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
+
+    ``docs`` has a column ``text``; a null text is scored as an empty one, repeated rows
+    stay or go together, and an empty table gives an empty result.
+    """
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
