@@ -104,3 +104,43 @@ def test_toxicity_of_odd_rows(spark, chain):
     rows = [(1, None, 1), (None, "", 2), (2, "stupid idiot scum, you worthless moron", None), (2, "stupid idiot scum, you worthless moron", 1)]
     got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), chain).collect()
     assert [r["toxic"] for r in got] == [0, 0, 1, 1] and got[0]["score"] == got[1]["score"]
+
+
+def one_by_one_and_reversed(texts, score):
+    """Scores of texts all together, each alone, and in reverse order."""
+    together = score(texts)
+    alone = [score([t])[0] for t in texts]
+    return np.array(together), np.array(alone), np.array(score(texts[::-1]))[::-1]
+
+
+def odd_and_real_texts(tables):
+    texts = [r["text"] for r in tables[0].orderBy("doc_id").limit(300).select("text").collect()]
+    return [*texts, "", None, "a", texts[0], "long " * 30_000, "!!! $$$"]
+
+
+def test_quality_does_not_depend_on_the_rows_beside(tables, machine):
+    import pyarrow as pa
+
+    from txnlens.llm.words import Hasher
+
+    def score(texts):
+        raw, folded = Hasher(), Hasher(fold=True)
+        return np.concatenate([machine.score(machine.inputs(part, raw, folded)) for _, part in raw.slices(pa.array(texts, pa.large_string()))])
+
+    together, alone, backwards = one_by_one_and_reversed(odd_and_real_texts(tables), score)
+    assert (together == alone).all() and (together == backwards).all()
+
+
+def test_toxicity_does_not_depend_on_the_rows_beside(tables, chain):
+    import pyarrow as pa
+
+    from txnlens.llm.toxicity import feature_ids
+    from txnlens.llm.words import Hasher
+
+    def score(texts):
+        folded = Hasher(fold=True)
+        return np.concatenate([chain.probabilities(*chain.rows(*feature_ids(part, folded), len(part)))
+                               for _, part in folded.slices(pa.array(texts, pa.large_string()))])
+
+    together, alone, backwards = one_by_one_and_reversed(odd_and_real_texts(tables), score)
+    assert (together == alone).all() and (together == backwards).all()

@@ -80,8 +80,11 @@ class Linear:
     bias: float
 
     def probability(self, start: np.ndarray, index: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(self.weight[index])))
-        margin = self.bias + total[start[1:]] - total[start[:-1]] + dense @ self.dense
+        # each row's sum is added up from 0 in order, so that it does not depend on the rows beside it
+        n = len(start) - 1
+        margin = self.bias + np.bincount(np.repeat(np.arange(n), np.diff(start)), self.weight[index], minlength=n)
+        for j, weight in enumerate(self.dense):
+            margin = margin + dense[:, j] * weight
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
     @classmethod
@@ -211,8 +214,8 @@ def score_toxicity(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOL
 
     score is the probability of the last category, toxic (0 or 1) whether it reaches
     ``threshold``. A category that could not be learned has probability 0. A null text
-    is an empty one; a null doc_id is passed on; repeated rows score alike; an empty
-    table gives an empty result; other columns are not read.
+    is an empty one; a null doc_id is passed on; repeated rows score alike, bit for bit,
+    wherever they stand; an empty table gives an empty result; other columns are not read.
     """
     names = [*WORD_LISTS, TARGET]
 
