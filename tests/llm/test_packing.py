@@ -116,3 +116,24 @@ def test_the_query_and_the_stage_take_the_added_tokens(spark, tmp_path):
         assert {x["doc_tokens"] for x in rows} == {5} and sum(x["length"] for x in rows) == 5
         # five ids end as sequences of four and of one
         assert sorted(x["ids_crc32"] for x in rows) == sorted([zlib.crc32(np.array([505, 2205, 50256, 19545], dtype="<u4").tobytes()), zlib.crc32(b"\0\0\0\0")])
+
+
+def test_short_documents_are_cut_only_at_the_end_of_a_stream():
+    """However many sequences are open: before the stream ends, pieces of a document are whole sequences and one rest."""
+    r = random.Random(5)
+    ids = {i: np.arange(r.choice([520, 600, 700, 5, 1030]) + r.randrange(60), dtype="<u4") for i in range(3000)}
+    ended = []
+
+    def documents():
+        yield from ids.items()
+        ended.append(True)
+
+    before, open_at_end = 0, 0
+    for sequence in pack(documents(), 1024):
+        if ended:
+            open_at_end += 1
+            continue
+        before += 1
+        for _, start, total, part in sequence:
+            assert start % 1024 == 0 and len(part) == min(1024, total - start)
+    assert before > 500 and open_at_end > 512  # a small cap would have cut documents

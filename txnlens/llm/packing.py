@@ -4,9 +4,10 @@ Each task packs its own rows online. N[h] counts the open sequences filled to le
 h; a piece of n tokens goes where it makes the sum of N[h]**2 smallest: into a
 sequence of level h (one fewer there, one more at h + n, none if that is full) or
 into a new one. A document gives whole sequences as long as it can and its rest is
-one piece. If a task has more open sequences than it may keep, and at its end, the
-emptiest are cut up to fill the gaps of the fullest; the last one is cut into
-lengths that are powers of two, which need no padding.
+one piece. At the end of a task the emptiest of its open sequences are cut up to fill
+the gaps of the fullest; the last one is cut into lengths that are powers of two,
+which need no padding. Open sequences hold ids of the task's own rows, 4 bytes each,
+so they are never larger than the task's part of the table.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from txnlens.llm.bpe import read_ranks, text_slices
 from txnlens.llm.tables import text_rows
 
 SEQUENCE = 1024
-#: Open sequences a task keeps, whose ids it holds.
-MAX_OPEN = 512
 END_ID = 0
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -110,8 +109,13 @@ def powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield sequence
 
 
-def pack(documents: Iterator[tuple[int | None, np.ndarray]], size: int = SEQUENCE, max_open: int = MAX_OPEN) -> Iterator[list[Piece]]:
-    """Closed sequences, each a list of pieces, for a stream of (doc_id, ids)."""
+def pack(documents: Iterator[tuple[int | None, np.ndarray]], size: int = SEQUENCE, max_open: int | None = None) -> Iterator[list[Piece]]:
+    """Closed sequences, each a list of pieces, for a stream of (doc_id, ids).
+
+    ``max_open`` is for streams without an end: with more open sequences than that,
+    all are closed as at the end, and documents are cut for it. By default the rule
+    alone decides until the stream ends.
+    """
     levels = Levels(size)
     for doc, ids in documents:
         total = len(ids)
@@ -122,7 +126,7 @@ def pack(documents: Iterator[tuple[int | None, np.ndarray]], size: int = SEQUENC
             filled = levels.place((doc, whole, total, ids[whole:].copy()))
             if filled:
                 yield filled
-        if levels.total() > max_open:
+        if max_open is not None and levels.total() > max_open:
             full, rest = levels.consolidate()
             yield from full
             if rest:
