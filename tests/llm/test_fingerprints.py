@@ -7,7 +7,7 @@ import pytest
 from brute import shingles
 from llm_inputs import corpus, no_docs  # noqa: F401
 
-from txnlens.llm.fingerprints import (bottom_k, containment, decode, distinct, document_sketches, encode, fingerprint_edits, merge,
+from txnlens.llm.fingerprints import (_above, _ranges, bottom_k, containment, decode, distinct, document_sketches, encode, fingerprint_edits, merge,
                                       merge_sketches, resemblance, sketches)
 from txnlens.llm.words import Hasher
 
@@ -93,3 +93,46 @@ def test_merging_gathers_no_whole_sketches(spark):
     # arrays are made of values that a rank has cut to k a group, not of the sketches of a group
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten" not in plan and plan.index("collect_list") < plan.index("row_number")
+
+
+@pytest.mark.parametrize("cuts", [[], [5], [-(1 << 63), -3, 0, 7], list(range(0, 300, 3))])
+def test_bisection_counts_cuts_above(spark, cuts):
+    keys = [-(1 << 63), -4, -3, -1, 0, 1, 6, 7, 8, 299, 300, (1 << 63) - 1]
+    rows = spark.createDataFrame([(k,) for k in keys], "at long")
+    got = {r["at"]: r["n"] for r in rows.select("at", _above(cuts, rows["at"]).alias("n")).collect()}
+    assert got == {k: sum(c > k for c in cuts) for k in keys}
+
+
+def test_ranges_have_equal_work_and_a_task_each(spark):
+    """Long texts at one end, very many short ones at the other."""
+    rows = spark.range(8000).selectExpr("id AS at", "repeat('a', CAST(IF(id < 400, 20000, 100) AS INT)) AS text")
+    cuts = _ranges(rows, 20)
+    assert 15 <= len(cuts) <= 19
+    got = rows.groupBy(_above(cuts, rows["at"]).alias("part")).agg({"at": "count", "text": "max"}).collect()
+    work = {}
+    for r in rows.selectExpr("at", "octet_length(text) AS size").collect():
+        part = sum(c > r["at"] for c in cuts)
+        a, b = work.get(part, (0, 0))
+        work[part] = a + 1, b + r["size"]
+    total = 400 * 20000 + 7600 * 100
+    shares = [(a / 8000 + b / total) / 2 for a, b in work.values()]
+    assert len(got) == len(cuts) + 1 and max(shares) < 2 / 20
+    docs = rows.selectExpr("at AS doc_id", "text")
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        tasks = fingerprint_edits(docs).groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks >= 15
+
+
+def test_containment_and_distinct_are_those_of_the_sets(corpus):
+    rows, docs = corpus
+    exact = {(d, len(t or "")): len(shingles(t or "", 5)) for d, t in rows}
+    for r in fingerprint_edits(docs).collect():
+        n = exact[r["doc_id"], r["n_chars"]]
+        assert r["n_distinct"] == n if n < 128 else abs(r["n_distinct"] / n - 1) < 0.4
+        assert 0 <= r["containment"] <= 1 and (n > 0 or r["containment"] == 0)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.llm.tables import text_rows
@@ -23,7 +23,7 @@ K = 128
 SHINGLE_WORDS = 5
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+          "near_edited double, near_next double, containment double, n_distinct double")
 
 
 def bottom_k(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -113,12 +113,47 @@ def merge_sketches(parts: DataFrame, key: str, *, k: int = K, salts: int = 64) -
     return values.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("sketch")).select(F.col("k").alias(key), "sketch")
 
 
+#: Fine ranges counted for each range that is made, and how many there are at most where the ranges are fewer.
+FINE, MOST_FINE = 16, 4096
+
+
+def _above(cuts: list[int], key: Column) -> Column:
+    """How many of the ascending ``cuts`` are larger than ``key``, by bisection: a few steps a row, however many cuts."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")  # one literal, folded once
+    # the largest number of cuts that are not above the key
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(
+        (at + step <= len(cuts)) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at))
+    return F.lit(len(cuts)) - below
+
+
 def _ranges(rows: DataFrame, n: int) -> list[int]:
-    """At most n - 1 doc_ids that cut the rows into ranges of about equal size."""
+    """At most n - 1 values of ``at`` (ascending) that cut the rows into ranges of about equal work.
+
+    Counts rows and bytes of text of finer ranges of about equally many rows, and
+    closes a range when its share of both is reached, so that neither long texts nor
+    very many short ones gather in a range.
+    """
     if n < 2:
         return []
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
-    return sorted(set(cuts or ()))
+    m = max(n, min(FINE * n, MOST_FINE))
+    points = rows.agg(F.percentile_approx("at", [i / m for i in range(1, m)], 10 * m)).first()[0]
+    fine = sorted(set(points or ()))
+    sizes = {r["fine"]: (r["rows"], r["bytes"]) for r in rows.groupBy(_above(fine, F.col("at")).alias("fine")).agg(
+        F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    all_rows, all_bytes = (max(1, sum(v[i] for v in sizes.values())) for i in (0, 1))
+    cuts, share = [], 0.0
+    for i, point in enumerate(fine):
+        # rows below this point and not below the one before
+        count, size = sizes.get(len(fine) - i, (0, 0))
+        own = (count / all_rows + size / all_bytes) / 2
+        if share + own / 2 >= (len(cuts) + 1) / n and len(cuts) < n - 1:
+            # cut before or after this fine range, whichever is nearer the share
+            cuts.append(fine[i - 1] if i else point)
+        share += own
+    return sorted(set(cuts))
 
 
 def fingerprint_edits(docs: DataFrame, *, k: int = K, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -126,28 +161,29 @@ def fingerprint_edits(docs: DataFrame, *, k: int = K, shingle_words: int = SHING
 
     The edited copy replaces the last floor(n/2) code points with the first as many
     of the next document by descending doc_id (after the last: the first). Rows are
-    dealt out by doc_id range and read in order, holding one row back; the row after
+    dealt out by doc_id range, one task a range, and read in order, holding one row back; the row after
     a range's last one is its successor's first, added to the range beforehand (one
-    row a range, found by key). Null text reads as empty; null doc_ids follow the
+    row a range, found by key). containment is the estimated share of the text's
+    shingles that the edited text has, n_distinct the estimated number of the text's. Null text reads as empty; null doc_ids follow the
     smallest doc_id; rows that share a doc_id are ordered by text; a single row
     follows itself; an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = text_rows(docs).withColumn("text", F.coalesce("text", F.lit("")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # null ids stand below all others
     lowest = -(1 << 63)
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
     cuts = _ranges(rows, n)
     # range 0 has the largest doc_ids
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c > F.col("at")))
-    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("part", _above(cuts, F.col("at")))
     heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max("at").alias("head")).collect())
     after = [(p, heads[(i + 1) % len(heads)][1]) for i, (p, _) in enumerate(heads)]
     first = (rows.filter(F.col("at").isin([h for _, h in heads])).groupBy("at").agg(F.min("text").alias("text")))
     links = spark.createDataFrame(after, "part int, at long")
     ends = links.join(first, "at").select(
         F.lit(None).cast("long").alias("doc_id"), "text", "at", "part", F.lit(1).alias("extra"))
-    dealt = (rows.withColumn("extra", F.lit(0)).unionByName(ends).repartition(n, "part")
+    dealt = (rows.withColumn("extra", F.lit(0)).unionByName(ends).repartitionById(len(cuts) + 1, "part")
              .sortWithinPartitions("part", "extra", F.desc("at"), "text").select("part", "extra", "doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +208,9 @@ def fingerprint_edits(docs: DataFrame, *, k: int = K, shingle_words: int = SHING
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
                     pa.array([encode(a[4]) for a, _ in pairs]), pa.array([encode(e) for e in edits]),
                     pa.array([resemblance(a[4], e, k) for (a, _), e in zip(pairs, edits, strict=True)], pa.float64()),
-                    pa.array([resemblance(a[4], b[4], k) for a, b in pairs], pa.float64())],
+                    pa.array([resemblance(a[4], b[4], k) for a, b in pairs], pa.float64()),
+                    pa.array([containment(a[4], e, k) for (a, _), e in zip(pairs, edits, strict=True)], pa.float64()),
+                    pa.array([distinct(a[4], k) for a, _ in pairs], pa.float64())],
                     names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return dealt.mapInArrow(run, SCHEMA)
